@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.query,
+        "op8_best_fit_packing": packing.query,
     }
 
 
