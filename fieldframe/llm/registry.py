@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.query,
+        "op3_attention_quality": quality.query,
         "op8_best_fit_packing": packing.query,
     }
 
