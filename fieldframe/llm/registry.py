@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash
+from . import packing, quality, secrets, simhash, sketch
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.query,
         "op3_attention_quality": quality.query,
+        "op5_scaled_sketch": sketch.query,
         "op6_secret_scan": secrets.query,
         "op8_best_fit_packing": packing.query,
     }
