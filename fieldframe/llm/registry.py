@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash, sketch
+from . import html_text, packing, quality, secrets, simhash, sketch
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_scaled_sketch": sketch.query,
         "op6_secret_scan": secrets.query,
         "op8_best_fit_packing": packing.query,
+        "op10_min_cut_html": html_text.query,
     }
 
 
