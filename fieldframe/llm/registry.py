@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, packing, quality, secrets, simhash, sketch
+from . import embedding, html_text, packing, quality, secrets, simhash, sketch
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.query,
         "op3_attention_quality": quality.query,
+        "op4_product_quantisation": embedding.query,
         "op5_scaled_sketch": sketch.query,
         "op6_secret_scan": secrets.query,
         "op8_best_fit_packing": packing.query,
