@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding, html_text, packing, quality, secrets, simhash, sketch
+from . import embedding, html_text, packing, quality, secrets, simhash, sketch, substring
 
 
 def queries() -> dict:
     return {
+        "op1_sentence_spans": substring.query,
         "op2_simhash": simhash.query,
         "op3_attention_quality": quality.query,
         "op4_product_quantisation": embedding.query,
