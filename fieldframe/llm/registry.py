@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import embedding, html_text, packing, quality, secrets, simhash, sketch, substring
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_sentence_spans": substring.query,
         "op2_simhash": simhash.query,
         "op3_attention_quality": quality.query,

@@ -43,9 +43,8 @@ def text_hashes(data: bytes, size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64, len(words) - size + 1)
 
 
-def simhash(data: bytes, size: int = 4) -> int:
-    """Fingerprint whose bit is 1 if set in over half of the shingle hashes; 0 for a text without words."""
-    hashes = text_hashes(data, size)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
@@ -53,16 +52,32 @@ def simhash(data: bytes, size: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty."""
+def simhash(data: bytes, size: int = 4) -> int:
+    """Fingerprint whose bit is 1 if set in over half of the shingle hashes; 0 for a text without words."""
+    return majority(text_hashes(data, size))
+
+
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Other bits of the same hashes, for a second fingerprint."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, checked: bool = False) -> DataFrame:
+    """(doc_id, fp, check) of every row; a null text counts as empty. check: a second fingerprint, if asked for, else 0."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            fps = np.fromiter((simhash(t or b"", size) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps, checks = [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                hashes = text_hashes(t or b"", size)
+                fps.append(majority(hashes))
+                checks.append(majority(second(hashes)) if checked else 0)
+            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, checks)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *both], ["doc_id", "fp", "check"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, check long")
 
 
 def masks(n: int, radius: int) -> list[int]:
@@ -103,12 +118,14 @@ def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return ids[order][label[other]], ids[order][other]
 
 
-def compare(radius: int):
+def compare(radius: int, within: int):
+    """Tile pairs (left, right; right empty: left with itself) -> edges. within: the radius of the second fingerprints."""
+
     def run(batches):
         for b in batches:
             left, right = b.column(0), b.column(1)
             lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
-            (lf, li), (rf, ri) = ([x.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)] for x in (left, right))
+            (lf, lc, li), (rf, rc, ri) = ([x.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)] for x in (left, right))
             a_out, b_out = [], []
             for k in range(len(b)):
                 x, xi = lf[lo[k] : lo[k + 1]].view(np.uint64), li[lo[k] : lo[k + 1]]
@@ -116,6 +133,10 @@ def compare(radius: int):
                 alone = len(y) == 0
                 near = np.bitwise_count(x[:, None] ^ (x if alone else y)[None, :]) <= radius
                 i, j = np.nonzero(np.triu(near, 1) if alone else near)
+                if within < BITS and len(i):
+                    x, y = lc[lo[k] : lo[k + 1]].view(np.uint64), rc[ro[k] : ro[k + 1]].view(np.uint64)
+                    near = np.bitwise_count(x[i] ^ (x if alone else y)[j]) <= within
+                    i, j = i[near], j[near]
                 if len(i):
                     ids = xi if alone else np.concatenate((xi, yi))
                     u, v = forest(ids, i, j if alone else j + len(x))
@@ -127,10 +148,10 @@ def compare(radius: int):
     return run
 
 
-def link_forest(classes: DataFrame, radius: int = 4, tile: int = 512) -> DataFrame:
-    """(fp, rep) classes -> (a, b) edges between reps that join exactly what links of at most ``radius`` bits join."""
+def link_forest(classes: DataFrame, radius: int = 4, tile: int = 512, within: int = BITS) -> DataFrame:
+    """(fp, check, rep) classes -> (a, b) edges between reps that join exactly what links of at most ``radius`` bits join."""
     keys = [F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(classes.count(), radius))]
-    dealt = classes.select("fp", "rep", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*keys)).alias("key")).select("key.*", "pop", "fp", "rep")
+    dealt = classes.select("fp", "check", "rep", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*keys)).alias("key")).select("key.*", "pop", "fp", "check", "rep")
     bucket = ["choice", "bits"]
     by_pop = Window.partitionBy(*bucket).orderBy("pop")
     near = by_pop.rangeBetween(-radius, radius)
@@ -144,11 +165,11 @@ def link_forest(classes: DataFrame, radius: int = 4, tile: int = 512) -> DataFra
         .where(F.col("total") > tile)
         .select(*bucket, "pop", "n", "start", "from", "to")
     )
-    rank = F.col("start") + F.pmod(F.xxhash64("fp"), F.col("n"))
+    rank = F.col("start") + F.pmod(F.xxhash64("fp", "check"), F.col("n"))
     own = F.coalesce(F.floor(rank / tile), F.lit(0)).alias("own")
     met = F.coalesce(F.sequence(F.floor(F.col("from") / tile), F.floor(F.col("to") / tile)), F.array(F.lit(0).cast("long"))).alias("met")
-    rows = dealt.join(large, [*bucket, "pop"], "left").select(*bucket, "fp", "rep", own, F.explode(met).alias("other"))
-    member = F.struct("fp", "rep")
+    rows = dealt.join(large, [*bucket, "pop"], "left").select(*bucket, "fp", "check", "rep", own, F.explode(met).alias("other"))
+    member = F.struct("fp", "check", "rep")
     first = F.col("own") <= F.col("other")
     pairs = (
         rows.withColumn("t", F.least("own", "other")).withColumn("u", F.greatest("own", "other"))
@@ -156,31 +177,35 @@ def link_forest(classes: DataFrame, radius: int = 4, tile: int = 512) -> DataFra
         .agg(F.collect_list(F.when(first, member)).alias("left"), F.collect_list(F.when(~first, member)).alias("right"))
         .where((F.size("left") > 0) & (F.col("t").eqNullSafe(F.col("u")) & (F.size("left") > 1) | (F.size("right") > 0)))
     )
-    return pairs.select("left", "right").mapInArrow(compare(radius), "a long, b long")
+    return pairs.select("left", "right").mapInArrow(compare(radius, within), "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, tile: int = 512) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, tile: int = 512, within: int = BITS) -> DataFrame:
     """One row (doc_id, fp, component_id) per row of docs.
 
-    component_id: the smallest doc_id reachable over links of at most ``radius`` differing bits, itself included.
-    Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay repeated. A row whose id is null
-    gets the component of its fingerprint if a row with an id has the same one, else null; it makes no link itself. An
-    empty table gives an empty result. Columns other than the id and the text are not looked at.
+    component_id: the smallest doc_id reachable over links of at most ``radius`` differing bits, itself included; with
+    ``within`` a link's second fingerprints must also differ in no more than so many bits, which leaves out chance links
+    of a wide radius. Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay repeated. A row
+    whose id is null gets the component of its fingerprint if a row with an id has the same one, else null; it makes no
+    link itself. An empty table gives an empty result. Columns other than the id and the text are not looked at.
     """
-    prints = common.save(fingerprints(docs, id_col, text_col, size))
-    classes = common.save(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = common.connected_components(link_forest(classes, radius, tile))
-    of = classes.join(joined, classes.rep == joined.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
+    prints = common.save(fingerprints(docs, id_col, text_col, size, within < BITS))
+    classes = common.save(prints.where("doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("rep")))
+    joined = common.connected_components(link_forest(classes, radius, tile, within))
+    of = classes.join(joined, classes.rep == joined.node, "left")
+    of = of.select(F.col("fp").alias("__fp"), F.col("check").alias("__check"), F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(of, (F.col("fp") == F.col("__fp")) & (F.col("check") == F.col("__check")), "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest; rows with a null id stay, as does every repeat of a kept id."""
-    kept = components(docs, size=size, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, within: int = 16) -> DataFrame:
+    """The rows of docs whose doc_id is their group's smallest; rows with a null id stay, as does every repeat of a kept id.
+
+    Two texts with a share of 0.9 of their shingles differ in about 7 of 64 bits, two unrelated ones in 32.
+    """
+    found = components(docs, size=size, radius=radius, within=within)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     some = docs.join(kept, docs["doc_id"] == F.col("__id"), "left_semi")
-    if dict(docs.dtypes)["doc_id"] and docs.schema["doc_id"].nullable:
-        some = some.unionByName(docs.where(F.col("doc_id").isNull()))
-    return some
+    return some.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

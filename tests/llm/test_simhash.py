@@ -78,3 +78,22 @@ def test_long_text_and_many_near_copies(spark):
     docs = [(0, long), (1, long)] + [(2 + i, " ".join(base + ["z%d" % i])) for i in range(60)]
     got = simhash.components(spark.createDataFrame(docs, "doc_id long, text string"), tile=8).collect()
     assert {(r.doc_id, r.fp % 2**64, r.component_id) for r in got} == brute(docs)
+
+
+def test_wide_radius_with_second_fingerprint(spark):
+    docs = list(enumerate(texts(120, 11)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = {}
+    for i, t in docs:
+        h = simhash.text_hashes(t.encode(), 5)
+        prints[i] = (simhash.majority(h), simhash.majority(simhash.second(h)))
+    group = dict(enumerate(range(len(docs))))
+    changed = True
+    while changed:
+        changed = False
+        for i, (f, c) in prints.items():
+            for j, (g, d) in prints.items():
+                if (f ^ g).bit_count() <= 8 and (c ^ d).bit_count() <= 16 and group[j] < group[i]:
+                    group[i], changed = group[j], True
+    got = simhash.components(df, size=5, radius=8, within=16, tile=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == group
