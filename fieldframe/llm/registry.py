@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, html_text, packing, pii, quality, secrets, simhash, sketch, substring
+from . import embedding, html_text, packing, pieces, pii, quality, secrets, simhash, sketch, substring
 
 
 def pipeline(spark, sf_dir: str):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_product_quantisation": embedding.query,
         "op5_scaled_sketch": sketch.query,
         "op6_secret_scan": secrets.query,
+        "op7_piece_lattice": pieces.query,
         "op8_best_fit_packing": packing.query,
         "op9_surrogates": pii.query,
         "op10_min_cut_html": html_text.query,
