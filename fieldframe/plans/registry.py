@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import pixel_queries, shape_queries
+
 FLAGSHIP = "pixel_index_stats"
+MODULES = (pixel_queries, shape_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
