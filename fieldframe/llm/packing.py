@@ -12,7 +12,9 @@ rows by rank, are distributed: a range sort, counts of each partition, and one p
 from __future__ import annotations
 
 import bisect
-import os
+import json
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,32 +26,82 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 _loaded: dict = {}
+# The rules under which words may be cut here; other tokenizers are used whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters that NFC leaves alone and whose lower case is one letter each; no apostrophe, and no < of an added token.
+PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,./:;=>?@\\[\\]\\\\^_`{|}~-]+")
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-def encode_words(texts: list[bytes], path: str, add_special: bool = False) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit numbers. Words seen are kept, up to CACHED_WORDS."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _byte_chars() -> list[str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
+
+class Words(dict):
+    """Ids of words between white space, as little-endian unsigned 32-bit numbers, encoded when first met.
+
+    A word of Latin letters, digits and punctuation is cut into the tokenizer's own parts and these go to its model alone;
+    the others go through all of it.
+    """
+
+    def __init__(self, tokenizer, plain: bool, old: dict):
+        self.tokenizer, self.model, self.plain, self.old = tokenizer, tokenizer.model, plain, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            if self.plain and PLAIN.fullmatch(text):
+                parts = (p if p.isascii() else "".join([BYTE_CHARS[c] for c in p.encode()]) for p in PARTS.findall(text.lower()))
+                ids = pack_ids([t.id for p in parts for t in self.model.tokenize(p)])
+            else:
+                ids = pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Keeps the words met in two generations: a full one replaces the older one, whose words come back when they are met
+    again, so common words stay while those met once go."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _loaded[path]
-    out = []
-    for text in texts:
-        words = text.split()
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(set(words))
-            for k in range(0, len(missing), 10_000):
-                part = missing[k : k + 10_000]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=add_special), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join(map(known.__getitem__, words)))
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.plain = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+        self.words = Words(self.tokenizer, self.plain, {})
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self.words) > CACHED_WORDS:
+            self.words.old = {}
+            self.words = Words(self.tokenizer, self.plain, self.words)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def encode_words(texts: list[bytes], path: str) -> list[bytes]:
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return [_loaded[path].encode(t) for t in texts]
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -142,6 +194,7 @@ def ranked(batches):
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``pieces`` (any further columns stay) with their sequence_id and offset."""
     spark = found.sparkSession
+    found = common.save(found)  # the range sort reads its input twice, for bounds and for rows
     extra = [c for c in found.columns if c not in ("doc_id", "piece", "start", "length", "ids_crc32")]
     ordered = found.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", place long"
