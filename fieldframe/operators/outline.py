@@ -19,15 +19,15 @@ def efourier(r: DataFrame, nharm: int = 10) -> DataFrame:
     r = r.withColumns({"dx": minus(F.col("xs")), "dy": minus(F.col("ys"))})
     r = r.withColumn("dt", F.zip_with("dx", "dy", lambda p, q: F.greatest(F.sqrt(p * p + q * q), F.lit(1e-10))))
     r = r.withColumn("t", F.expr("transform(sequence(1, size(dt)), k -> aggregate(slice(dt, 1, k), 0D, (s, x) -> s + x))"))
-    r = r.withColumn("T", F.element_at("t", -1))
+    r = r.withColumn("total", F.element_at("t", -1))
     coef = """transform(sequence(1, {h}), n -> named_struct('n', n,
-        'a', T / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (cos(2 * n * pi() * t[p] / T) - cos(2 * n * pi() * (t[p] - dt[p]) / T))),
-        'b', T / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (sin(2 * n * pi() * t[p] / T) - sin(2 * n * pi() * (t[p] - dt[p]) / T))),
-        'c', T / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (cos(2 * n * pi() * t[p] / T) - cos(2 * n * pi() * (t[p] - dt[p]) / T))),
-        'd', T / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (sin(2 * n * pi() * t[p] / T) - sin(2 * n * pi() * (t[p] - dt[p]) / T)))))"""
+        'a', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (cos(2 * n * pi() * t[p] / total) - cos(2 * n * pi() * (t[p] - dt[p]) / total))),
+        'b', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (sin(2 * n * pi() * t[p] / total) - sin(2 * n * pi() * (t[p] - dt[p]) / total))),
+        'c', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (cos(2 * n * pi() * t[p] / total) - cos(2 * n * pi() * (t[p] - dt[p]) / total))),
+        'd', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (sin(2 * n * pi() * t[p] / total) - sin(2 * n * pi() * (t[p] - dt[p]) / total)))))"""
     r = r.withColumn("coefs", F.expr(coef.format(h=nharm)))
-    mean = lambda a: F.try_divide(F.aggregate(F.zip_with(a, "dt", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), F.col("T"))
-    return r.withColumns({"a0": mean("xs"), "c0": mean("ys")}).drop("xs", "ys", "dx", "dy", "dt", "t", "T")
+    mean = lambda a: F.try_divide(F.aggregate(F.zip_with(a, "dt", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), F.col("total"))
+    return r.withColumns({"a0": mean("xs"), "c0": mean("ys")}).drop("xs", "ys", "dx", "dy", "dt", "t", "total")
 
 
 def coefficients(e: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def rotate(r: DataFrame, degrees: float) -> DataFrame:
 
 
 def centre(r: DataFrame) -> DataFrame:
-    return r.withColumns({c: F.transform(c, lambda p, c=c: p - _mean(F.col(c))) for c in ARRAYS})
+    return _both(r, lambda a: F.transform(a, lambda p: p - _mean(a)))
 
 
 def flip(r: DataFrame, axis: str) -> DataFrame:

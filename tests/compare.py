@@ -42,7 +42,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     d, names = sys.argv[1], sys.argv[2:]
     con, queries, oracle = connect(d), e.registry.queries(), e.oracle_sql()
@@ -51,7 +51,7 @@ if __name__ == "__main__":
             try:
                 said = differs(spark, con, run, oracle[name], d) if name in oracle else f"no SQL; {run(spark, d).count()} rows"
             except Exception as x:
-                said = f"{type(x).__name__} {str(x)[:400]}"
+                said = f"{type(x).__name__} {' '.join(str(x).split())[:300]}"
             if said:
                 print(name, "|", said, flush=True)
     print("done")
