@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import polygon
 
@@ -12,22 +13,24 @@ TWO_PI = 2 * 3.141592653589793
 
 def efourier(r: DataFrame, nharm: int = 10) -> DataFrame:
     """(id, a0, c0, coefs array<struct<n, a, b, c, d>>): the edge to a vertex comes from the one before it, cyclically;
-    edges without length count as 1e-10."""
+    edges without length count as 1e-10. Rings packed by id stay where they are: both groupings reuse their partitioning."""
     n = F.size("xs")
     before = lambda a: F.concat(F.slice(a, n, F.lit(1)), F.slice(a, F.lit(1), n - 1))
-    minus = lambda a: F.zip_with(a, before(a), lambda p, q: p - q)
-    r = r.withColumns({"dx": minus(F.col("xs")), "dy": minus(F.col("ys"))})
-    r = r.withColumn("dt", F.zip_with("dx", "dy", lambda p, q: F.greatest(F.sqrt(p * p + q * q), F.lit(1e-10))))
-    r = r.withColumn("t", F.expr("transform(sequence(1, size(dt)), k -> aggregate(slice(dt, 1, k), 0D, (s, x) -> s + x))"))
-    r = r.withColumn("total", F.element_at("t", -1))
-    coef = """transform(sequence(1, {h}), n -> named_struct('n', n,
-        'a', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (cos(2 * n * pi() * t[p] / total) - cos(2 * n * pi() * (t[p] - dt[p]) / total))),
-        'b', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dx[p] / dt[p] * (sin(2 * n * pi() * t[p] / total) - sin(2 * n * pi() * (t[p] - dt[p]) / total))),
-        'c', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (cos(2 * n * pi() * t[p] / total) - cos(2 * n * pi() * (t[p] - dt[p]) / total))),
-        'd', total / (2D * n * n * pi() * pi()) * aggregate(sequence(0, size(dt) - 1), 0D, (s, p) -> s + dy[p] / dt[p] * (sin(2 * n * pi() * t[p] / total) - sin(2 * n * pi() * (t[p] - dt[p]) / total)))))"""
-    r = r.withColumn("coefs", F.expr(coef.format(h=nharm)))
-    mean = lambda a: F.try_divide(F.aggregate(F.zip_with(a, "dt", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), F.col("total"))
-    return r.withColumns({"a0": mean("xs"), "c0": mean("ys")}).drop("xs", "ys", "dx", "dy", "dt", "t", "total")
+    zipped = F.arrays_zip("xs", "ys", before(F.col("xs")).alias("bx"), before(F.col("ys")).alias("by"))
+    e = r.select("id", F.posexplode(zipped).alias("pos", "p")).select("id", "pos", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), (F.col("p.xs") - F.col("p.bx")).alias("dx"), (F.col("p.ys") - F.col("p.by")).alias("dy"))
+    e = e.withColumn("dt", F.greatest(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(1e-10)))
+    ring = Window.partitionBy("id")
+    e = e.withColumns({"t": F.sum("dt").over(ring.orderBy("pos")), "total": F.sum("dt").over(ring)})
+    e = e.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(nharm))))
+    at = lambda t: F.col("n") * TWO_PI * t / F.col("total")
+    now, then = at(F.col("t")), at(F.col("t") - F.col("dt"))
+    scale = F.max("total") / (F.col("n") * F.col("n") * (TWO_PI * TWO_PI / 2))
+    part = lambda d, f: scale * F.sum(F.col(d) / F.col("dt") * (f(now) - f(then)))
+    g = e.groupBy("id", "n").agg(
+        part("dx", F.cos).alias("a"), part("dx", F.sin).alias("b"), part("dy", F.cos).alias("c"), part("dy", F.sin).alias("d"),
+        (F.sum(F.col("x") * F.col("dt")) / F.max("total")).alias("a0"), (F.sum(F.col("y") * F.col("dt")) / F.max("total")).alias("c0"),
+    )
+    return g.groupBy("id").agg(F.max("a0").alias("a0"), F.max("c0").alias("c0"), F.array_sort(F.collect_list(F.struct("n", "a", "b", "c", "d"))).alias("coefs"))
 
 
 def coefficients(e: DataFrame) -> DataFrame:
