@@ -136,7 +136,7 @@ add("within_semi", lambda s, d: spatial.within(ob(s, d), pl(s), *SIZE).select("i
 add("overlaps_semi", lambda s, d: spatial.overlaps(ob(s, d), pl(s), *SIZE).select("id"), "id", semi(f"{O_} AND NOT {W_} AND NOT {H_}"))
 add("outside_anti", lambda s, d: spatial.outside(ob(s, d), pl(s).where("id > 4"), *SIZE).select("id"), "id", f"SELECT id FROM ({OB}) a WHERE NOT EXISTS (SELECT 1 FROM ({PL}) b WHERE b.id > 4 AND ({W_} OR {O_} AND NOT {H_}))")
 add("touches_semi", lambda s, d: spatial.touches(ob(s, d), pl(s), *SIZE).select("id"), "id", semi(f"a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax AND NOT {O_}"))
-add("intersection_rect", lambda s, d: spatial.intersection(ob(s, d), pl(s), *SIZE), "a_id b_id | xmin xmax ymin ymax area", f"SELECT a.id AS a_id, b.id AS b_id, greatest(a.xmin, b.xmin) AS xmin, least(a.xmax, b.xmax) AS xmax, greatest(a.ymin, b.ymin) AS ymin, least(a.ymax, b.ymax) AS ymax, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS area FROM ({OB}) a JOIN ({PL}) b ON {O_}")
+add("intersection_rect", lambda s, d: spatial.intersection(ob(s, d), pl(s), *SIZE), "a_id b_id | xmin xmax ymin ymax area", f"SELECT a.id AS a_id, b.id AS b_id, greatest(a.xmin, b.xmin) AS xmin, least(a.xmax, b.xmax) AS xmax, greatest(a.ymin, b.ymin) AS ymin, least(a.ymax, b.ymax) AS ymax, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS area FROM ({OB}) a JOIN ({PL}) b ON {O_} WHERE greatest(a.xmin, b.xmin) < least(a.xmax, b.xmax) AND greatest(a.ymin, b.ymin) < least(a.ymax, b.ymax)")
 add("shape_transform", lambda s, d: spatial.transform(boxes(s), 1, 2, 30, 1.5, 0.5), "id seq | x y", f"""SELECT id, seq::INT AS seq, dx * cos(radians(-30)) - dy * sin(radians(-30)) + mx + 1 AS x, dx * sin(radians(-30)) + dy * cos(radians(-30)) + my + 2 AS y FROM (SELECT id, seq, ((CASE WHEN seq IN (1, 4) THEN xmin ELSE xmax END) - mx) * 1.5::DOUBLE AS dx,
   ((CASE WHEN seq < 3 THEN ymin ELSE ymax END) - my) * 0.5::DOUBLE AS dy, mx, my FROM ({B9}), (SELECT (min(xmin) + max(xmax)) / 2 AS mx, (min(ymin) + max(ymax)) / 2 AS my FROM ({B9})), unnest([1, 2, 3, 4]) AS u(seq))""")
 add("shape_measures", lambda s, d: spatial.box_measures(ob(s, d)), "id | xcoord ycoord area perimeter width height", f"SELECT id, (xmin + xmax) / 2 AS xcoord, (ymin + ymax) / 2 AS ycoord, (xmax - xmin) * (ymax - ymin) AS area, (xmax - xmin + ymax - ymin) * 2 AS perimeter, xmax - xmin AS width, ymax - ymin AS height FROM ({OB})")
