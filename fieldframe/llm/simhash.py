@@ -80,16 +80,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, check long")
 
 
-def masks(n: int, radius: int) -> list[int]:
+#: Fewer fingerprints than this are dealt as this many are, so that small and large tables are dealt alike.
+DEALT_AS = 2**18
+
+
+def masks(n: int, radius: int, tile: int = 512) -> list[int]:
     """The block choices for n fingerprints: of 64 bits in b blocks, every choice of b - radius, as signed masks.
 
-    b is the one of least work: each choice sends every fingerprint once, and a comparison costs about a 500th of that.
-    Any b finds all links.
+    b is the one of least work: each choice sends every fingerprint once, and again for every further tile of its bucket;
+    a comparison costs about a 500th of sending. Any b finds all links.
     """
+    n = max(n, DEALT_AS)
 
     def work(b: int) -> float:
-        kept = BITS * (b - radius) / b
-        return comb(b, radius) * (1 + n / 2**kept / 500)
+        bucket = n / 2 ** (BITS * (b - radius) / b)
+        return comb(b, radius) * (1 + bucket / 500 + bucket / tile)
 
     b = min(range(radius + 1, radius + 6), key=work)
     edges = [round(i * BITS / b) for i in range(b + 1)]
@@ -98,6 +103,28 @@ def masks(n: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+def groups(near: np.ndarray, alone: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Connected groups of a tile pair's link matrix, as (rows, columns); alone: rows and columns are the same fingerprints.
+    Breadth-first over whole frontiers, so thousands of links within a group cost one pass over the matrix."""
+    left = near.any(1)
+    seen = np.zeros(near.shape[1], bool)
+    out = []
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        rows, cols = np.zeros_like(left), np.zeros_like(seen)
+        front = np.array([start])
+        while len(front):
+            rows[front] = True
+            left[front] = False
+            reached = near[front].any(0) & ~seen
+            seen |= reached
+            cols |= reached
+            front = np.flatnonzero((reached if alone else near[:, reached].any(1)) & left)
+        out.append((np.flatnonzero(rows), np.flatnonzero(cols)))
+    return out
+
+
 def forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (smallest id of a group, other id) that join what the links i-j join."""
     order = np.argsort(ids, kind="stable")
@@ -132,16 +159,18 @@ def compare(radius: int, within: int):
                 y, yi = rf[ro[k] : ro[k + 1]].view(np.uint64), ri[ro[k] : ro[k + 1]]
                 alone = len(y) == 0
                 near = np.bitwise_count(x[:, None] ^ (x if alone else y)[None, :]) <= radius
-                i, j = np.nonzero(np.triu(near, 1) if alone else near)
-                if within < BITS and len(i):
+                if alone:
+                    np.fill_diagonal(near, False)
+                if within < BITS and near.any():
+                    i, j = np.nonzero(near)
                     x, y = lc[lo[k] : lo[k + 1]].view(np.uint64), rc[ro[k] : ro[k + 1]].view(np.uint64)
-                    near = np.bitwise_count(x[i] ^ (x if alone else y)[j]) <= within
-                    i, j = i[near], j[near]
-                if len(i):
-                    ids = xi if alone else np.concatenate((xi, yi))
-                    u, v = forest(ids, i, j if alone else j + len(x))
-                    a_out.append(u)
-                    b_out.append(v)
+                    near[i, j] = np.bitwise_count(x[i] ^ (x if alone else y)[j]) <= within
+                for rows, cols in groups(near, alone) if near.any() else ():
+                    ids = xi[np.union1d(rows, cols)] if alone else np.concatenate((xi[rows], yi[cols]))
+                    low = ids.min()
+                    other = ids[ids != low]
+                    a_out.append(np.full(len(other), low))
+                    b_out.append(other)
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
@@ -150,7 +179,7 @@ def compare(radius: int, within: int):
 
 def link_forest(classes: DataFrame, radius: int = 4, tile: int = 512, within: int = BITS) -> DataFrame:
     """(fp, check, rep) classes -> (a, b) edges between reps that join exactly what links of at most ``radius`` bits join."""
-    keys = [F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(classes.count(), radius))]
+    keys = [F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(classes.count(), radius, tile))]
     dealt = classes.select("fp", "check", "rep", F.bit_count("fp").cast("int").alias("pop"), F.explode(F.array(*keys)).alias("key")).select("key.*", "pop", "fp", "check", "rep")
     bucket = ["choice", "bits"]
     by_pop = Window.partitionBy(*bucket).orderBy("pop")

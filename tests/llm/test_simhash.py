@@ -59,7 +59,7 @@ def test_blocks_of_every_width_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     wide = simhash.masks(10**10, 4)
     assert len(wide) > 5
-    monkeypatch.setattr(simhash, "masks", lambda n, r: wide)
+    monkeypatch.setattr(simhash, "masks", lambda n, r, t: wide)
     assert {(r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.components(df).collect()} == brute(docs)
 
 
