@@ -27,6 +27,9 @@ CONTEXT = re.compile(
     r"[\"']?(?:\x20*(?:=>|:=|[:=])\x20*(?:(?:bearer|basic)\x20+)?|\x20+is\x20+|(?<=bearer)\x20+)[\"'`<(\[{]*([^\s\"'`<>()\[\]{}|,;]{6,})",
     re.ASCII | re.IGNORECASE,
 )
+#: The characters of a CONTEXT value.
+VALUE = re.compile(r"[^\s\"'`<>()\[\]{}|,;]+")
+CLOSING = ".:!?&%$#*"
 #: Every match of ASSIGN or CONTEXT holds one of these in lower case.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -106,21 +109,21 @@ def find(text: str, cost: GuessCost | None = None, threshold: float = 40.0) -> l
     """(start, kind, end, start of the secret itself) in code points, by start, then kind in the order of KINDS, then end.
 
     Base kinds hold the leftmost non-overlapping matches of their pattern. ``cost`` spans are values in a credential's
-    context, base ones included, whose guess cost reaches the threshold.
+    context, base ones included, whose guess cost reaches the threshold. Where a base value is only the first part of a
+    value, the whole value is judged too; it never ends before the base value does.
     """
     out = []
     low = text.lower()
     if any(h in low for h in HINTS):
-        values = set()
+        base = {}
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 6:
                 out.append((m.start(), "assign", m.end(), m.start(2)))
-                values.add(m.span(2))
+                base[m.start(2)] = m.end(2)
         if cost is not None:
-            for m in CONTEXT.finditer(text):
-                end = m.end(1) - (len(m[1]) - len(m[1].rstrip(".:!?&%$#*")))
-                if not any(s < end and m.start(1) < e for s, e in values):
-                    values.add((m.start(1), end))
+            values = set(base.items())
+            whole = [(m[0], m.start()) for m in (VALUE.match(text, s) for s in base)] + [(m[1], m.start(1)) for m in CONTEXT.finditer(text)]
+            values |= {(s, max(s + len(v.rstrip(CLOSING)), base.get(s, 0))) for v, s in whole}
             out += [(s, "cost", e, s) for s, e in values if e - s >= 6 and cost.bits(text[s:e]) >= threshold]
     if "AKIA" in text:
         out += [(m.start(), "access", m.end(), m.start()) for m in ACCESS.finditer(text)]

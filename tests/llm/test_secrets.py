@@ -108,6 +108,20 @@ def test_costly_values_are_found_and_cheap_ones_are_not():
     assert secrets.redact(text, secrets.find(text, cost)) == 'a token = "[SECRET]" b'
 
 
+def test_a_value_goes_whole_where_a_base_span_is_its_first_part():
+    cost = secrets.GuessCost.from_tokenizer(PATH)
+    for symbol in "!@#$%&*:~":
+        value = f"summer{symbol}xK9#vQ2$Lm"
+        for key in ("password", "secret", "token", "api_key", "db_passwd", "dbpassword"):
+            for text in (f'{key} = "{value}" b', f"{key}={value} b"):
+                spans = secrets.find(text, cost)
+                assert [text[at:e] for _, k, e, at in spans if k == "assign"] == ["summer"]
+                assert ("cost", value) in [(k, text[s:e]) for s, k, e, _ in spans]
+                assert secrets.redact(text, spans) == text.replace(value, "[SECRET]")
+    text = "token = 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde. Next"
+    assert len([k for _, k, _, _ in secrets.find(text, cost) if k == "cost"]) == 1
+
+
 def test_rows(spark):
     docs = [*enumerate(samples()[:200]), (None, "token=abcdefgh"), (1, samples()[1]), (900, None), (901, ""), (902, "word " * 100_000 + "secret: abcdefghij")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, spans string")
