@@ -2,9 +2,10 @@
 
 A text is cut into sentences at closing marks and line ends; long ones are cut further after words that a hash of their
 bytes picks, so two copies of a passage are cut alike whatever stands around them. Every run of at least ``run``
-sentences, from each sentence on, as long as needed for ``words`` words, is hashed. The hashes meet in one global
-aggregation (their smallest doc_id) and one join; sentences covered by a run that some earlier document has, or that
-came earlier in the same document, are removed.
+sentences, from each sentence on, as long as needed for ``words`` words, is hashed. A window of ``WINDOW`` words whose
+complete runs cover fewer than ``INSIDE`` of them is a run of its own, from each word on; that is seen from its own words,
+so copies agree and no passage of that length is without a run. The hashes meet in one global aggregation (their smallest doc_id) and one join;
+words covered by a run that some earlier document has, or that came earlier in the same document, are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from . import common
 RUN = 3
 WORDS = 20
 #: One word in so many ends a sentence.
-CUT = 16
+CUT = 4
+#: Of every passage of so many words at least INSIDE words lie in runs.
+WINDOW = 51
+INSIDE = 31
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
 ENDING = np.zeros(256, bool)
@@ -40,7 +44,8 @@ class Cut:
         self.starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, np.int64)
         n = len(self.starts)
         self.first = np.empty(0, np.int64)  # of each sentence, its first word; then the number of words
-        self.begin = self.end = self.first  # of each run, its first sentence and the one after its last
+        self.begin = self.end = self.first  # of each run, its first word and the one after its last; windows come last
+        self.windows = 0
         self.hashes: list[int] = []
         if not n:
             return
@@ -53,38 +58,47 @@ class Cut:
         self.first = np.r_[0, np.flatnonzero(last) + 1]
         count = len(self.first) - 1
         until = np.maximum(np.searchsorted(self.first, self.first[:-1] + words), np.arange(count) + run)
-        self.begin = np.flatnonzero(until <= count)
-        self.end = until[self.begin]
+        begin = np.flatnonzero(until <= count)
+        self.begin, self.end = self.first[begin], self.first[until[begin]]
+        # Runs overlap the next ones, so those within a window cover all from the first one's begin to the last one's end.
+        # Cuts at the window's own ends may depend on what is outside and do not count.
+        at = np.arange(max(n - WINDOW + 1, 0))
+        low, high = np.searchsorted(self.begin, at, "right"), np.searchsorted(self.end, at + WINDOW)
+        bare = at[(low >= high) | (np.r_[0, self.end][high] - np.r_[self.begin, n][low] < INSIDE)]
+        self.windows = len(bare)
+        self.begin, self.end = np.r_[self.begin, bare], np.r_[self.end, bare + WINDOW]
         joined = b" ".join(data.lower().split())
         at = np.r_[0, np.cumsum(self.ends - self.starts + 1)]
         digest = xxhash.xxh64_intdigest
-        self.hashes = [digest(joined[s:e], 42) for s, e in zip(at[self.first[self.begin]].tolist(), (at[self.first[self.end]] - 1).tolist(), strict=True)]
+        self.hashes = [digest(joined[s:e], 42) for s, e in zip(at[self.begin].tolist(), (at[self.end] - 1).tolist(), strict=True)]
 
     def covered(self, gone: set[int]) -> np.ndarray:
-        """Which sentences lie in a run whose hash is in ``gone`` or came earlier in this text."""
-        seen: set[int] = set()
-        edge = np.zeros(len(self.first), np.int64)
-        for h, s, e in zip(self.hashes, self.begin.tolist(), self.end.tolist(), strict=True):
-            if h in gone or h in seen:
+        """Which words lie in a run whose hash is in ``gone`` or came earlier in this text; a window's earlier place must
+        not overlap it, so that the first place of a word said over and over is kept."""
+        seen: dict[int, int] = {}
+        edge = np.zeros(len(self.starts) + 1, np.int64)
+        runs = len(self.hashes) - self.windows
+        for k, (h, s, e) in enumerate(zip(self.hashes, self.begin.tolist(), self.end.tolist(), strict=True)):
+            if h in gone or h in seen and (k < runs or seen[h] <= s):
                 edge[s] += 1
                 edge[e] -= 1
             else:
-                seen.add(h)
+                seen.setdefault(h, e)
         return np.cumsum(edge)[:-1] > 0
 
     def without(self, covered: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
-        """The text without the covered sentences (a line end after a removed stretch stays), and the byte spans removed."""
+        """The text without the covered words (a line end after a removed stretch stays), and the byte spans removed."""
         if not covered.any():
             return self.data, []
         step = np.diff(np.r_[0, covered.astype(np.int8), 0])
         out, spans, at = [], [], 0
         bounds = np.r_[self.starts, len(self.data)]
         for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-            start, stop = int(bounds[self.first[s]]), int(bounds[self.first[e]])
+            start, stop = int(bounds[s]), int(bounds[e])
             out.append(self.data[at:start])
-            if b"\n" in self.data[int(self.ends[self.first[e] - 1]) : stop]:
+            if b"\n" in self.data[int(self.ends[e - 1]) : stop]:
                 out.append(b"\n")
-            spans.append((start, int(self.ends[self.first[e] - 1])))
+            spans.append((start, int(self.ends[e - 1])))
             at = stop
         out.append(self.data[at:])
         return b"".join(out), spans
@@ -116,12 +130,12 @@ def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """docs with the repeated sentences taken out of ``text``, ``n_chars`` (where there is one) counted anew, and further
+    """docs with the repeated passages taken out of ``text``, ``n_chars`` (where there is one) counted anew, and further
     columns n_removed (characters) and removed (start:end of each stretch in code points of the old text).
 
     The first place of a run, by doc_id and then by position, keeps it. Rows of one id are one document: they do not
     count as repeats of each other. A row with a null id is only held against itself; a null text stays null; texts with
-    fewer than ``run`` sentences or ``words`` words lose nothing. An empty table gives an empty result.
+    fewer than ``words`` words, or fewer than ``run`` sentences and ``WINDOW`` words, lose nothing. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns]
     joined = docs.join(repeats(docs, run, words), docs["doc_id"] == F.col("__id"), "left").select(*[docs[c] for c in kept], "__gone")

@@ -78,5 +78,28 @@ def test_a_passage_inside_other_sentences_goes():
     assert len(left.split()) < 5 + 2 + 8
 
 
+def test_every_passage_of_over_50_words_goes(spark):
+    rng = random.Random(5)
+    vocab = ["w%d" % k for k in range(400)]
+    uncut = [w for w in vocab if sum(int(substring.WEIGHT[b]) for b in w.encode()) % 16 and sum(int(substring.WEIGHT[b]) for b in w.encode()) % substring.CUT]
+    kinds = [lambda n: rng.choices(uncut, k=n), lambda n: rng.choices(vocab, k=n), lambda n: [w + rng.choice(("", "", "", ".", ",")) for w in rng.choices(vocab, k=n)], lambda n: (rng.choices(uncut, k=rng.randint(1, 3)) * n)[:n]]
+    passages = [kind(n) for kind in kinds for n in (51, 52, 60) for _ in range(40)]
+    around = lambda n: ["x%d" % rng.randrange(10**9) + rng.choice(("", "", ".")) for _ in range(n)]
+    docs, id_ = [], 0
+    for k, p in enumerate(passages):
+        for _ in range(2):
+            docs.append((id_, k, " ".join(around(rng.randint(0, 20)) + p + around(rng.randint(0, 20)))))
+            id_ += 1
+    got = substring.dedup(spark.createDataFrame(docs, "doc_id long, passage long, text string")).collect()
+    for r in got:
+        if r.doc_id % 2:
+            words = passages[r.passage]
+            text = docs[r.doc_id][2].split()
+            assert len(text) - len(r.text.split()) >= substring.INSIDE, words
+    assert substring.Cut(b"and " * 51).windows == 1
+    twice = substring.Cut(b"and " * 150)
+    assert len(twice.without(twice.covered(set()))[0].split()) == 51
+
+
 def test_empty_table(spark):
     assert substring.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
