@@ -2,7 +2,8 @@
 
 Entities (e-mail addresses, phone numbers, card and account numbers, IP addresses, national ids, names after a title or a
 naming phrase) get keyed replacements of the same type, script, gender and format. What identifies an entity is its
-normal form (letter case and separators aside), so all its mentions get one surrogate. Numbers and addresses go through a
+normal form (letter case and separators aside), so all its mentions get one surrogate; a name found once is looked for in
+the whole text. Numbers and addresses go through a
 keyed permutation of all values of their format; names are composed of syllables of their script with an ending of their
 gender. A global check over the distinct entities rejects surrogates that two entities share or that are themselves
 entities of the corpus, and these are drawn anew until none is left.
@@ -39,6 +40,7 @@ FEMALE_NAMES = frozenset("mary patricia jennifer linda elizabeth barbara susan j
 NAME_WORD = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_]+)*"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.?\x20+({NAME_WORD})(?:\x20+({NAME_WORD}))?")
 SAID = re.compile(rf"(?<!\w)(?i:{'|'.join(PHRASES)})\x20*({NAME_WORD})(?:\x20+({NAME_WORD}))?")
+TITLES = frozenset(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 TITLE_WORDS = tuple(t + e for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES for e in (" ", "."))
 #: Per script: consonants, vowels and the endings of male, female and other given names and of surnames.
 SCRIPTS = {
@@ -173,7 +175,13 @@ def render(kind: str, text: str, new: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), not overlapping, by start; where kinds overlap, the one that comes first in the code wins."""
+    """(start, end, kind), not overlapping, by start; where kinds overlap, the one that comes first in the code wins.
+
+    A name found after a title or phrase is then looked for in the whole text as a whole word: as it was written, with one
+    capital or in capitals, since in small letters many names are common words. Where it was found as several kinds of
+    name, these further mentions have the first one's. Titles and single letters of alphabets with capitals are not
+    looked for.
+    """
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
@@ -187,6 +195,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if any(p in low for p in PHRASES):
         for m in SAID.finditer(text):
             found += names(m, 1, None)
+    if any(kind.startswith(("given", "surname")) for _, _, kind in found):
+        found += further(text, found)
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
     for s, e, kind in found:
@@ -196,16 +206,40 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def further(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """All mentions of the names in ``found``; of two names that begin alike, the longer one."""
+    kinds: dict[str, str] = {}
+    for s, e, kind in sorted(found):
+        if kind.startswith(("given", "surname")):
+            kinds.setdefault(text[s:e].lower(), kind)
+    forms = {}
+    for s, e, kind in found:
+        name = text[s:e]
+        if (low := name.lower()) in kinds and name not in TITLES and (len(name) > 1 or low == name.upper()):
+            forms |= dict.fromkeys((name, low[0].upper() + low[1:], name.upper()), kinds[low])
+    if not forms:
+        return []
+    rule = "|".join(map(re.escape, sorted(forms, key=lambda w: (-len(w), w))))
+    return [(*m.span(), forms[m[0]]) for m in re.finditer(rf"(?<!\w)(?:{rule})(?!\w)", text)]
+
+
 def names(m: re.Match, at: int, gender: str | None) -> list[tuple[int, int, str]]:
     """Two words after a title or phrase are given name and surname; one is a surname after a title, else a given name."""
-    first = m[at].lower()
+    first, last = own(m, at), own(m, at + 1)
+    name = m.string[slice(*first)].lower()
     if gender in (None, ""):
-        known = "_m" if first in MALE_NAMES else "_f" if first in FEMALE_NAMES else ""
+        known = "_m" if name in MALE_NAMES else "_f" if name in FEMALE_NAMES else ""
     else:
         known = gender
     if m[at + 1] is None:
-        return [(*m.span(at), "given" + known if gender is None else "surname")]
-    return [(*m.span(at), "given" + known), (*m.span(at + 1), "surname")]
+        return [(*first, "given" + known if gender is None else "surname")]
+    return [(*first, "given" + known), (*last, "surname")]
+
+
+def own(m: re.Match, at: int) -> tuple[int, int]:
+    """The place of a name without a possessive 's."""
+    s, e = m.span(at)
+    return (s, e - 2) if m[at] and len(m[at]) > 3 and m[at].endswith(("'s", "’s")) else (s, e)
 
 
 def entities(docs: DataFrame) -> DataFrame:

@@ -40,6 +40,23 @@ def test_surrogates_keep_type_and_format(spark):
     assert (by[5], by[6], by[7]) == (None, "", "Nothing here in 2024.")
 
 
+def test_later_mentions_of_a_name_get_its_surrogate(spark):
+    docs = [
+        (1, "Weber was late. Dr. Anna Weber called. Weber said so, and WEBER's friend Anna; Webern, Annas and the weber stay."),
+        (2, "Mr. Long's bag is here. It is a long day, said Long."),
+        (3, "Weber and Anna without a title."),
+        (4, "Herr Dr. Weber and Prof. Dr. Maier: the Dr knows. Mrs. A. Lee has A and B."),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"(\w+) was late\. Dr\. (\w+) (\w+) called\. (\w+) said so, and (\w+)'s friend (\w+); Webern, Annas and the weber stay\.", got[1].text)
+    assert m and m[1] == m[3] == m[4] != "Weber" and m[5] == m[3].upper() and m[2] == m[6] != "Anna"
+    assert got[1].entities == "given:2,surname:4"
+    m = re.fullmatch(r"Mr\. (\w+)'s bag is here\. It is a long day, said (\w+)\.", got[2].text)
+    assert m and m[1] == m[2] != "Long"
+    assert got[3].text == docs[2][1]
+    assert "the Dr knows" in got[4].text and got[4].text.endswith("has A and B.")
+
+
 def test_collisions_are_drawn_anew(spark, monkeypatch):
     plain = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, normal, attempt=0: "10.0.0.%d" % (int(normal.split(".")[3]) // 3) if attempt == 0 else plain(key, kind, normal, attempt))
