@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a relational lattice, in DataFrame operations only.
 
-A text, after a space put before it, is cut before every space into words. Each distinct word's substrings of bounded
+A text, after a space put before it, is cut before every run of spaces into words. Each distinct word's substrings of bounded
 length are exploded and equi-joined to the piece table (of fixed size, hence broadcast); a character that is no piece
 gets an edge of its byte pieces. A word's edges are grouped, and a fold over them by their ends keeps the best way to each
 place (Viterbi): the highest sum of piece scores, then the fewest pieces, then the longest last one. Occurrences are
@@ -34,14 +34,14 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
             rows.append((None, k, None, piece[3:5]))
         elif not model.is_control(k) and not model.is_unknown(k) and not model.is_unused(k):
             text = piece.replace("▁", " ")
-            if " " not in text[1:]:  # words hold a space at their start only
-                rows.append((text, k, float(model.get_score(k)), text.encode().hex().upper()))
+            rows.append((text, k, float(model.get_score(k)), text.encode().hex().upper()))
     return spark.createDataFrame(rows, "piece string, id int, score double, bytes string")
 
 
 def words_of(text):
-    """The words of a text column; an empty text has none."""
-    return F.when(F.length(text) > 0, F.split(F.concat(F.lit(" "), text), "(?= )")).otherwise(F.array().cast("array<string>"))
+    """The words of a text column, their spaces (all at the start) included; an empty text has none. A piece with a space
+    after another character would reach over two words; the model has none."""
+    return F.when(F.length(text) > 0, F.split(F.concat(F.lit(" "), text), "(?<! )(?= )")).otherwise(F.array().cast("array<string>"))
 
 
 def encode_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def encode_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row. A null text counts as empty and has no ids; null and repeated ids stay row by row;
-    other columns are not looked at. A word's fold copies its state at each place, so a text of n characters without a
-    space costs n squared."""
+    other columns are not looked at. A word's fold copies its state at each place, so a word of n characters (a
+    text without a space, or a run of spaces) costs n squared."""
     pieces = piece_table(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     row = F.xxhash64("doc_id", "text").alias("row")

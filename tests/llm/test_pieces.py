@@ -68,5 +68,26 @@ def test_best_path_and_round_trip(spark):
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in docs)
 
 
+def test_runs_of_spaces(spark):
+    table = {MODEL.id_to_piece(k).replace("▁", " "): MODEL.get_score(k) for k in range(MODEL.get_piece_size()) if not (MODEL.is_byte(k) or MODEL.is_control(k) or MODEL.is_unknown(k))}
+    assert not any(" " in w.lstrip(" ") for w in table)
+    docs = list(enumerate(["if x:\n return", "def f(a):\n    if a:\n        return  a\n", "a" + " " * 37 + "b", "   lead", "tail     ", " " * 16, "a\t  b  \n  c", "one two", ""]))
+
+    def best(text):
+        text = " " + text if text else ""
+        out = [0.0] + [None] * len(text)
+        for e in range(1, len(text) + 1):
+            out[e] = max([out[s] + table[text[s:e]] for s in range(max(0, e - 64), e) if text[s:e] in table] + ([] if text[e - 1] in table else [out[e - 1] + pieces.UNKNOWN]))
+        return out[-1]
+
+    coded = pieces.encode(spark.createDataFrame(docs, "doc_id long, text string"), PATH).cache()
+    got = {r.doc_id: r.ids for r in coded.collect()}
+    for k, t in docs:
+        assert abs(score(got[k]) - best(t)) < 1e-3 * max(1, abs(best(t)) / 1e3), t
+    assert {r.doc_id: r.text for r in pieces.decode(coded, PATH).collect()} == dict(docs)
+    theirs = spark.createDataFrame([(k, MODEL.encode(t)) for k, t in docs], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(theirs, PATH).collect()} == dict(docs)
+
+
 def test_empty_table(spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
