@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir, which all executors share. On one machine alone it may be unset; then it is a
+    temporary folder. On a cluster that would be each executor's own disk, so an unset one is an error there."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='fieldframe-')}")
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
@@ -30,11 +33,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def save(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back (cheaper than a checkpoint for many or wide rows)."""
+def save(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back (cheaper than a checkpoint for many or wide rows). Tables of
+    earlier calls that nothing reads any more go (``spent``)."""
     path = f"{shared_dir(df.sparkSession)}/fieldframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_saved_at"] = path
+    drop(*spent)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``save`` returned."""
+    for t in tables:
+        jvm, session = t.sparkSession.sparkContext._jvm, t.sparkSession._jsparkSession
+        at = jvm.org.apache.hadoop.fs.Path(t.__dict__["_saved_at"])
+        at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
