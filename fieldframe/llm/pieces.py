@@ -1,10 +1,13 @@
-"""SentencePiece encoding and decoding as a relational lattice, in DataFrame operations only.
+"""SentencePiece encoding and decoding over a relational lattice.
 
-A text, after a space put before it, is cut before every run of spaces into words. Each distinct word's substrings of bounded
-length are exploded and equi-joined to the piece table (of fixed size, hence broadcast); a character that is no piece
-gets an edge of its byte pieces. A word's edges are grouped, and a fold over them by their ends keeps the best way to each
-place (Viterbi): the highest sum of piece scores, then the fewest pieces, then the longest last one. Occurrences are
-joined to the encoded words, and a document's ids are put in order.
+A text, after a space put before it, is cut before every run of spaces into words. The corpus' words are counted, and the
+commonest, of a bounded number and length, are encoded relationally: their substrings of bounded length are exploded and
+equi-joined to the piece table (of fixed size, hence broadcast), a character that is no piece gets an edge of its byte
+pieces, a word's edges are grouped, and a fold over them by their ends keeps the best way to each place (Viterbi): the
+highest sum of piece scores, then the fewest pieces, then the longest last one. These words make a dictionary of proven
+size. Texts are then read once, where they lie: words of the dictionary are looked up, and the lattice of each other word
+(a tenth of the occurrences, most of them unique) is folded in the task that meets it, by the same rule. Sending those
+words, their ids and the texts to each other instead would shuffle more than the input.
 
 The path is the best one over the model's scores. A model trained by byte-pair merging scores its pieces by merge rank;
 merging itself may choose other pieces. Decoding gives the text back exactly either way.
@@ -12,6 +15,11 @@ merging itself may choose other pieces. Decoding gives the text back exactly eit
 
 from __future__ import annotations
 
+import re
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +27,20 @@ from . import common
 
 #: Score of a character that is no piece, below that of any path of pieces.
 UNKNOWN = -1e6
+#: Bounds of the dictionary: its words, and the characters of a word. Results do not depend on them.
+WORDS = 1 << 18
+LETTERS = 32
+#: Words of a task's own that it remembers.
+RECENT = 1 << 17
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """(piece, id, score, bytes): the model's ordinary pieces with a space for their word mark, and its byte pieces
     (piece null). bytes: hexadecimal."""
+    return spark.createDataFrame(pieces_of(path), "piece string, id int, score double, bytes string")
+
+
+def pieces_of(path: str) -> list[tuple]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -34,18 +51,52 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
             rows.append((None, k, None, piece[3:5]))
         elif not model.is_control(k) and not model.is_unknown(k) and not model.is_unused(k):
             text = piece.replace("▁", " ")
+            if " " in text.lstrip(" "):
+                raise ValueError(f"piece {k} reaches over two words: {piece!r}")
             rows.append((text, k, float(model.get_score(k)), text.encode().hex().upper()))
-    return spark.createDataFrame(rows, "piece string, id int, score double, bytes string")
+    return rows
+
+
+class Lattice:
+    """The same lattice for single words, in time linear in a word's length."""
+
+    def __init__(self, rows: list[tuple]):
+        self.known = {p: (score, k) for p, k, score, _ in rows if p is not None}
+        self.bytes = {int(h, 16): k for p, k, _, h in rows if p is None}
+        self.longest = max(map(len, self.known), default=1)
+
+    def ids(self, word: str) -> list[int]:
+        known, longest = self.known, self.longest
+        best, count, start, last = [0.0], [0], [0], [None]
+        for e in range(1, len(word) + 1):
+            at = None
+            for s in range(max(0, e - longest), e):
+                edge = known.get(word[s:e])
+                if edge:
+                    score, pieces, ids = best[s] + edge[0], count[s] + 1, edge[1]
+                elif s == e - 1:
+                    ids = [self.bytes[b] for b in word[s:e].encode()]
+                    score, pieces = best[s] + UNKNOWN, count[s] + len(ids)
+                else:
+                    continue
+                if at is None or score > at[0] or score == at[0] and pieces < at[1]:
+                    at = score, pieces, s, ids
+            for to, x in zip((best, count, start, last), at, strict=True):
+                to.append(x)
+        out, e = [], len(word)
+        while e:
+            out += last[e][::-1] if isinstance(last[e], list) else [last[e]]
+            e = start[e]
+        return out[::-1]
 
 
 def words_of(text):
-    """The words of a text column, their spaces (all at the start) included; an empty text has none. A piece with a space
-    after another character would reach over two words; the model has none."""
+    """The words of a text column, their spaces (all at the start) included; an empty text has none."""
     return F.when(F.length(text) > 0, F.split(F.concat(F.lit(" "), text), "(?<! )(?= )")).otherwise(F.array().cast("array<string>"))
 
 
 def encode_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word) -> (word, ids)."""
+    """(word) -> (word, ids), words being distinct and of bounded length."""
     ordinary = pieces.where("piece is not null").select("piece", "id", "score")
     byte_ids = pieces.where("piece is null").agg(F.array_sort(F.collect_list(F.struct("bytes", "id"))).alias("all")).first()["all"]
     first = byte_ids[0]["id"] if byte_ids else 0
@@ -72,32 +123,88 @@ def encode_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return edges.select("word", F.expr(fold).alias("best")).select("word", F.expr(back).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def commonest(texts: DataFrame, words: int = WORDS, letters: int = LETTERS) -> DataFrame:
+    """(word) at most ``words`` words of at most ``letters`` characters: those that occur so often that no more do. The bar
+    is found from how many words have each count, in bins an eighth of a doubling wide."""
+    every = texts.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.length("word") <= letters)
+    counts = common.save(every.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("bin", F.floor(F.log2("n") * 8).cast("int")))
+    left, bar = words, None
+    for r in counts.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        bar = r["bin"]
+    return counts.where(F.col("bin") >= bar).select("word") if bar is not None else counts.where("false").select("word")
+
+
+def dictionary(texts: DataFrame, path: str, words: int = WORDS) -> dict[str, bytes]:
+    """Words and their ids (32 bits each) of the commonest words. Dealt to tasks of some thousand words, the edges of a
+    task are grouped in memory, without Spark's fall back to sorting all of them on disk."""
+    spark = texts.sparkSession
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    some = commonest(texts, words)
+    dealt = some.repartition(max(1, ceil(words / 8192)), "word")
+    spark.conf.set(name, str(1 << 20))
+    try:
+        known = encode_words(dealt, piece_table(spark, path)).collect()
+    finally:
+        spark.conf.set(name, before)
+    return {r.word: np.array(r.ids, np.int32).tobytes() for r in known}
+
+
+def encode(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
     """(doc_id, ids) of every row. A null text counts as empty and has no ids; null and repeated ids stay row by row;
-    other columns are not looked at. A word's fold copies its state at each place, so a word of n characters (a
-    text without a space, or a run of spaces) costs n squared."""
-    pieces = piece_table(docs.sparkSession, path)
+    other columns are not looked at; an empty table gives an empty result. A word of any length (a text without a space, a
+    run of spaces) takes time in proportion."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    row = F.xxhash64("doc_id", "text").alias("row")
-    words = rows.select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
-    known = common.save(encode_words(words, pieces)).select(F.col("word").alias("__word"), "ids")
-    places = rows.select(row, F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    found = places.join(known, F.col("word") == F.col("__word")).select("row", "pos", "ids")
-    # Rows of one id and text are one here; a set holds their places once.
-    found = found.groupBy(F.col("row").alias("__row")).agg(F.expr("flatten(transform(array_sort(collect_set(struct(pos, ids))), x -> x.ids))").alias("ids"))
-    out = rows.select("doc_id", row).join(found, F.col("row") == F.col("__row"), "left")
-    return out.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text) of every row; null ids count as none; ids that are no pieces are left out."""
-    pieces = F.broadcast(piece_table(encoded.sparkSession, path).select(F.col("id").alias("__id"), "bytes"))
-    row = F.xxhash64("doc_id", "ids").alias("row")
-    places = encoded.select(row, F.posexplode("ids").alias("pos", "id")).join(pieces, F.col("id") == F.col("__id"))
-    joined = places.groupBy(F.col("row").alias("__row")).agg(F.expr("array_join(transform(array_sort(collect_set(struct(pos, bytes))), x -> x.bytes), '')").alias("all"))
-    out = encoded.select("doc_id", row).join(joined, F.col("row") == F.col("__row"), "left")
-    text = F.decode(F.unhex("all"), "UTF-8")
-    return out.select("doc_id", F.coalesce(F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2147483647)).otherwise(text), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((dictionary(rows, path, words), pieces_of(path)))
+
+    def run(batches):
+        known, table = shared.value
+        lattice, recent = Lattice(table), {}
+
+        def other(word: str) -> bytes:
+            found = recent.get(word)
+            if found is None:
+                found = np.array(lattice.ids(word), np.int32).tobytes()
+                if len(word) <= LETTERS:
+                    if len(recent) >= RECENT:
+                        recent.clear()
+                    recent[word] = found
+            return found
+
+        cut, get = re.compile(" *[^ ]+| +").findall, known.get
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                blobs = [b"".join([get(w) or other(w) for w in cut(" " + t)]) if t else b"" for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, blobs)]) // 4
+                ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
+    """(doc_id, ids) -> (doc_id, text) of every row, further columns kept; null ids count as none; ids that are no pieces
+    are left out, as is what is not UTF-8 (U+FFFD stands for it)."""
+    shared = encoded.sparkSession.sparkContext.broadcast({k: bytes.fromhex(h) for _, k, _, h in pieces_of(path)})
+    names = encoded.columns
+    at = names.index(ids_col)
+
+    def run(batches):
+        get = lambda k, table=shared.value: table.get(k, b"")
+        for b in batches:
+            for first in range(0, len(b), 256):
+                part = b.slice(first, 256)
+                texts = [b"".join(map(get, ids or ())).removeprefix(b" ").decode("utf-8", "replace") for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, to])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    out = encoded.mapInArrow(run, f"{kinds}, `{to}` string")
+    return out if names != ["doc_id", ids_col] else out.select("doc_id", to)
 
 
 def default_path() -> str:
@@ -107,5 +214,7 @@ def default_path() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = encode(common.table(spark, sf_dir, "documents"), default_path())
-    return out.select("doc_id", F.size("ids").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    path = default_path()
+    coded = encode(common.table(spark, sf_dir, "documents"), path).withColumn("n_pieces", F.size("ids"))
+    out = decode(coded, path, to="back")
+    return out.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))

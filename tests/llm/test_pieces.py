@@ -15,29 +15,17 @@ def texts():
 
 
 def brute(text):
-    """Best score over all segmentations of each word, word by word."""
+    """Best score over all segmentations of the whole text into pieces and single characters."""
     table = {}
     for k in range(MODEL.get_piece_size()):
         if not (MODEL.is_byte(k) or MODEL.is_control(k) or MODEL.is_unknown(k)):
-            table[MODEL.id_to_piece(k).replace("▁", " ")] = (MODEL.get_score(k), k)
-    out = 0.0
-    word = ""
-    words = []
-    for c in " " + text if text else "":
-        if c == " " and word:
-            words.append(word)
-            word = ""
-        word += c
-    words += [word] if word else []
-    for w in words:
-        best = [0.0] + [None] * len(w)
-        for e in range(1, len(w) + 1):
-            ways = [best[s] + table[w[s:e]][0] for s in range(e) if w[s:e] in table and " " not in w[s + 1 : e]]
-            if w[e - 1] not in table:
-                ways.append(best[e - 1] + pieces.UNKNOWN)
-            best[e] = max(ways)
-        out += best[-1]
-    return out
+            table[MODEL.id_to_piece(k).replace("▁", " ")] = MODEL.get_score(k)
+    text = " " + text if text else ""
+    best = [0.0] + [None] * len(text)
+    for e in range(1, len(text) + 1):
+        ways = [best[s] + table[text[s:e]] for s in range(max(0, e - 48), e) if text[s:e] in table]
+        best[e] = max(ways + ([] if text[e - 1] in table else [best[e - 1] + pieces.UNKNOWN]))
+    return best[-1]
 
 
 def score(ids):
@@ -60,6 +48,9 @@ def test_best_path_and_round_trip(spark):
     coded = pieces.encode(df, PATH).cache()
     got = coded.collect()
     assert len(got) == len(docs)
+    # With a dictionary of two words, or of none, all others' lattices are folded in their tasks, with the same result.
+    for n in (0, 2):
+        assert sorted(map(str, pieces.encode(df, PATH, n).collect())) == sorted(map(str, got))
     want = sorted((str(i), brute(t or "")) for i, t in docs)
     assert [x for x, _ in want] == sorted(str(r.doc_id) for r in got)
     for (_, a), b in zip(sorted(want), sorted((str(r.doc_id), score(r.ids)) for r in got), strict=True):
@@ -91,3 +82,26 @@ def test_runs_of_spaces(spark):
 
 def test_empty_table(spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_long_unbroken_words(spark):
+    docs = [(1, "ab" * 50_000), (2, " " * 100_000), (3, "日本語" * 10_000), (4, "q" * 100_000)]
+    coded = pieces.encode(spark.createDataFrame(docs, "doc_id long, text string"), PATH).cache()
+    for r in coded.collect():
+        assert abs(score(r.ids) - (best := brute(docs[r.doc_id - 1][1]))) < 1e-6 * abs(best)
+    assert {r.doc_id: r.text for r in pieces.decode(coded, PATH).collect()} == dict(docs)
+
+
+def test_decode_odd_ids(spark):
+    rows = [(1, None), (2, []), (3, [0, 1, 2, 99_999_999]), (None, MODEL.encode("hello")), (4, [3 + 0xC3])]
+    got = pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), PATH).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(1, ""), (2, ""), (3, ""), (None, "hello"), (4, "\ufffd")]
+
+
+def test_query_decodes(spark, tmp_path):
+    import hashlib
+
+    docs = [(k, t) for k, t in enumerate(texts())] + [(50, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pieces.query(spark, str(tmp_path)).collect():
+        assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id if r.doc_id < 50 else -1][1] or "").encode()).hexdigest()
