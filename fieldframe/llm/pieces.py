@@ -5,8 +5,9 @@ commonest, of a bounded number and length, are encoded relationally: their subst
 equi-joined to the piece table (of fixed size, hence broadcast), a character that is no piece gets an edge of its byte
 pieces, a word's edges are grouped, and a fold over them by their ends keeps the best way to each place (Viterbi): the
 highest sum of piece scores, then the fewest pieces, then the longest last one. These words make a dictionary of proven
-size. Texts are then read once, where they lie: words of the dictionary are looked up, and the lattice of each other word
-(a tenth of the occurrences, most of them unique) is folded in the task that meets it, by the same rule. Sending those
+size. Texts are then read once, where they lie: words of the dictionary are looked up, and the lattices of the other words
+(an eighth of the occurrences, most of them unique) are joined and folded in the task that meets them, by the same rule,
+all words of a batch at once. Sending those
 words, their ids and the texts to each other instead would shuffle more than the input.
 
 The path is the best one over the model's scores. A model trained by byte-pair merging scores its pieces by merge rank;
@@ -28,10 +29,13 @@ from . import common
 #: Score of a character that is no piece, below that of any path of pieces.
 UNKNOWN = -1e6
 #: Bounds of the dictionary: its words, and the characters of a word. Results do not depend on them.
-WORDS = 1 << 18
+WORDS = 1 << 17
 LETTERS = 32
-#: Words of a task's own that it remembers.
-RECENT = 1 << 17
+#: Rows whose other words a task folds together, and the longest word that is folded with others.
+ROWS = 1024
+TOGETHER = 64
+#: Multiplier of the rolling hash by which substrings find pieces before they are compared with them.
+BASE = 0x9E3779B97F4A7C15
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -58,12 +62,107 @@ def pieces_of(path: str) -> list[tuple]:
 
 
 class Lattice:
-    """The same lattice for single words, in time linear in a word's length."""
+    """The same lattice for words at hand: substrings joined to the pieces, edges by the place they end at, and the fold
+    over these places, for many words at once; one word alone, of any length, in time linear in its length."""
 
     def __init__(self, rows: list[tuple]):
         self.known = {p: (score, k) for p, k, score, _ in rows if p is not None}
         self.bytes = {int(h, 16): k for p, k, _, h in rows if p is None}
         self.longest = max(map(len, self.known), default=1)
+        self.score = np.array([score for score, _ in self.known.values()] or [0.0])
+        self.id = np.array([k for _, k in self.known.values()] or [0], np.int32)
+        letters = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in self.known]
+        self.by_size = []
+        self.seen = np.zeros(1 << 20, bool)
+        for size in range(1, self.longest + 1):
+            at = np.array([k for k, x in enumerate(letters) if len(x) == size], np.int64)
+            spelled = np.array([letters[k] for k in at], np.uint32).reshape(-1, size)
+            h = np.zeros(len(at), np.uint64)
+            for k in range(size):
+                h = self._step(h, spelled[:, k])
+            order = np.argsort(h)
+            self.by_size.append((h[order], at[order], spelled[order]))
+            self.seen[h >> np.uint64(44)] = True
+
+    @staticmethod
+    def _step(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return (h + letter + np.uint64(1)) * np.uint64(BASE)
+
+    def _edges(self, flat: np.ndarray) -> list[np.ndarray]:
+        """For each size, at each place, which piece begins there (its row, or -1)."""
+        out, h = [], np.zeros(len(flat), np.uint64)
+        for size, (hashes, rows, spelled) in enumerate(self.by_size, 1):
+            n = len(flat) - size + 1
+            found = np.full(len(flat), -1, np.int32)
+            if n > 0:
+                h = self._step(h[:n], flat[size - 1 :])
+                at = np.flatnonzero(self.seen[h >> np.uint64(44)])
+                if len(hashes) and len(at):
+                    k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+                    same = hashes[k] == h[at]
+                    at, k = at[same], k[same]
+                    for letter in range(size):
+                        same = spelled[k, letter] == flat[at + letter]
+                        if not same.all():
+                            at, k = at[same], k[same]
+                    found[at] = rows[k]
+            out.append(found)
+        return out
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """The ids (32 bits each) of each word."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        order = order[(sizes[order] <= TOGETHER) & (sizes[order] > 0)]
+        out = [b""] * len(words)
+        for k in np.flatnonzero(sizes > TOGETHER):
+            out[k] = np.array(self.ids(words[k]), np.int32).tobytes()
+        if not len(order):
+            return out
+        flat = np.frombuffer("".join([words[k] for k in order]).encode("utf-32-le"), np.uint32)
+        size = sizes[order]
+        start = np.cumsum(size) - size
+        edges = self._edges(flat)
+        width = 1 + (flat >= 0x80).astype(np.int32) + (flat >= 0x800) + (flat >= 0x10000)
+        best = np.zeros((size[0] + 1, len(size)))
+        count = np.zeros(best.shape, np.int32)
+        last = np.zeros(best.shape, np.int64)
+        for e in range(1, size[0] + 1):
+            n = np.searchsorted(-size, -e, "right")  # words that are so long
+            top, few, back = np.full(n, -np.inf), np.zeros(n, np.int32), np.zeros(n, np.int64)
+            for length in range(min(e, self.longest), 0, -1):
+                at = start[:n] + (e - length)
+                piece = edges[length - 1][at]
+                some = piece >= 0
+                score, pieces = best[e - length, :n] + np.where(some, self.score[piece], UNKNOWN if length == 1 else -np.inf), count[e - length, :n] + (1 if length > 1 else np.where(some, 1, width[at]))
+                better = (score > top) | (score == top) & (pieces < few)
+                top[better], few[better], back[better] = score[better], pieces[better], length
+            best[e, :n], count[e, :n], last[e, :n] = top, few, back
+        # Back from each word's end; the steps of a word are put in order at last.
+        word, at = np.arange(len(size)), size.copy()
+        steps = []
+        while len(word):
+            length = last[at, word]
+            at = at - length
+            place = start[word] + at
+            code = np.empty(len(word), np.int64)
+            for k in np.unique(length):
+                code[length == k] = edges[k - 1][place[length == k]]
+            code = np.where(code >= 0, self.id[code], -1 - flat[place].astype(np.int64))
+            steps.append((word, at, code))
+            word, at = word[at > 0], at[at > 0]
+        word, at, code = (np.concatenate(x) for x in zip(*steps, strict=True))
+        code = code[np.argsort(word * (TOGETHER + 1) + at)]
+        total = count[size, np.arange(len(size))]
+        if (code < 0).any():
+            spelled = {c: [self.bytes[b] for b in chr(-1 - c).encode()] for c in np.unique(code[code < 0]).tolist()}
+            ids = np.array([k for c in code.tolist() for k in (spelled[c] if c < 0 else (c,))], np.int32)
+        else:
+            ids = code.astype(np.int32)
+        blob, ends = ids.tobytes(), (np.cumsum(total) * 4).tolist()
+        for k, s, e in zip(order.tolist(), [0, *ends], ends, strict=False):
+            out[k] = blob[s:e]
+        return out
 
     def ids(self, word: str) -> list[int]:
         known, longest = self.known, self.longest
@@ -163,23 +262,14 @@ def encode(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         known, table = shared.value
-        lattice, recent = Lattice(table), {}
-
-        def other(word: str) -> bytes:
-            found = recent.get(word)
-            if found is None:
-                found = np.array(lattice.ids(word), np.int32).tobytes()
-                if len(word) <= LETTERS:
-                    if len(recent) >= RECENT:
-                        recent.clear()
-                    recent[word] = found
-            return found
-
-        cut, get = re.compile(" *[^ ]+| +").findall, known.get
+        lattice, cut = Lattice(table), re.compile(" *[^ ]+| +").findall
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                blobs = [b"".join([get(w) or other(w) for w in cut(" " + t)]) if t else b"" for t in part.column(1).to_pylist()]
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                words = [cut(" " + t) if t else () for t in part.column(1).to_pylist()]
+                other = list({w for row in words for w in row}.difference(known))
+                here = dict(zip(other, lattice.many(other), strict=True))
+                blobs = [b"".join([known[w] if w in known else here[w] for w in row]) for row in words]
                 ends = np.cumsum([0, *map(len, blobs)]) // 4
                 ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -190,16 +280,28 @@ def encode(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
     """(doc_id, ids) -> (doc_id, text) of every row, further columns kept; null ids count as none; ids that are no pieces
     are left out, as is what is not UTF-8 (U+FFFD stands for it)."""
-    shared = encoded.sparkSession.sparkContext.broadcast({k: bytes.fromhex(h) for _, k, _, h in pieces_of(path)})
+    rows = pieces_of(path)
+    spelled = [b""] * (max((k for _, k, _, _ in rows), default=0) + 2)
+    for _, k, _, h in rows:
+        spelled[k] = bytes.fromhex(h)
+    sizes = np.array([len(x) for x in spelled], np.int64)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(spelled), np.uint8), sizes, np.cumsum(sizes) - sizes))
     names = encoded.columns
     at = names.index(ids_col)
 
     def run(batches):
-        get = lambda k, table=shared.value: table.get(k, b"")
+        letters, sizes, begin = shared.value
         for b in batches:
-            for first in range(0, len(b), 256):
-                part = b.slice(first, 256)
-                texts = [b"".join(map(get, ids or ())).removeprefix(b" ").decode("utf-8", "replace") for ids in part.column(at).to_pylist()]
+            for first in range(0, len(b), ROWS):
+                part = b.slice(first, ROWS)
+                column = part.column(at)
+                ids = column.flatten().to_numpy(zero_copy_only=False)
+                ids = np.where((ids >= 0) & (ids < len(sizes)), ids, len(sizes) - 1).astype(np.int64)  # the last one spells nothing
+                width = sizes[ids]
+                ends = np.cumsum(width)
+                flat = letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[ids] - (ends - width), width)].tobytes()
+                bounds = np.r_[0, ends][np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy())]].tolist()
+                texts = [flat[s:e].removeprefix(b" ").decode("utf-8", "replace") for s, e in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, to])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
