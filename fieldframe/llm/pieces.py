@@ -31,8 +31,9 @@ UNKNOWN = -1e6
 #: Bounds of the dictionary: its words, and the characters of a word. Results do not depend on them.
 WORDS = 1 << 17
 LETTERS = 32
-#: Rows whose other words a task folds together, and the longest word that is folded with others.
-ROWS = 1024
+#: Rows that a task takes at a time, other words that it folds together, and the longest word that is folded with others.
+ROWS = 256
+FOLDED = 4096
 TOGETHER = 64
 #: Multiplier of the rolling hash by which substrings find pieces before they are compared with them.
 BASE = 0x9E3779B97F4A7C15
@@ -268,7 +269,9 @@ def encode(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
                 part = b.slice(at, ROWS)
                 words = [cut(" " + t) if t else () for t in part.column(1).to_pylist()]
                 other = list({w for row in words for w in row}.difference(known))
-                here = dict(zip(other, lattice.many(other), strict=True))
+                here = {}
+                for k in range(0, len(other), FOLDED):
+                    here.update(zip(other[k : k + FOLDED], lattice.many(other[k : k + FOLDED]), strict=True))
                 blobs = [b"".join([known[w] if w in known else here[w] for w in row]) for row in words]
                 ends = np.cumsum([0, *map(len, blobs)]) // 4
                 ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
