@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current.get()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so lost executors take nothing with them."""
     shared_dir(df.sparkSession)

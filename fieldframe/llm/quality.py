@@ -16,9 +16,8 @@ from . import common
 
 #: Words in a passage.
 PASSAGE = 50
-#: Bounds of what the fit uses: labelled rows, and evenly spaced passages of a row. Scoring uses every passage.
+#: Bound of the labelled rows that the model is fitted to; of each, every passage is used, as in scoring.
 FIT_ROWS = 4000
-FIT_PASSAGES = 24
 SLICE = 1 << 20
 SPACE, LOWER, UPPER, DIGIT, HIGH, STOP, BAR, BANG, QUOTE, OTHER = range(10)
 KINDS = 10
@@ -107,6 +106,18 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, starts)
         return h, t, s, a, z, _sigmoid(z @ p["c"] + p["b"])
 
+    def _gradients(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the bags."""
+        p = self.p
+        h, t, s, a, z, score = self._forward(x, starts, counts)
+        d = (score - labels) / len(labels)
+        dz = np.repeat(d[:, None] * p["c"], counts, axis=0)
+        da = (dz * h).sum(1)
+        da = a * (da - np.repeat(np.add.reduceat(a * da, starts), counts))
+        dt, ds = da[:, None] * p["w"] * s * (1 - t**2), da[:, None] * p["w"] * t * s * (1 - s)
+        dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
+        return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ da, "c": z.T @ d, "b": d.sum(keepdims=True)}
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, steps: int = 120, rate: float = 0.02, decay: float = 1e-4) -> Model:
         """Full-batch Adam on the mean log loss of the bags."""
         if not bags:
@@ -119,14 +130,7 @@ class Model:
         labels = labels.astype(np.float32)
         p, m, v = self.p, {k: np.zeros_like(q) for k, q in self.p.items()}, {k: np.zeros_like(q) for k, q in self.p.items()}
         for step in range(1, steps + 1):
-            h, t, s, a, z, score = self._forward(x, starts, counts)
-            d = (score - labels) / len(labels)
-            dz = np.repeat(d[:, None] * p["c"], counts, axis=0)
-            da = (dz * h).sum(1)
-            da = a * (da - np.repeat(np.add.reduceat(a * da, starts), counts))
-            dt, ds = da[:, None] * p["w"] * s * (1 - t**2), da[:, None] * p["w"] * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
-            grads = {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ da, "c": z.T @ d, "b": d.sum(keepdims=True)}
+            grads = self._gradients(x, starts, counts, labels)
             for k, g in grads.items():
                 g = g + decay * p[k]
                 m[k] += 0.1 * (g - m[k])
@@ -153,10 +157,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").cast(pa.binary()).to_pylist():
-                bag = passages(t or b"")
-                out.append(bag[np.linspace(0, len(bag) - 1, min(len(bag), FIT_PASSAGES)).astype(int)].tobytes())
+            out = [passages(t or b"").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("quality"), pa.array(out, pa.binary())], ["__id", "quality", "bag"])
 
     bags = chosen.select("__id", "quality", "text").mapInArrow(run, "__id long, quality double, bag binary")
@@ -169,10 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model().fit(bags, np.array([r.quality for r in found]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a further column ``__score`` (0 to 1; higher: label 1 likelier) from the whole text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with a further column ``to`` (0 to 1; higher: label 1 likelier) from the whole text alone. A null text scores as
+    an empty one; repeated rows stay and score alike; an empty table gives an empty result; a text of any length is read
+    in slices. The other columns pass through; one that is called ``to`` is an error."""
     names = docs.columns
+    if to.lower() in (c.lower() for c in names):
+        raise ValueError(f"there is a column {to!r} already")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")
 
     def run(batches):
@@ -181,10 +186,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for k in range(0, len(b), 64):
                 bags = [passages(t or b"") for t in b.column(at).slice(k, 64).cast(pa.binary()).to_pylist()]
                 out.append(shared.value.score(bags))
-            yield b.append_column("__score", pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())], [*names, to])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, __score double")
+    return docs.mapInArrow(run, f"{kinds}, `{to}` double")
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -194,14 +199,18 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     return scored.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that the classifier, fitted on the labelled ones among them, predicts to be good."""
-    return score(docs, fit(docs, labels)).where(F.col("__score") >= threshold).drop("__score")
+    """The rows of docs that the classifier, fitted on the labelled ones among them, predicts to be good. Null and empty
+    texts are scored like others; repeated rows go or stay together; rows with a null id stay by their text alone; with
+    no label to learn from every score is 0.5, so with a threshold above it none stays; an empty table gives an empty
+    result. Columns may have any names."""
+    mark = common.unused(docs, "score")
+    return score(docs, fit(docs, labels), mark).where(F.col(mark) >= threshold).drop(mark)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import corpus_pipeline
 from fieldframe.llm import common, packing, quality, secrets, simhash, substring
 
+from tests.llm.test_simhash import share, shingles
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -13,8 +15,14 @@ def test_stages(spark):
             scores = {r.doc_id: r.predicted for r in quality.classify(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
             assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, p in scores.items() if p)
         if name == "simhash":
-            groups = simhash.components(docs, size=5, radius=8, within=16).collect()
+            groups = simhash.similar(docs).collect()
             assert sorted(r.doc_id for r in out.collect()) == sorted({r.component_id for r in groups})
+            # Against brute force: whoever goes is linked at 0.8 or more to another text of its group.
+            sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+            of = {r.doc_id: r.component_id for r in groups}
+            linked = {(i, j) for i in sets for j in sets if i != j and share(sets[i], sets[j]) >= 0.8}
+            assert all(any((i, j) in linked and of[j] == of[i] for j in sets) for i in sets if of[i] != i)
+            assert sum(of[i] == of[j] for i, j in linked) >= 0.97 * len(linked)
         if name == "substring":
             assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in substring.dedup(docs).collect()}
         if name == "secrets":

@@ -68,3 +68,80 @@ def test_gradient_lowers_the_loss():
     y = np.array([float((b[:, 0] > 1).any()) for b in bags])
     model = quality.Model().fit(bags, y, steps=200)
     assert np.mean((model.score(bags) > 0.5) == y) > 0.9
+
+
+def small_model():
+    model, rng = quality.Model(width=5, gate=3, seed=2), np.random.default_rng(4)
+    model.p["c"], model.p["b"] = rng.normal(size=5), rng.normal(size=1)
+    bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 4, 2, 7)]
+    return model, bags, np.array([1.0, 0.0, 0.0, 1.0])
+
+
+def plain_score(p, bag):
+    """The same model, passage by passage."""
+    from math import exp, tanh
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    hidden = [[tanh(dot(x, p["E"][:, k]) + p["e"][k]) for k in range(len(p["e"]))] for x in bag]
+    gates = [sum(tanh(dot(h, p["V"][:, k])) / (1 + exp(-dot(h, p["U"][:, k]))) * p["w"][k] for k in range(len(p["w"]))) for h in hidden]
+    total = sum(map(exp, gates))
+    z = [sum(exp(g) / total * h[k] for g, h in zip(gates, hidden, strict=True)) for k in range(len(p["e"]))]
+    return 1 / (1 + exp(-dot(z, p["c"]) - p["b"][0]))
+
+
+def flat(bags):
+    counts = np.array([len(b) for b in bags])
+    return np.vstack(bags), np.cumsum(counts) - counts, counts
+
+
+def test_forward_pass_against_plain_arithmetic():
+    model, bags, _ = small_model()
+    assert np.allclose(model._forward(*flat(bags))[-1], [plain_score(model.p, b) for b in bags])
+
+
+def test_gradients_against_differences():
+    model, bags, y = small_model()
+    grads = model._gradients(*flat(bags), y)
+
+    def loss():
+        s = model._forward(*flat(bags))[-1]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    rng = np.random.default_rng(1)
+    for name, g in grads.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in g.shape)
+            before = model.p[name][at]
+            model.p[name][at] = before + 1e-5
+            above = loss()
+            model.p[name][at] = before - 1e-5
+            below = loss()
+            model.p[name][at] = before
+            assert abs((above - below) / 2e-5 - g[at]) < 1e-6
+
+
+def test_held_out_accuracy_on_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out and quality is not null").collect()
+    right = np.mean([r.predicted == r.quality for r in got])
+    assert len(got) > 50 and right > 0.95 and right > max(np.mean([r.quality for r in got]), 0.5) + 0.02
+
+
+def test_all_passages_of_a_long_text_count(spark):
+    words = ["w%d" % k for k in range(5000)]
+    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    (row,) = quality.training_rows(d, y).collect()
+    assert len(row.bag) == 100 * quality.FEATURES * 4
+
+
+def test_names_may_clash(spark):
+    docs, labels = make(60, 8)
+    names = "doc_id long, text string, score string, __score int, quality string"
+    d = spark.createDataFrame([(i, t, "x", 1, "y") for i, t, *_ in docs] + [(None, None, "x", 1, "y"), (3, "", "x", 1, "y")], names)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(d, y, 0.0)
+    assert kept.columns == d.columns and kept.count() == 62
+    assert quality.classify(d, quality.fit(d, y)).count() == 62
+    with pytest.raises(ValueError, match="already"):
+        quality.score(d, quality.Model(), "Score")
