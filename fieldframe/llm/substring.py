@@ -1,11 +1,13 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences at closing marks and line ends; long ones are cut further after words that a hash of their
-bytes picks, so two copies of a passage are cut alike whatever stands around them. Every run of at least ``run``
-sentences, from each sentence on, as long as needed for ``words`` words, is hashed. A window of ``WINDOW`` words whose
-complete runs cover fewer than ``INSIDE`` of them is a run of its own, from each word on; that is seen from its own words,
-so copies agree and no passage of that length is without a run. The hashes meet in one global aggregation (their smallest doc_id) and one join;
-words covered by a run that some earlier document has, or that came earlier in the same document, are removed.
+A text is cut into sentences at closing marks and line ends. Every run of at least ``run`` sentences, from each sentence
+on, as long as needed for ``words`` words, is hashed. Where a window of ``WINDOW`` words has too few of its words in such
+runs (long sentences, or a passage set into other sentences), its sentences are cut further after words that a hash of
+their bytes picks, so that two copies are cut alike whatever stands around them, and runs of these parts that lie in such
+a window are hashed too. A window that still has too few is a run of its own, from each word on. All this is seen from
+the window's own words, so copies agree and no passage of that length is without a run. The hashes (128 bits) meet in one
+global aggregation (their smallest doc_id) and one join; words covered by a run that some earlier document has, or that
+came earlier in the same document, are removed.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RUN = 3
-WORDS = 20
-#: One word in so many ends a sentence.
+WORDS = 31
+#: One word in so many ends a part of a sentence that is cut further.
 CUT = 4
 #: Of every passage of so many words at least INSIDE words lie in runs.
 WINDOW = 51
@@ -43,9 +45,8 @@ class Cut:
         self.data = data
         self.starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, np.int64)
         n = len(self.starts)
-        self.first = np.empty(0, np.int64)  # of each sentence, its first word; then the number of words
-        self.begin = self.end = self.first  # of each run, its first word and the one after its last; windows come last
-        self.windows = 0
+        self.begin = self.end = np.empty(0, np.int64)  # of each run, its first word and the one after its last
+        self.window = np.empty(0, bool)
         self.hashes: list[int] = []
         if not n:
             return
@@ -53,33 +54,51 @@ class Cut:
         lines = np.cumsum(raw == 10)
         last = ENDING[raw[self.ends - 1]]
         last[:-1] |= lines[self.starts[1:]] != lines[self.ends[:-1] - 1]
-        last |= np.add.reduceat(WEIGHT[raw], self.starts) % CUT == 0
         last[-1] = True
-        self.first = np.r_[0, np.flatnonzero(last) + 1]
-        count = len(self.first) - 1
-        until = np.maximum(np.searchsorted(self.first, self.first[:-1] + words), np.arange(count) + run)
-        begin = np.flatnonzero(until <= count)
-        self.begin, self.end = self.first[begin], self.first[until[begin]]
-        # Runs overlap the next ones, so those within a window cover all from the first one's begin to the last one's end.
-        # Cuts at the window's own ends may depend on what is outside and do not count.
-        at = np.arange(max(n - WINDOW + 1, 0))
-        low, high = np.searchsorted(self.begin, at, "right"), np.searchsorted(self.end, at + WINDOW)
-        bare = at[(low >= high) | (np.r_[0, self.end][high] - np.r_[self.begin, n][low] < INSIDE)]
-        self.windows = len(bare)
-        self.begin, self.end = np.r_[self.begin, bare], np.r_[self.end, bare + WINDOW]
+        begin, end = self._runs(last, run, words)
+        bare = self._bare(np.arange(max(n - WINDOW + 1, 0)), begin, end)
+        if len(bare):
+            last |= np.add.reduceat(WEIGHT[raw], self.starts) % CUT == 0
+            b, e = self._runs(last, run, words)
+            inside = np.searchsorted(bare, e - WINDOW) < np.searchsorted(bare, b, "right")
+            b, e = b[inside], e[inside]
+            bare = self._bare(bare, b, e)
+            begin, end = np.r_[begin, b], np.r_[end, e]
+        # In order of place, a window of just the words of a run left out.
+        begin, end, window = np.r_[begin, bare], np.r_[end, bare + WINDOW], np.r_[np.zeros(len(begin), bool), np.ones(len(bare), bool)]
+        order = np.lexsort((window, end, begin))
+        begin, end, window = begin[order], end[order], window[order]
+        new = np.r_[True, (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])][: len(begin)]
+        self.begin, self.end, self.window = begin[new], end[new], window[new]
         joined = b" ".join(data.lower().split())
         at = np.r_[0, np.cumsum(self.ends - self.starts + 1)]
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_intdigest
         self.hashes = [digest(joined[s:e], 42) for s, e in zip(at[self.begin].tolist(), (at[self.end] - 1).tolist(), strict=True)]
 
+    @staticmethod
+    def _runs(last: np.ndarray, run: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run, its first word and the one after its last; ``last`` marks the words that end a unit."""
+        first = np.r_[0, np.flatnonzero(last) + 1]
+        count = len(first) - 1
+        until = np.maximum(np.searchsorted(first, first[:-1] + words), np.arange(count) + run)
+        begin = np.flatnonzero(until <= count)
+        return first[begin], first[until[begin]]
+
+    @staticmethod
+    def _bare(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which windows (first words) have fewer than INSIDE words in complete runs. Runs overlap the next ones, so those
+        within a window cover all from the first one's begin to the last one's end. Units cut off by the window's own ends
+        do not count, since their ends depend on what is outside."""
+        low, high = np.searchsorted(begin, at, "right"), np.searchsorted(end, at + WINDOW)
+        return at[(low >= high) | (np.r_[0, end][high] - np.r_[begin, 1 << 60][low] < INSIDE)]
+
     def covered(self, gone: set[int]) -> np.ndarray:
         """Which words lie in a run whose hash is in ``gone`` or came earlier in this text; a window's earlier place must
         not overlap it, so that the first place of a word said over and over is kept."""
         seen: dict[int, int] = {}
         edge = np.zeros(len(self.starts) + 1, np.int64)
-        runs = len(self.hashes) - self.windows
-        for k, (h, s, e) in enumerate(zip(self.hashes, self.begin.tolist(), self.end.tolist(), strict=True)):
-            if h in gone or h in seen and (k < runs or seen[h] <= s):
+        for h, s, e, window in zip(self.hashes, self.begin.tolist(), self.end.tolist(), self.window.tolist(), strict=True):
+            if h in gone or h in seen and (not window or seen[h] <= s):
                 edge[s] += 1
                 edge[e] -= 1
             else:
@@ -104,41 +123,49 @@ class Cut:
         return b"".join(out), spans
 
 
+LOW = (1 << 64) - 1
+
+
 def runs(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """(h, doc_id): every distinct run hash of every row with an id."""
+    """(h, g, doc_id): every distinct run hash, in two halves, of every row with an id."""
 
     def cut(batches):
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
                 found = [list(dict.fromkeys(Cut(t or b"", run, words).hashes)) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                h = np.array([x for f in found for x in f], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(owner))], ["h", "doc_id"])
+                halves = np.frombuffer(b"".join([x.to_bytes(16, "little") for f in found for x in f]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), part.column(0).take(pa.array(owner, pa.int64()))], ["h", "g", "doc_id"])
 
-    some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return some.mapInArrow(cut, "h long, doc_id long")
+    some = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return some.mapInArrow(cut, "h long, g long, doc_id long")
 
 
 def repeats(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """(doc_id, gone): per document the hashes of its runs that a document of a smaller id has too."""
     found = common.save(runs(docs, run, words))
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    shared = common.save(shared.select(F.col("h").alias("__h"), "first"))
-    later = found.join(shared, F.col("h") == F.col("__h")).where("doc_id > first")
-    return later.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__gone"))
+    shared = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = common.save(shared.select(F.col("h").alias("__h"), F.col("g").alias("__g"), "first"))
+    later = found.join(shared, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).where("doc_id > first")
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("gone"))
 
 
 def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """docs with the repeated passages taken out of ``text``, ``n_chars`` (where there is one) counted anew, and further
-    columns n_removed (characters) and removed (start:end of each stretch in code points of the old text).
+    columns n_removed (characters) and removed (start:end of each stretch in code points of the old text); where docs has
+    columns of these names, the new ones are called _n_removed and _removed.
 
     The first place of a run, by doc_id and then by position, keeps it. Rows of one id are one document: they do not
     count as repeats of each other. A row with a null id is only held against itself; a null text stays null; texts with
-    fewer than ``words`` words, or fewer than ``run`` sentences and ``WINDOW`` words, lose nothing. An empty table gives an empty result.
+    fewer than ``words`` words, or fewer than ``run`` sentences and ``WINDOW`` words, lose nothing. A text of any length is
+    cut whole. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns]
-    joined = docs.join(repeats(docs, run, words), docs["doc_id"] == F.col("__id"), "left").select(*[docs[c] for c in kept], "__gone")
+    owner, mark = common.unused(docs, "owner"), common.unused(docs, "gone")
+    more = [common.unused(docs, "n_removed"), common.unused(docs, "removed")]
+    gone = repeats(docs, run, words).select(F.col("doc_id").alias(owner), F.col("gone").alias(mark))
+    joined = docs.join(gone, docs["doc_id"] == F.col(owner), "left").select(*[docs[c] for c in kept], mark)
     at = kept.index("text")
     size = kept.index("n_chars") if "n_chars" in kept else None
 
@@ -148,7 +175,7 @@ def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
             for text, gone in zip(b.column(at).cast(pa.binary()), b.column(len(kept)), strict=True):
                 text = text.as_py()
                 cut = Cut(text or b"", run, words)
-                left, spans = cut.without(cut.covered({x & (2**64 - 1) for x in gone.as_py() or ()}))
+                left, spans = cut.without(cut.covered({(x["h"] & LOW) | (x["g"] & LOW) << 64 for x in gone.as_py() or ()}))
                 left = left if text is not None else None
                 chars, points, pos = [], 0, 0
                 for s, e in spans:
@@ -164,10 +191,10 @@ def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
             columns[at] = pa.array(new, pa.binary()).cast(b.schema.field(at).type)
             if size is not None:
                 columns[size] = pa.array([n if c is None else c for n, c in zip(columns[size].to_pylist(), counts, strict=True)], b.schema.field(size).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(taken, pa.int64()), pa.array(said, pa.string())], [*kept, "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(taken, pa.int64()), pa.array(said, pa.string())], [*kept, *more])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(apply, f"{kinds}, n_removed long, removed string")
+    return joined.mapInArrow(apply, f"{kinds}, `{more[0]}` long, `{more[1]}` string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,36 +4,56 @@ import re
 from fieldframe.llm import substring
 
 
-def brute(docs, run=3, words=20):
-    """Runs as tuples of words, compared one by one."""
-    seen: dict = {}
-    out = []
-    for i, text in sorted((d for d in docs if d[1] is not None), key=lambda d: (d[0] is not None, d[0] or 0)):
-        ws = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text)]
-        units, now = [], []
+def brute_runs(text, run=3, words=31):
+    """(words with their places, {(first, end): whether it is a window})."""
+    ws = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text)]
+
+    def runs_of(fine):
+        units, now = [], 0
         for k, (w, _, e) in enumerate(ws):
-            now.append(k)
             gap = text[e : ws[k + 1][1]] if k + 1 < len(ws) else "\n"
-            pick = sum(int(substring.WEIGHT[b]) for b in w.encode()) % substring.CUT == 0
-            if w[-1] in ".!?" or "\n" in gap or pick:
-                units.append(now)
-                now = []
-        if now:
-            units.append(now)
-        gone, local = set(), set()
+            if w[-1] in ".!?" or "\n" in gap or k + 1 == len(ws) or fine and sum(int(substring.WEIGHT[b]) for b in w.encode()) % substring.CUT == 0:
+                units.append((now, k + 1))
+                now = k + 1
+        out = []
         for s in range(len(units)):
-            e = s
-            while e < len(units) and (e - s < run or sum(map(len, units[s:e])) < words):
-                e += 1
-            if e - s < run or sum(map(len, units[s:e])) < words:
-                continue
-            key = tuple(ws[k][0].lower() for u in units[s:e] for k in u)
-            if key in local or i is not None and seen.get(key, i) != i:
-                gone.update(range(s, e))
-            local.add(key)
+            e = next((e for e in range(s + run, len(units) + 1) if units[e - 1][1] - units[s][0] >= words), None)
+            if e:
+                out.append((units[s][0], units[e - 1][1]))
+        return out
+
+    def bare(runs):
+        for a in range(len(ws) - 50):
+            inside = {k for s, e in runs if a < s and e < a + 51 for k in range(s, e)}
+            if len(inside) < 31:
+                yield a
+
+    large = runs_of(False)
+    at = list(bare(large))
+    small = [(s, e) for s, e in runs_of(True) if any(a <= s and e <= a + 51 for a in at)]
+    left = set(bare(small)) & set(at)
+    return ws, {(a, a + 51): True for a in left} | {x: False for x in large + small}
+
+
+def brute(docs):
+    """Runs as tuples of words, compared one by one."""
+    cut = [(i, *brute_runs(text)) for i, text in docs if text is not None]
+    owner: dict = {}
+    for i, ws, spans in cut:
+        for s, e in spans:
             if i is not None:
-                seen.setdefault(key, i)
-        out.append((i, [ws[k][0] for u, unit in enumerate(units) if u not in gone for k in unit]))
+                key = tuple(w.lower() for w, _, _ in ws[s:e])
+                owner[key] = min(owner.get(key, i), i)
+    out = []
+    for i, ws, spans in cut:
+        gone, local = set(), {}
+        for (s, e), window in sorted(spans.items()):
+            key = tuple(w.lower() for w, _, _ in ws[s:e])
+            if i is not None and owner[key] != i or key in local and (not window or local[key] <= s):
+                gone.update(range(s, e))
+            else:
+                local.setdefault(key, e)
+        out.append((i, [w for k, (w, _, _) in enumerate(ws) if k not in gone]))
     return out
 
 
@@ -75,7 +95,7 @@ def test_a_passage_inside_other_sentences_goes():
     passage = "Here is the first of it. Then comes a second sentence with more words, and a third one follows that. Next to last, there is this. And at the end we have quite a long sentence that closes the whole passage for good."
     a, b = substring.Cut(f"Some words {passage} more here".encode()), substring.Cut(f"Quite other text stands before {passage} and after".encode())
     left, _ = b.without(b.covered(set(a.hashes)))
-    assert len(left.split()) < 5 + 2 + 8
+    assert len(left.split()) < 5 + 2 + 20
 
 
 def test_every_passage_of_over_50_words_goes(spark):
@@ -96,10 +116,28 @@ def test_every_passage_of_over_50_words_goes(spark):
             words = passages[r.passage]
             text = docs[r.doc_id][2].split()
             assert len(text) - len(r.text.split()) >= substring.INSIDE, words
-    assert substring.Cut(b"and " * 51).windows == 1
+    assert substring.Cut(b"and " * 51).window.tolist() == [True]
     twice = substring.Cut(b"and " * 150)
     assert len(twice.without(twice.covered(set()))[0].split()) == 51
 
 
 def test_empty_table(spark):
     assert substring.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_sentences_are_units():
+    text = "One two three four five six seven. " * 2 + "Alpha beta gamma delta epsilon zeta eta theta. " * 2 + "Nine ten eleven twelve thirteen fourteen. " * 3
+    starts = [k for k, w in enumerate(text.split()) if k == 0 or text.split()[k - 1].endswith(".")]
+    cut = substring.Cut(text.encode())
+    assert len(cut.hashes) and set(cut.begin.tolist()) <= set(starts) and not cut.window.any()
+
+
+def test_clashing_names_and_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join("w%d" % rng.randrange(10**6) + rng.choice(("", "", ".")) for _ in range(60_000))
+    schema = "doc_id long, text string, n_removed string, gone int, __id int, __h long, owner string, removed int"
+    df = spark.createDataFrame([(1, long, "a", 1, 1, 1, "o", 1), (2, "before " + long, "b", 2, 2, 2, "p", 2), (None, None, None, None, None, None, None, None)], schema)
+    got = substring.dedup(df)
+    assert got.columns == [*df.columns, "_n_removed", "_removed"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].text == long and rows[1].n_removed == "a" and len(rows[2].text) < 200 and rows[2]._n_removed > 300_000 and rows[None].text is None
