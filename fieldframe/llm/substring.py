@@ -2,12 +2,11 @@
 
 A text is cut into sentences at closing marks and line ends. Every run of at least ``run`` sentences, from each sentence
 on, as long as needed for ``words`` words, is hashed. Where a window of ``WINDOW`` words has too few of its words in such
-runs (long sentences, or a passage set into other sentences), its sentences are cut further after words that a hash of
-their bytes picks, so that two copies are cut alike whatever stands around them, and runs of these parts that lie in such
-a window are hashed too. A window that still has too few is a run of its own, from each word on. All this is seen from
-the window's own words, so copies agree and no passage of that length is without a run. The hashes (128 bits) meet in one
-global aggregation (their smallest doc_id) and one join; words covered by a run that some earlier document has, or that
-came earlier in the same document, are removed.
+runs (long sentences, or a passage set into other sentences), its words are cut into parts instead: of the places in the
+window where ``INSIDE`` words begin, the one whose words hash lowest begins a part (winnowing). Both are seen from the
+window's own words, so two copies are cut alike whatever stands around them, and no passage of that length is without a
+run. The hashes (128 bits) meet in one global aggregation (their smallest doc_id) and one join; words covered by a run
+that some earlier document has, or that came earlier in the same document, are removed.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from . import common
 
 RUN = 3
 WORDS = 31
-#: One word in so many ends a part of a sentence that is cut further.
-CUT = 4
 #: Of every passage of so many words at least INSIDE words lie in runs.
 WINDOW = 51
 INSIDE = 31
@@ -34,6 +31,7 @@ ENDING[list(b".!?")] = True
 # A fixed pseudo-random value for each byte; capitals have those of their small letters, white space none.
 WEIGHT = np.array([xxhash.xxh64_intdigest(bytes([b]).lower(), 42) >> 20 for b in range(256)], np.int64)
 WEIGHT[SPACE] = 0
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 class Cut:
@@ -46,7 +44,7 @@ class Cut:
         self.starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, np.int64)
         n = len(self.starts)
         self.begin = self.end = np.empty(0, np.int64)  # of each run, its first word and the one after its last
-        self.window = np.empty(0, bool)
+        self.part = np.empty(0, bool)
         self.hashes: list[int] = []
         if not n:
             return
@@ -57,19 +55,18 @@ class Cut:
         last[-1] = True
         begin, end = self._runs(last, run, words)
         bare = self._bare(np.arange(max(n - WINDOW + 1, 0)), begin, end)
+        part = np.empty(0, np.int64)
         if len(bare):
-            last |= np.add.reduceat(WEIGHT[raw], self.starts) % CUT == 0
-            b, e = self._runs(last, run, words)
-            inside = np.searchsorted(bare, e - WINDOW) < np.searchsorted(bare, b, "right")
-            b, e = b[inside], e[inside]
-            bare = self._bare(bare, b, e)
-            begin, end = np.r_[begin, b], np.r_[end, e]
-        # In order of place, a window of just the words of a run left out.
-        begin, end, window = np.r_[begin, bare], np.r_[end, bare + WINDOW], np.r_[np.zeros(len(begin), bool), np.ones(len(bare), bool)]
-        order = np.lexsort((window, end, begin))
-        begin, end, window = begin[order], end[order], window[order]
+            word = np.r_[np.add.reduceat(WEIGHT[raw], self.starts), 0, 0].astype(np.uint64)
+            rank = (word[:-2] * MIX[0] + word[1:-1] * MIX[1] + word[2:] * MIX[2]) * MIX[0]
+            places = np.lib.stride_tricks.sliding_window_view(rank, WINDOW - INSIDE + 1)
+            part = np.unique(np.concatenate([at + places[at].argmin(1) for at in np.array_split(bare, len(bare) // 65536 + 1)]))
+        # In order of place, a part of just the words of a run left out.
+        begin, end, part = np.r_[begin, part], np.r_[end, part + INSIDE], np.r_[np.zeros(len(begin), bool), np.ones(len(part), bool)]
+        order = np.lexsort((part, end, begin))
+        begin, end, part = begin[order], end[order], part[order]
         new = np.r_[True, (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])][: len(begin)]
-        self.begin, self.end, self.window = begin[new], end[new], window[new]
+        self.begin, self.end, self.part = begin[new], end[new], part[new]
         joined = b" ".join(data.lower().split())
         at = np.r_[0, np.cumsum(self.ends - self.starts + 1)]
         digest = xxhash.xxh3_128_intdigest
@@ -93,12 +90,12 @@ class Cut:
         return at[(low >= high) | (np.r_[0, end][high] - np.r_[begin, 1 << 60][low] < INSIDE)]
 
     def covered(self, gone: set[int]) -> np.ndarray:
-        """Which words lie in a run whose hash is in ``gone`` or came earlier in this text; a window's earlier place must
+        """Which words lie in a run whose hash is in ``gone`` or came earlier in this text; a part's earlier place must
         not overlap it, so that the first place of a word said over and over is kept."""
         seen: dict[int, int] = {}
         edge = np.zeros(len(self.starts) + 1, np.int64)
-        for h, s, e, window in zip(self.hashes, self.begin.tolist(), self.end.tolist(), self.window.tolist(), strict=True):
-            if h in gone or h in seen and (not window or seen[h] <= s):
+        for h, s, e, part in zip(self.hashes, self.begin.tolist(), self.end.tolist(), self.part.tolist(), strict=True):
+            if h in gone or h in seen and (not part or seen[h] <= s):
                 edge[s] += 1
                 edge[e] -= 1
             else:
