@@ -102,8 +102,10 @@ def landmarks_dist(r: DataFrame) -> DataFrame:
 
 def landmarks_angle(r: DataFrame, degrees: bool = False) -> DataFrame:
     """(id, i, j, angle) of the vectors from the origin to landmarks i < j; null for a landmark at the origin."""
-    pairs = F.expr("flatten(transform(sequence(1, size(xs)), i -> transform(filter(sequence(1, size(xs)), j -> j > i), j -> named_struct('i', i, 'j', j, 'cos', try_divide(xs[i - 1] * xs[j - 1] + ys[i - 1] * ys[j - 1], sqrt((xs[i - 1] * xs[i - 1] + ys[i - 1] * ys[i - 1]) * (xs[j - 1] * xs[j - 1] + ys[j - 1] * ys[j - 1])))))))")
-    angle = F.acos(F.least(F.greatest("p.cos", F.lit(-1.0)), F.lit(1.0)))
+    dot, cross = "xs[i - 1] * xs[j - 1] + ys[i - 1] * ys[j - 1]", "abs(xs[i - 1] * ys[j - 1] - ys[i - 1] * xs[j - 1])"
+    some = "(xs[i - 1] != 0 or ys[i - 1] != 0) and (xs[j - 1] != 0 or ys[j - 1] != 0)"
+    pairs = F.expr(f"flatten(transform(sequence(1, size(xs)), i -> transform(filter(sequence(1, size(xs)), j -> j > i), j -> named_struct('i', i, 'j', j, 'a', if({some}, atan2({cross}, {dot}), null)))))")
+    angle = F.col("p.a")
     return r.select("id", F.explode(pairs).alias("p")).select("id", "p.i", "p.j", (F.degrees(angle) if degrees else angle).alias("angle"))
 
 

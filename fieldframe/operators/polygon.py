@@ -65,10 +65,19 @@ def perimeter() -> Column:
     return _sum(distances())
 
 
+#: A polygon whose area is under this share of its squared perimeter has none: its vertices lie on a line, but for rounding.
+FLAT = 1e-7
+
+
+def some_area(a: Column, p: Column) -> Column:
+    """The area a, null for a flat polygon of perimeter p."""
+    return F.when(a > p * p * FLAT, a)
+
+
 def mass() -> tuple[Column, Column]:
-    """Area-weighted centroid; null for a polygon without area."""
+    """Area-weighted centroid; null for a flat polygon."""
     c = cross()
-    six = _sum(c) * 3.0
+    six = F.when(some_area(area(), perimeter()).isNotNull(), _sum(c) * 3.0)
     at = lambda a: F.try_divide(_sum(F.zip_with(F.zip_with(a, turned(a), lambda p, q: p + q), c, lambda p, q: p * q)), six)
     return at(xs()), at(ys())
 
@@ -176,7 +185,7 @@ def pcv(r: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def angles() -> Column:
-    """Interior angle in degrees at each vertex, by the law of cosines; null where a side has no length."""
+    """Interior angle in degrees at each vertex, between its sides; null where a side has no length."""
     n = F.size(xs())
     p, q = turned(xs(), 1), turned(ys(), 1)
     before = lambda a: F.concat(F.slice(a, n, F.lit(1)), F.slice(a, F.lit(1), n - 1))
@@ -184,8 +193,7 @@ def angles() -> Column:
 
     def one(t):
         ux, uy, vx, vy = t["ax"] - t["bx"], t["ay"] - t["by"], t["cx"] - t["bx"], t["cy"] - t["by"]
-        cos = F.try_divide(ux * vx + uy * vy, F.sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy)))
-        return F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))))
+        return F.when(((ux != 0) | (uy != 0)) & ((vx != 0) | (vy != 0)), F.degrees(F.atan2(F.abs(ux * vy - uy * vx), ux * vx + uy * vy)))
 
     return F.transform(points, one)
 
@@ -207,10 +215,10 @@ def radius_stats(r: DataFrame) -> DataFrame:
 
 
 def measures(r: DataFrame) -> DataFrame:
-    """(id, ...) all measures of a polygon that need no hull."""
+    """(id, ...) all measures of a polygon that need no hull; those over the area are null for a flat polygon."""
     r = radius_stats(axes(r)).withColumns({"area": area(), "perimeter": perimeter(), "caliper": caliper()})
     cx, cy = mass()
-    p, a = F.col("perimeter"), F.col("area")
+    p, a = F.col("perimeter"), some_area(F.col("area"), F.col("perimeter"))
     return r.withColumns({
         "x": cx, "y": cy, "form_factor": F.try_divide(a * (4 * 3.141592653589793), p * p), "narrow_factor": F.try_divide(F.col("caliper"), F.col("length")),
         "asp_ratio": F.try_divide(F.col("length"), F.col("width")), "rectangularity": F.try_divide(F.col("length") * F.col("width"), a), "pd_ratio": F.try_divide(p, F.col("caliper")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldframe.functions import colour, formula, indexes, text
+from fieldframe.functions import colour, formula, indexes, text, units
 from fieldframe.operators import objects, severity, stats, threshold
 from fieldframe.sources import tables
 from fieldframe.sources.tables import HYPER_SQL, KEY, PIXELS_SQL
@@ -116,7 +116,7 @@ add("segment_iter_pct", lambda s, d: threshold.segment_iter(ng(s, d), STEPS, ["i
   SELECT img, 0 AS stage, n0 AS n, 100.0::DOUBLE AS pct FROM c UNION ALL SELECT img, 1, n1, n1 / n0 * 100::DOUBLE FROM c UNION ALL SELECT img, 2, n2, n2 / n1 * 100::DOUBLE FROM c UNION ALL SELECT img, 3, n3, n3 / n2 * 100::DOUBLE FROM c""")
 add("classify_freq", lambda s, d: threshold.class_frequency(ng(s, d), "v", [-0.5, 0.0, 0.25], ["img"], 4.0), "img class count | area_ha percentage", f"""SELECT img, class, count, count * 4.0::DOUBLE / 10000 AS area_ha, count / sum(count) OVER (PARTITION BY img) * 100 AS percentage FROM (
   SELECT img, CASE WHEN v <= -0.5 THEN 1 WHEN v <= 0 THEN 2 WHEN v <= 0.25 THEN 3 ELSE 4 END AS class, count(*) AS count FROM ({NG}) WHERE v IS NOT NULL GROUP BY ALL)""")
-add("object_to_color", lambda s, d: mask(s, d).groupBy("img", F.when(F.col("mask"), "blue").otherwise("kept").alias("colour")).agg(F.count("*").alias("n")), "img colour n", f"SELECT img, CASE WHEN mask THEN 'blue' ELSE 'kept' END AS colour, count(*) AS n FROM ({MASK_SQL}) GROUP BY ALL")
+add("object_to_color", lambda s, d: mask(s, d).select(*KEY, *[F.when(F.col("mask"), v).otherwise(F.col(b)).alias(b) for b, v in (("R", 0.0), ("G", 0.0), ("B", 1.0))]), f"{K} | R G B", f"SELECT {', '.join(KEY)}, {', '.join(f'CASE WHEN mask THEN {v} ELSE {b} END AS {b}' for b, v in (('R', 0), ('G', 0), ('B', 1)))} FROM ({MASK_SQL})")
 
 # Objects: the pixels of a supplier are one object; x and y are two of the bands.
 MEASURES_SQL = """SELECT img, id, area, x, y, xmin, xmax, ymin, ymax, v, sqrt((vx + vy + root) / 2) AS major_axis, sqrt(greatest((vx + vy - root) / 2, 0)) AS minor_axis, atan2(2 * c, vx - vy) / 2 AS theta,
@@ -157,9 +157,9 @@ add("severity_two_stage", lambda s, d: severity.two_stage(ng(s, d), "v", "B", ["
 COLOURS = [("background", 0.9, 0.9, 0.9), ("healthy", 0.2, 0.6, 0.3), ("symptomatic", 0.6, 0.3, 0.2)]
 D2 = lambda c: " + ".join(f"pow({b} - {v}, 2)" for b, v in zip("RGB", c[1:], strict=True))
 add("severity_palette", lambda s, d: severity.by_class(tables.pixels(s, d), s.createDataFrame(COLOURS, "code string, R double, G double, B double"), ["R", "G", "B"], ["img"]), "img | healthy symptomatic", f"SELECT img, 100 - sick AS healthy, sick AS symptomatic FROM (SELECT img, count(*) FILTER (code <> 'healthy') / count(*)::DOUBLE * 100 AS sick FROM (SELECT img, list_min([{', '.join(f'{{d: {D2(c)}, code: {chr(39)}{c[0]}{chr(39)}}}' for c in COLOURS)}]).code AS code FROM ({PIXELS_SQL})) WHERE code <> 'background' GROUP BY img)")
-LEAVES = f"SELECT img, id, 100 * count(*) FILTER (NOT B > 0.4) / count(*)::DOUBLE AS sev FROM ({PIXELS_SQL}) GROUP BY img, id"
+LEAVES = f"SELECT img, id, count(*) FILTER (NOT B > 0.4) / count(*)::DOUBLE * 100 AS sev FROM ({PIXELS_SQL}) GROUP BY img, id"
 leaves = lambda s, d: tables.pixels(s, d).groupBy("img", "id").agg((F.count_if(~(F.col("B") > 0.4)) / F.count("*") * 100.0).alias("sev"))
-add("sad_selection", lambda s, d: stats.sad(leaves(s, d).withColumn("sev", F.round("sev", 6)), "sev", 5, ["img"], "id").select("img", "id", "rank", "sev"), "img id rank | sev", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY round(sev, 6), id)::INT AS rank, count(*) OVER (PARTITION BY img) AS n FROM ({LEAVES})) WHERE list_contains(list_transform(range(0, 5), lambda k: floor(k * ((n - 1) / 4::DOUBLE) + 0.5)::INT + 1), rank)")
+add("sad_selection", lambda s, d: stats.sad(leaves(s, d), "sev", 5, ["img"], "id").select("img", "id", "rank", "sev"), "img id rank | sev", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY sev, id)::INT AS rank, count(*) OVER (PARTITION BY img) AS n FROM ({LEAVES})) WHERE list_contains(list_transform(range(0, 5), lambda k: floor(k * ((n - 1) / 4::DOUBLE) + 0.5)::INT + 1), rank)")
 
 # Statistics.
 CCC = """SELECT {0} r, r * r AS r2, 2 * c / (vx + vy + pow(mx - my, 2)) AS ccc, 1 - ss / reach AS d, sqrt(mse) AS rmse, sqrt(mse) / mx * 100 AS rrmse, mae, bias FROM (SELECT {0} corr(NIR, R) AS r, covar_samp(R, NIR) AS c, var_samp(R) AS vx, var_samp(NIR) AS vy, avg(R) AS mx,
@@ -173,14 +173,27 @@ add("pca_variances", lambda s, d: stats.pca(tables.pixels(s, d), BANDS)[0])
 add("pca_two", lambda s, d: stats.pca(tables.pixels(s, d), ["R", "NIR"])[0], "component | eigenvalue prop accum", f"SELECT k::INT AS component, CASE k WHEN 1 THEN 1 + r ELSE 1 - r END AS eigenvalue, CASE k WHEN 1 THEN 1 + r ELSE 1 - r END / 2 AS prop, CASE k WHEN 1 THEN (1 + r) / 2 ELSE 1.0 END AS accum FROM (SELECT abs(corr(R, NIR)) AS r FROM ({PIXELS_SQL})), unnest([1, 2]) AS u(k)")
 add("pca_scores", lambda s, d: stats.pca_scores(tables.pixels(s, d), BANDS, stats.pca(tables.pixels(s, d), BANDS)[1], KEY))
 add("kmeans_palette", lambda s, d: severity.palette(tables.pixels(s, d), ["R", "G", "B"], 4))
-add("glm_mask", lambda s, d: severity.glm_mask(tables.pixels(s, d).where("id <= 20").withColumn("label", ((F.col("R") + F.col("l_partkey") % 10 / 20.0) > 0.7).cast("double")), tables.pixels(s, d), ["R", "G", "B"]).groupBy("img").agg(F.count_if("mask").alias("n")))
+add("glm_mask", lambda s, d: severity.glm_mask(tables.pixels(s, d).withColumn("label", ((F.col("R") + F.col("l_partkey") % 10 / 20.0) > 0.7).cast("double")), tables.pixels(s, d), ["R", "G", "B"]).select(*KEY, "mask"))
 
 # Text.
 part = lambda s, d: tables.read(s, d, "part")
-add("separate_col", lambda s, d: text.separate_col(part(s, d).select("p_partkey", "p_type"), "p_type", ["first", "second"], " "), "p_partkey first second", "SELECT p_partkey, nullif(split_part(p_type, ' ', 1), '') AS first, nullif(split_part(p_type, ' ', 2), '') AS second FROM part")
+add("separate_col", lambda s, d: text.separate_col(part(s, d).select("p_partkey", "p_type"), "p_type", ["first", "second"]), "p_partkey first second", "SELECT p_partkey, string_split_regex(p_type, '[^a-zA-Z0-9]+')[1] AS first, string_split_regex(p_type, '[^a-zA-Z0-9]+')[2] AS second FROM part")
 add("leading_zeros", lambda s, d: part(s, d).select("p_partkey", text.leading_zeros(F.col("p_size"), 4).alias("size4")), "p_partkey size4", "SELECT p_partkey, CASE WHEN length(p_size::VARCHAR) < 4 THEN lpad(p_size::VARCHAR, 4, '0') ELSE p_size::VARCHAR END AS size4 FROM part")
-add("file_parts", lambda s, d: tables.read(s, d, "pages").select("page_id", text.file_extension(F.col("url")).alias("ext"), text.file_name(F.col("url")).alias("name"), text.file_dir(F.col("url")).alias("dir"), text.trunc_path(F.col("url")).alias("short")), "page_id ext name dir short", r"""SELECT page_id, regexp_replace(split_part(url, '/', -1), '^.*\.', '') AS ext, regexp_replace(split_part(url, '/', -1), '\.[A-Za-z0-9]+$', '') AS name, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*/)[^/]*$', 1) ELSE './' END AS dir,
-  CASE WHEN len(string_split(url, '/')) > 2 THEN '.../' || array_to_string(string_split(url, '/')[-2:], '/') ELSE url END AS short FROM pages""")
+add("file_parts", lambda s, d: tables.read(s, d, "pages").select("page_id", text.file_extension(F.col("url")).alias("ext"), text.file_name(F.col("url")).alias("name"), text.file_dir(F.col("url")).alias("dir"), text.trunc_path(F.col("url"), 24).alias("short")), "page_id ext name dir short", r"""SELECT page_id, regexp_replace(split_part(url, '/', -1), '^.*\.', '') AS ext, regexp_replace(split_part(url, '/', -1), '\.[A-Za-z0-9]+$', '') AS name, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*/)[^/]*$', 1) ELSE './' END AS dir,
+  CASE WHEN length(url) > 24 THEN substr(url, 1, 10) || '...' || substr(url, length(url) - 9) ELSE url END AS short FROM pages""")
 UUID = "concat('img_', '{0}', '.png')"
 add("get_uuid", lambda s, d: part(s, d).select("p_partkey", text.get_uuid(F.concat(F.lit("leaf f68bca60-c8cf-4272-9448-"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(".png"))).alias("uuid")), "p_partkey uuid", "SELECT p_partkey, 'f68bca60-c8cf-4272-9448-' || lpad(p_partkey::VARCHAR, 12, '0') AS uuid FROM part")
-add("round_cols", lambda s, d: text.round_cols(part(s, d).select("p_partkey", (F.col("p_retailprice") / 3.0).alias("price")), 1), "p_partkey | price", "SELECT p_partkey, round(p_retailprice / 3.0::DOUBLE, 1) AS price FROM part")
+add("round_cols", lambda s, d: text.round_cols(part(s, d).select("p_partkey", (F.col("p_size") / 8.0).alias("eighth")), 2), "p_partkey | eighth", "SELECT p_partkey, round_even(p_size / 8.0::DOUBLE, 2) AS eighth FROM part")
+add("check_inf", lambda s, d: text.check_inf(part(s, d).select("p_partkey", "p_size", F.nullif(F.col("p_size"), F.lit(1)).alias("gap"), (F.col("p_size") * 1.5).alias("whole"))), "p_partkey p_size | whole", "SELECT p_partkey, p_size, p_size * 1.5::DOUBLE AS whole FROM part")
+add("add_missing_columns", lambda s, d: text.add_missing_columns(part(s, d).select(F.col("p_partkey").alias("unique_id"), "p_size")), "unique_id block plot_id row column p_size", "SELECT p_partkey AS unique_id, 'B01' AS block, 'P' || CASE WHEN length(p_partkey::VARCHAR) < 4 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END AS plot_id, 1 AS row, 1 AS \"column\", p_size FROM part")
+add("uuid", lambda s, d: part(s, d).select("p_partkey", text.uuid().alias("v4"), text.uuid(True, True).alias("v7")).select("p_partkey", F.rlike("v4", F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("v4"), F.rlike("v7", F.lit("^[0-9A-F]{8}-[0-9A-F]{4}-7[0-9A-F]{3}-[89AB][0-9A-F]{3}-[0-9A-F]{12}$")).alias("v7")), "p_partkey v4 v7", "SELECT p_partkey, true AS v4, true AS v7 FROM part")
+size = lambda: F.col("p_size").cast("double")
+add("unit_scales", lambda s, d: part(s, d).select("p_partkey", units.dpi_to_cm(size()).alias("cm"), units.cm_to_dpi(size()).alias("dpi"), units.pixels_to_cm(size(), F.lit(300.0)).alias("length"), units.cm_to_pixels(size(), F.lit(300.0)).alias("pixels"), units.calibrate(F.lit(0.0), F.lit(0.0), size(), size() * 2.0, F.lit(4.0)).alias("per_cm")), "p_partkey | cm dpi length pixels per_cm",
+    "SELECT p_partkey, 2.54::DOUBLE / p_size AS cm, 2.54::DOUBLE / p_size AS dpi, p_size * 2.54::DOUBLE / 300 AS length, p_size * 300 / 2.54::DOUBLE AS pixels, sqrt(5::DOUBLE) * p_size / 4 AS per_cm FROM part")
+
+# One index of each family, its SQL written by hand rather than by the parser that makes the columns.
+BY_HAND = {
+    "NDVI": "(NIR - R) / nullif(NIR + R, 0)", "GNDVI": "(NIR - G) / nullif(NIR + G, 0)", "GLI": "(2 * G - R - B) / nullif(2 * G + R + B, 0)", "NGRDI": "(G - R) / nullif(G + R, 0)", "VARI": "(G - R) / nullif(G + R - B, 0)",
+    "GR": "G / nullif(R, 0)", "BCC": "B / nullif(R + G + B, 0)", "TGI": "G - 0.39 * R - 0.61 * B", "GRAY": "0.299 * R + 0.587 * G + 0.114 * B",
+}
+add("idx_by_hand", lambda s, d: project(tables.pixels(s, d), list(BY_HAND)), f"{K} | {' '.join(map(column_name, BY_HAND))}", f"SELECT {', '.join(KEY)}, {', '.join(f'({v})::DOUBLE AS {column_name(k)}' for k, v in BY_HAND.items())} FROM ({PIXELS_SQL})")

@@ -26,6 +26,7 @@ V = f"""SELECT *, lead(x) OVER w AS xn, lead(y) OVER w AS yn, coalesce(lead(x) O
 G = f"""SELECT id, abs(sum(x * yc - xc * y)) / 2 AS area, sum(sqrt(pow(xn - x, 2) + pow(yn - y, 2))) AS perimeter, sum((x + xc) * (x * yc - xc * y)) / nullif(sum(x * yc - xc * y) * 3, 0) AS cx, sum((y + yc) * (x * yc - xc * y)) / nullif(sum(x * yc - xc * y) * 3, 0) AS cy,
   avg(sqrt(pow(x - mx, 2) + pow(y - my, 2))) AS rmean, min(sqrt(pow(x - mx, 2) + pow(y - my, 2))) AS rmin, max(sqrt(pow(x - mx, 2) + pow(y - my, 2))) AS rmax, stddev_samp(sqrt(pow(x - mx, 2) + pow(y - my, 2))) AS rsd,
   avg(pow(x - mx, 2)) AS vx, avg(pow(y - my, 2)) AS vy, avg((x - mx) * (y - my)) AS c, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM ({V}) GROUP BY id"""
+FLAT = "CASE WHEN area > perimeter * perimeter * 1e-7::DOUBLE THEN area END"
 M = f"""SELECT *, atan2(2 * c, vx - vy) / 2 AS theta, (vx + vy + root) / 2 AS big, greatest((vx + vy - root) / 2, 0) AS small FROM (SELECT *, sqrt(pow(vx - vy, 2) + 4 * c * c) AS root FROM ({G}))"""
 L = f"""SELECT id, max(x * cos(theta) + y * sin(theta)) - min(x * cos(theta) + y * sin(theta)) AS length, max(y * cos(theta) - x * sin(theta)) - min(y * cos(theta) - x * sin(theta)) AS width FROM ({OUTLINES_SQL}) JOIN (SELECT id, theta FROM ({M})) USING (id) GROUP BY id"""
 
@@ -33,33 +34,32 @@ add("outlines_from_lineitem", tables.outlines, "id seq | x y", OUTLINES_SQL)
 add("poly_area", lambda s, d: rings(s, d).select("id", polygon.area().alias("area")), "id | area", G)
 add("poly_perimeter", lambda s, d: rings(s, d).select("id", polygon.perimeter().alias("perimeter")), "id | perimeter", G)
 add("poly_distpts", lambda s, d: rings(s, d).select("id", F.posexplode(polygon.distances()).alias("pos", "d")).select("id", (F.col("pos") + 1).alias("seq"), "d"), "id seq | d", f"SELECT id, seq, sqrt(pow(xn - x, 2) + pow(yn - y, 2)) AS d FROM ({V}) WHERE xn IS NOT NULL")
-add("poly_mass", lambda s, d: rings(s, d).select("id", polygon.area().alias("area"), polygon.mass()[0].alias("cx"), polygon.mass()[1].alias("cy")).where("area > 1").drop("area"), "id | cx cy", f"SELECT id, cx, cy FROM ({G}) WHERE area > 1")
+add("poly_mass", lambda s, d: rings(s, d).select("id", polygon.mass()[0].alias("cx"), polygon.mass()[1].alias("cy")), "id | cx cy", f"SELECT id, CASE WHEN {FLAT} IS NOT NULL THEN cx END AS cx, CASE WHEN {FLAT} IS NOT NULL THEN cy END AS cy FROM ({G})")
 add("poly_moments", lambda s, d: polygon.axes(rings(s, d)).select("id", "major_axis", "minor_axis", "eccentricity", "theta"), "id | major_axis minor_axis eccentricity theta", f"SELECT id, sqrt(big) AS major_axis, sqrt(small) AS minor_axis, sqrt(1 - small / nullif(big, 0)) AS eccentricity, theta FROM ({M})")
 add("poly_lw", lambda s, d: polygon.axes(rings(s, d)).select("id", "length", "width"), "id | length width", L)
 add("poly_eccentricity", lambda s, d: polygon.axes(rings(s, d)).select("id", "eigen_ratio"), "id | eigen_ratio", f"SELECT id, small / nullif(big, 0) AS eigen_ratio FROM ({M})")
 add("poly_elongation", lambda s, d: polygon.axes(rings(s, d)).select("id", "elongation"), "id | elongation", f"SELECT id, 1 - width / nullif(length, 0) AS elongation FROM ({L})")
-add("poly_circularity3", lambda s, d: polygon.measures(rings(s, d)).where("area > 1").select("id", "circularity", "circularity_norm", "circularity_haralick", "form_factor"), "id | circularity circularity_norm circularity_haralick form_factor",
-    f"SELECT id, perimeter * perimeter / area AS circularity, 4 * pi() * area / (perimeter * perimeter) AS circularity_norm, rmean / nullif(rsd, 0) AS circularity_haralick, 4 * pi() * area / (perimeter * perimeter) AS form_factor FROM ({G}) WHERE area > 1")
+add("poly_circularity3", lambda s, d: polygon.measures(rings(s, d)).select("id", "circularity", "circularity_norm", "circularity_haralick", "form_factor"), "id | circularity circularity_norm circularity_haralick form_factor",
+    f"SELECT id, perimeter * perimeter / real_area AS circularity, 4 * pi() * real_area / nullif(perimeter * perimeter, 0) AS circularity_norm, rmean / nullif(rsd, 0) AS circularity_haralick, 4 * pi() * real_area / nullif(perimeter * perimeter, 0) AS form_factor FROM (SELECT *, {FLAT} AS real_area FROM ({G}))")
 add("poly_centdist", lambda s, d: rings(s, d).select("id", F.posexplode(polygon.centre_distances()).alias("pos", "d")).select("id", (F.col("pos") + 1).alias("seq"), "d"), "id seq | d", f"SELECT id, seq, sqrt(pow(x - mx, 2) + pow(y - my, 2)) AS d FROM ({V})")
-add("poly_centdist_mass", lambda s, d: rings(s, d).where(polygon.area() > 1).select("id", F.posexplode(polygon.centre_distances(True)).alias("pos", "d")).select("id", (F.col("pos") + 1).alias("seq"), "d"), "id seq | d", f"SELECT id, seq, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM ({OUTLINES_SQL}) JOIN ({G}) USING (id) WHERE area > 1")
+add("poly_centdist_mass", lambda s, d: rings(s, d).select("id", F.posexplode(polygon.centre_distances(True)).alias("pos", "d")).select("id", (F.col("pos") + 1).alias("seq"), "d"), "id seq | d", f"SELECT id, seq, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM ({OUTLINES_SQL}) JOIN (SELECT id, CASE WHEN {FLAT} IS NOT NULL THEN cx END AS cx, CASE WHEN {FLAT} IS NOT NULL THEN cy END AS cy FROM ({G})) USING (id)")
 add("poly_radius", lambda s, d: polygon.radius_stats(rings(s, d)).select("id", "radius_mean", "radius_min", "radius_max", "radius_sd", "diam_mean", "diam_min", "diam_max", "radius_ratio"), "id | radius_mean radius_min radius_max radius_sd diam_mean diam_min diam_max radius_ratio", f"SELECT id, rmean AS radius_mean, rmin AS radius_min, rmax AS radius_max, rsd AS radius_sd, 2 * rmean AS diam_mean, 2 * rmin AS diam_min, 2 * rmax AS diam_max, rmax / nullif(rmin, 0) AS radius_ratio FROM ({G})")
 CAL = f"SELECT a.id, sqrt(max(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS caliper FROM ({OUTLINES_SQL}) a JOIN ({OUTLINES_SQL}) b ON a.id = b.id GROUP BY a.id"
 add("poly_caliper", lambda s, d: rings(s, d).select("id", polygon.caliper().alias("caliper")), "id | caliper", CAL)
-add("poly_ratios", lambda s, d: polygon.measures(rings(s, d)).where("area > 1").select("id", "narrow_factor", "asp_ratio", "rectangularity", "pd_ratio", "plw_ratio"), "id | narrow_factor asp_ratio rectangularity pd_ratio plw_ratio",
-    f"SELECT id, caliper / nullif(length, 0) AS narrow_factor, length / nullif(width, 0) AS asp_ratio, length * width / area AS rectangularity, perimeter / nullif(caliper, 0) AS pd_ratio, perimeter / nullif(length + width, 0) AS plw_ratio FROM ({G}) JOIN ({L}) USING (id) JOIN ({CAL}) USING (id) WHERE area > 1")
+add("poly_ratios", lambda s, d: polygon.measures(rings(s, d)).select("id", "narrow_factor", "asp_ratio", "rectangularity", "pd_ratio", "plw_ratio"), "id | narrow_factor asp_ratio rectangularity pd_ratio plw_ratio",
+    f"SELECT id, caliper / nullif(length, 0) AS narrow_factor, length / nullif(width, 0) AS asp_ratio, length * width / ({FLAT}) AS rectangularity, perimeter / nullif(caliper, 0) AS pd_ratio, perimeter / nullif(length + width, 0) AS plw_ratio FROM ({G}) JOIN ({L}) USING (id) JOIN ({CAL}) USING (id)")
 add("poly_limits", lambda s, d: rings(s, d).select("id", F.array_min("xs").alias("xmin"), F.array_max("xs").alias("xmax"), F.array_min("ys").alias("ymin"), F.array_max("ys").alias("ymax")), "id | xmin xmax ymin ymax", G)
 CYC = f"SELECT *, coalesce(lag(x) OVER w, last(x) OVER z) AS xb, coalesce(lag(y) OVER w, last(y) OVER z) AS yb FROM ({V}) WINDOW w AS (PARTITION BY id ORDER BY seq), z AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-add("poly_angles", lambda s, d: rings(s, d).select("id", F.posexplode(F.transform(polygon.angles(), lambda a: F.round(a, 3))).alias("pos", "a")).select("id", (F.col("pos") + 1).alias("seq"), F.round("a", 1).alias("a")).groupBy("id").agg(F.count("a").alias("n")), "id n",
-    f"SELECT id, count(CASE WHEN sqrt((pow(xb - x, 2) + pow(yb - y, 2)) * (pow(xc - x, 2) + pow(yc - y, 2))) > 0 THEN 1 END) AS n FROM ({CYC}) GROUP BY id")
-add("poly_angle_degrees", lambda s, d: polygon.vertices(rings(s, d).withColumn("xs", polygon.angles())).where("x > 5 and x < 175").select("id", "seq", F.col("x").alias("angle")), "id seq | angle",
-    f"SELECT id, seq, angle FROM (SELECT id, seq, degrees(acos(least(greatest(((xb - x) * (xc - x) + (yb - y) * (yc - y)) / nullif(sqrt((pow(xb - x, 2) + pow(yb - y, 2)) * (pow(xc - x, 2) + pow(yc - y, 2))), 0), -1), 1))) AS angle FROM ({CYC})) WHERE angle > 5 AND angle < 175")
+add("poly_angles", lambda s, d: polygon.vertices(rings(s, d).withColumn("xs", polygon.angles())).select("id", "seq", F.col("x").alias("angle")), "id seq | angle",
+    f"SELECT id, seq, CASE WHEN (xb <> x OR yb <> y) AND (xc <> x OR yc <> y) THEN degrees(atan2(abs((xb - x) * (yc - y) - (yb - y) * (xc - x)), (xb - x) * (xc - x) + (yb - y) * (yc - y))) END AS angle FROM ({CYC})")
 add("poly_rotate", lambda s, d: polygon.vertices(polygon.rotate(rings(s, d), 30)), "id seq | x y", f"SELECT id, seq, x * cos(radians(30)) - y * sin(radians(30)) AS x, x * sin(radians(30)) + y * cos(radians(30)) AS y FROM ({OUTLINES_SQL})")
 add("poly_align", lambda s, d: polygon.vertices(polygon.align(rings(s, d))), "id seq | x y", f"SELECT id, seq, x * cos(theta) + y * sin(theta) AS x, y * cos(theta) - x * sin(theta) AS y FROM ({OUTLINES_SQL}) JOIN (SELECT id, theta FROM ({M})) USING (id)")
 add("poly_center", lambda s, d: polygon.vertices(polygon.centre(rings(s, d))), "id seq | x y", f"SELECT id, seq, x - mx AS x, y - my AS y FROM ({V})")
 add("poly_flip", lambda s, d: polygon.vertices(polygon.flip(polygon.flip(rings(s, d), "x"), "y")), "id seq | x y", f"SELECT id, seq, -x AS x, -y AS y FROM ({OUTLINES_SQL})")
 add("poly_slide", lambda s, d: polygon.vertices(polygon.slide(rings(s, d), 2)), "id seq | x y", f"SELECT id, (CASE WHEN seq = 1 THEN n ELSE seq - 1 END)::INT AS seq, x, y FROM ({V})")
 add("poly_close", lambda s, d: polygon.vertices(polygon.close(rings(s, d))), "id seq | x y", f"SELECT id, seq, x, y FROM ({OUTLINES_SQL}) UNION ALL SELECT a.id, (n + 1)::INT, a.x, a.y FROM ({V}) a JOIN (SELECT id, x AS lx, y AS ly FROM ({V}) WHERE seq = n) b ON a.id = b.id WHERE seq = 1 AND NOT (a.x = lx AND a.y = ly)")
-add("poly_is_closed", lambda s, d: polygon.close(rings(s, d)).select("id", polygon.is_closed().alias("closed")).groupBy("closed").agg(F.count("*").alias("n")), "closed n", f"SELECT true AS closed, count(DISTINCT id) AS n FROM ({OUTLINES_SQL})")
+add("poly_is_closed", lambda s, d: rings(s, d).select("id", polygon.is_closed().alias("closed")), "id closed", f"SELECT id, first(x ORDER BY seq) = last(x ORDER BY seq) AND first(y ORDER BY seq) = last(y ORDER BY seq) AS closed FROM ({OUTLINES_SQL}) GROUP BY id")
+add("poly_unclose", lambda s, d: polygon.vertices(polygon.unclose(polygon.close(rings(s, d)))), "id seq | x y", f"SELECT a.id, a.seq, a.x, a.y FROM ({V}) a JOIN (SELECT id, first(x ORDER BY seq) = last(x ORDER BY seq) AND first(y ORDER BY seq) = last(y ORDER BY seq) AS shut FROM ({OUTLINES_SQL}) GROUP BY id) b ON a.id = b.id WHERE NOT (shut AND seq = n)")
 add("poly_sample", lambda s, d: polygon.vertices(polygon.sample(rings(s, d), 4)), "id seq | x y", f"SELECT id, (k + 1)::INT AS seq, x, y FROM ({V}), unnest(range(0, 4)) AS u(k) WHERE n >= 4 AND seq = floor(k * ((n - 1) / 3::DOUBLE) + 0.5) + 1")
 add("poly_smooth1", lambda s, d: polygon.vertices(polygon.smooth(rings(s, d), 1)), "id seq | x y", f"SELECT id, seq, (xb + x + xc) / 3 AS x, (yb + y + yc) / 3 AS y FROM ({CYC})")
 add("poly_pcv", lambda s, d: polygon.pcv(rings(s, d), 1).select("id", "pcv"), "id | pcv", f"SELECT id, sum(e) * stddev_samp(e) / nullif(any_value(perimeter), 0) AS pcv FROM (SELECT id, sqrt(pow((xb + x + xc) / 3 - x, 2) + pow((yb + y + yc) / 3 - y, 2)) AS e FROM ({CYC})) JOIN (SELECT id, perimeter FROM ({G})) USING (id) GROUP BY id")
@@ -86,7 +86,7 @@ add("efourier_inv", lambda s, d: polygon.vertices(outline.inverse(ef(s, d), 12))
 add("efourier_norm", lambda s, d: outline.normalise(ef(s, d)))
 add("efourier_error", lambda s, d: outline.error(rings(s, d), 3, 60))
 add("landmarks_dist", lambda s, d: outline.landmarks_dist(rings(s, d)), "id i j | dist", f"SELECT a.id, a.seq AS i, b.seq AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM ({OUTLINES_SQL}) a JOIN ({OUTLINES_SQL}) b ON a.id = b.id AND a.seq < b.seq")
-add("landmarks_angle", lambda s, d: outline.landmarks_angle(rings(s, d), True).where("angle > 5"), "id i j | angle", f"SELECT * FROM (SELECT a.id, a.seq AS i, b.seq AS j, degrees(acos(least(greatest((a.x * b.x + a.y * b.y) / nullif(sqrt((a.x * a.x + a.y * a.y) * (b.x * b.x + b.y * b.y)), 0), -1), 1))) AS angle FROM ({OUTLINES_SQL}) a JOIN ({OUTLINES_SQL}) b ON a.id = b.id AND a.seq < b.seq) WHERE angle > 5")
+add("landmarks_angle", lambda s, d: outline.landmarks_angle(rings(s, d), True), "id i j | angle", f"SELECT a.id, a.seq AS i, b.seq AS j, CASE WHEN (a.x <> 0 OR a.y <> 0) AND (b.x <> 0 OR b.y <> 0) THEN degrees(atan2(abs(a.x * b.y - a.y * b.x), a.x * b.x + a.y * b.y)) END AS angle FROM ({OUTLINES_SQL}) a JOIN ({OUTLINES_SQL}) b ON a.id = b.id AND a.seq < b.seq")
 add("landmarks_add", lambda s, d: polygon.vertices(outline.landmarks_add(rings(s, d))), "id seq | x y", f"SELECT id, (2 * seq - 1)::INT AS seq, x, y FROM ({V}) UNION ALL SELECT id, (2 * seq)::INT, (x + xn) / 2, (y + yn) / 2 FROM ({V}) WHERE xn IS NOT NULL")
 add("landmarks_regradi", lambda s, d: outline.landmarks_regradi(rings(s, d), 6))
 EL = f"SELECT kind, avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS sx, stddev_samp(y) AS sy, acos(covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y))) AS d FROM ({POINTS_SQL}) GROUP BY kind"
@@ -123,18 +123,20 @@ add("pip_assign_centroid", lambda s, d: spatial.contains(tables.points(s, d), bo
 add("zonal_stats", lambda s, d: spatial.zonal(tables.points(s, d), boxes(s), "y", 4.0, 100.0, ["row", "col"], (0.05, 0.95)), "row col n | mean median sd min max q5 q95", f"SELECT b.row, b.col, count(p.y) AS n, avg(p.y) AS mean, median(p.y) AS median, stddev_samp(p.y) AS sd, min(p.y) AS min, max(p.y) AS max, quantile_cont(p.y, 0.05) AS q5, quantile_cont(p.y, 0.95) AS q95 FROM ({POINTS_SQL}) p JOIN ({B9}) b ON {IN} GROUP BY b.row, b.col")
 add("zonal_coverage", lambda s, d: spatial.contains(tables.points(s, d), boxes(s), 4.0, 100.0, ["row", "col"]).groupBy("row", "col").agg((F.count_if(F.col("kind") == "click") / F.count("*")).alias("coverage")), "row col | coverage", f"SELECT b.row, b.col, count(*) FILTER (p.kind = 'click') / count(*)::DOUBLE AS coverage FROM ({POINTS_SQL}) p JOIN ({B9}) b ON {IN} GROUP BY b.row, b.col")
 add("plot_summary", lambda s, d: spatial.contains(tables.points(s, d), plots(s), 4.0, 100.0, ["row", "col"]).groupBy("row", "col").agg(F.count("*").alias("n"), F.sum("y").alias("area_sum"), F.avg("x").alias("x"), (F.sum("y") / 400.0).alias("coverage")), "row col n | area_sum x coverage", f"SELECT b.row, b.col, count(*) AS n, sum(p.y) AS area_sum, avg(p.x) AS x, sum(p.y) / 400 AS coverage FROM ({POINTS_SQL}) p JOIN ({grid_sql()}) b ON {IN} GROUP BY b.row, b.col")
-add("plot_left_joins", lambda s, d: plots(s).select("row", "col").join(spatial.contains(tables.points(s, d).where("y > 450"), plots(s), 4.0, 100.0, ["row", "col"]).groupBy("row", "col").agg(F.count("*").alias("n")), ["row", "col"], "left"), "row col n", f"SELECT g.row, g.col, n FROM ({grid_sql()}) g LEFT JOIN (SELECT b.row, b.col, count(*) AS n FROM ({POINTS_SQL}) p JOIN ({grid_sql()}) b ON {IN} WHERE p.y > 450 GROUP BY b.row, b.col) USING (row, col)")
+add("plot_left_joins", lambda s, d: plots(s).select("row", "col").join(spatial.contains(tables.points(s, d), plots(s), 4.0, 100.0, ["row", "col"]).groupBy("row", "col").agg(F.count("*").alias("n")), ["row", "col"], "left"), "row col n", f"SELECT g.row, g.col, n FROM ({grid_sql()}) g LEFT JOIN (SELECT b.row, b.col, count(*) AS n FROM ({POINTS_SQL}) p JOIN ({grid_sql()}) b ON {IN} GROUP BY b.row, b.col) USING (row, col)")
 # Boxes of orders' outlines against plots.
 ob = lambda s, d: rings(s, d).select("id", F.array_min("xs").alias("xmin"), F.array_max("xs").alias("xmax"), F.array_min("ys").alias("ymin"), F.array_max("ys").alias("ymax"))
 OB = f"SELECT id, xmin, xmax, ymin, ymax FROM ({G})"
 pl = lambda s: spatial.grid(s, 0, 60, 0, 110, 3, 3).withColumn("id", ((F.col("row") - 1) * 3 + F.col("col")).cast("long"))
 PL = "SELECT ((r - 1) * 3 + c)::BIGINT AS id, (c - 1) * 20.0::DOUBLE AS xmin, (c - 1) * 20.0::DOUBLE + 20 AS xmax, 110 - (r - 1) * (110 / 3.0::DOUBLE) - 110 / 3.0::DOUBLE AS ymin, 110 - (r - 1) * (110 / 3.0::DOUBLE) AS ymax FROM unnest([1, 2, 3]) AS u(r), unnest([1, 2, 3]) AS w(c)"
+plb = lambda s: spatial.grid(s, 0, 60, 0, 110, 3, 3, 0.4, 0.45).withColumn("id", ((F.col("row") - 1) * 3 + F.col("col")).cast("long"))
+PLB = "SELECT id, xmin + 20 * 0.4::DOUBLE AS xmin, xmin + 20 * (1 - 0.4::DOUBLE) AS xmax, ymax - 110 / 3.0::DOUBLE * (1 - 0.45::DOUBLE) AS ymin, ymax - 110 / 3.0::DOUBLE * 0.45::DOUBLE AS ymax FROM (" + PL + ")"
 W_, O_, H_ = "(a.xmin >= b.xmin AND a.xmax <= b.xmax AND a.ymin >= b.ymin AND a.ymax <= b.ymax)", "(a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax)", "(b.xmin >= a.xmin AND b.xmax <= a.xmax AND b.ymin >= a.ymin AND b.ymax <= a.ymax)"
 semi = lambda test, word="EXISTS": f"SELECT id FROM ({OB}) a WHERE {word} (SELECT 1 FROM ({PL}) b WHERE {test})"
 SIZE = (20.0, 37.0)
 add("within_semi", lambda s, d: spatial.within(ob(s, d), pl(s), *SIZE).select("id"), "id", semi(W_))
 add("overlaps_semi", lambda s, d: spatial.overlaps(ob(s, d), pl(s), *SIZE).select("id"), "id", semi(f"{O_} AND NOT {W_} AND NOT {H_}"))
-add("outside_anti", lambda s, d: spatial.outside(ob(s, d), pl(s).where("id > 4"), *SIZE).select("id"), "id", f"SELECT id FROM ({OB}) a WHERE NOT EXISTS (SELECT 1 FROM ({PL}) b WHERE b.id > 4 AND ({W_} OR {O_} AND NOT {H_}))")
+add("outside_anti", lambda s, d: spatial.outside(ob(s, d), plb(s), *SIZE).select("id"), "id", f"SELECT id FROM ({OB}) a WHERE NOT EXISTS (SELECT 1 FROM ({PLB}) b WHERE ({W_} OR {O_} AND NOT {H_}))")
 add("touches_semi", lambda s, d: spatial.touches(ob(s, d), pl(s), *SIZE).select("id"), "id", semi(f"a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax AND NOT {O_}"))
 add("intersection_rect", lambda s, d: spatial.intersection(ob(s, d), pl(s), *SIZE), "a_id b_id | xmin xmax ymin ymax area", f"SELECT a.id AS a_id, b.id AS b_id, greatest(a.xmin, b.xmin) AS xmin, least(a.xmax, b.xmax) AS xmax, greatest(a.ymin, b.ymin) AS ymin, least(a.ymax, b.ymax) AS ymax, (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS area FROM ({OB}) a JOIN ({PL}) b ON {O_} WHERE greatest(a.xmin, b.xmin) < least(a.xmax, b.xmax) AND greatest(a.ymin, b.ymin) < least(a.ymax, b.ymax)")
 add("shape_transform", lambda s, d: spatial.transform(boxes(s), 1, 2, 30, 1.5, 0.5), "id seq | x y", f"""SELECT id, seq::INT AS seq, dx * cos(radians(-30)) - dy * sin(radians(-30)) + mx + 1 AS x, dx * sin(radians(-30)) + dy * cos(radians(-30)) + my + 2 AS y FROM (SELECT id, seq, ((CASE WHEN seq IN (1, 4) THEN xmin ELSE xmax END) - mx) * 1.5::DOUBLE AS dx,
@@ -164,7 +166,7 @@ add("mosaic_aggregate", lambda s, d: raster.aggregate(px(s, d), 2, ["v"]), PX, f
 add("mosaic_aggregate_nearest", lambda s, d: raster.aggregate(px(s, d), 2, ["v"], "nearest"), PX, f"SELECT img, row // 2 AS row, col // 2 AS col, v FROM ({TS}) WHERE row % 2 = 0 AND col % 2 = 0")
 add("mosaic_resample", lambda s, d: raster.resample_nearest(px(s, d), 8, 8, 12, 4), PX, f"SELECT img, r::INT AS row, c::INT AS col, v FROM ({TS}), unnest(range(0, 12)) AS u(r), unnest(range(0, 4)) AS w(c) WHERE row = r * 8 // 12 AND col = c * 8 // 4")
 add("image_expand", lambda s, d: raster.expand(px(s, d), 8, 8, 1, "v", 0.5), PX, f"SELECT img, row + 1 AS row, col + 1 AS col, v FROM ({TS}) UNION ALL SELECT img, r::INT, c::INT, 0.5 FROM (SELECT DISTINCT img FROM ({TS})), unnest(range(0, 10)) AS u(r), unnest(range(0, 10)) AS w(c) WHERE r IN (0, 9) OR c IN (0, 9)")
-add("image_alpha", lambda s, d: raster.alpha(px(s, d), 0.25).groupBy("img").agg(F.avg("A").alias("A")), "img | A", f"SELECT img, 0.25 AS A FROM ({TS}) GROUP BY img")
+add("image_alpha", lambda s, d: raster.alpha(px(s, d), 0.25).select("img", "row", "col", "v", "A"), "img row col | v A", f"SELECT *, 0.25 AS A FROM ({TS})")
 N9 = f"SELECT a.img, a.row, a.col, b.v AS w, b.row - a.row AS dr, b.col - a.col AS dc FROM ({TS}) a JOIN ({TS}) b ON a.img = b.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1"
 kern = tile.brush(3, "box")
 for name_, kernel_, text_ in (("dilate", lambda a: tile.dilate(a, kern), "max(w)"), ("erode", lambda a: tile.erode(a, kern), "min(w)"), ("median3", tile.median, "median(w)")):
@@ -175,16 +177,16 @@ DILATED = ERODED.replace("min(w)", "max(w)")
 add("closing", lambda s, d: tile.to_pixels(tile.apply(tl(s, d), lambda a: tile.closing(a, kern))), PX, f"WITH e AS ({DILATED}) SELECT a.img, a.row, a.col, min(b.v) AS v FROM e a JOIN e b ON a.img = b.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL")
 REPEAT = f"SELECT a.img, a.row, a.col, dr, dc, b.v AS w FROM ({TS}) a, unnest([-1, 0, 1]) AS u(dr), unnest([-1, 0, 1]) AS z(dc), ({TS}) b WHERE b.img = a.img AND b.row = least(greatest(a.row + dr, 0), 7) AND b.col = least(greatest(a.col + dc, 0), 7)"
 add("sobel", lambda s, d: tile.to_pixels(tile.apply(tl(s, d), tile.sobel)), PX, f"SELECT img, row, col, sqrt(pow(sum(w * dc * (2 - abs(dr))), 2) + pow(sum(w * dr * (2 - abs(dc))), 2)) AS v FROM ({REPEAT}) GROUP BY img, row, col")
-KER = {o: round(float(k), 12) for o, k in zip((-1, 0, 1), (lambda k: k / k.sum())(__import__("numpy").exp(-(__import__("numpy").arange(-1, 2) ** 2) / (2 * (1 / 3) ** 2))), strict=True)}
+KER = {o: repr(float(k)) for o, k in zip((-1, 0, 1), (lambda k: k / k.sum())(__import__("numpy").exp(-(__import__("numpy").arange(-1, 2) ** 2) / (2 * (1 / 3) ** 2))), strict=True)}
 add("gauss_blur", lambda s, d: tile.to_pixels(tile.apply(tl(s, d), lambda a: tile.blur(a, 1 / 3))), PX, f"SELECT img, row, col, sum(w * (CASE dr WHEN 0 THEN {KER[0]} ELSE {KER[1]} END)::DOUBLE * (CASE dc WHEN 0 THEN {KER[0]} ELSE {KER[1]} END)::DOUBLE) AS v FROM ({REPEAT}) GROUP BY img, row, col")
 fg = lambda s, d: tile.apply(tl(s, d), lambda a: a > 0.0)
 FG = f"SELECT img, row, col FROM ({TS}) WHERE v > 0"
 add("dist_transform", lambda s, d: tile.to_pixels(tile.apply(fg(s, d), tile.distance)), PX, f"SELECT a.img, a.row, a.col, coalesce(min(abs(a.row - b.row) + abs(a.col - b.col)), 64)::DOUBLE AS v FROM ({TS}) a LEFT JOIN ({TS}) b ON a.img = b.img AND b.v <= 0 GROUP BY ALL")
-add("label_cc", lambda s, d: tile.to_pixels(tile.apply(fg(s, d), tile.label)).where("v > 0").groupBy("img").agg(F.count("*").alias("area"), F.countDistinct("v").alias("objects")), "img area objects", f"""WITH RECURSIVE f AS (SELECT img, row * 8 + col AS k, row, col FROM ({FG})), r AS (SELECT img, k, k AS lo FROM f UNION SELECT r.img, b.k, r.lo FROM r JOIN f a ON a.img = r.img AND a.k = r.k JOIN f b ON b.img = a.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.k > r.lo)
-  SELECT img, count(*) AS area, count(DISTINCT lo) AS objects FROM (SELECT img, k, min(lo) AS lo FROM r GROUP BY img, k) GROUP BY img""")
+add("label_cc", lambda s, d: tile.to_pixels(tile.apply(fg(s, d), tile.label)), PX, f"""WITH RECURSIVE f AS (SELECT img, row * 8 + col AS k, row, col FROM ({FG})), r AS (SELECT img, k, k AS lo FROM f UNION SELECT r.img, b.k, r.lo FROM r JOIN f a ON a.img = r.img AND a.k = r.k JOIN f b ON b.img = a.img AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.k > r.lo)
+  SELECT t.img, t.row, t.col, coalesce(nth, 0)::DOUBLE AS v FROM ({TS}) t LEFT JOIN (SELECT img, k, dense_rank() OVER (PARTITION BY img ORDER BY lo) AS nth FROM (SELECT img, k, min(lo) AS lo FROM r GROUP BY img, k)) l ON t.img = l.img AND t.row * 8 + t.col = l.k""")
 for name_, kernel_ in (("label_gap", lambda a: tile.label(a, 2)), ("watershed2", tile.watershed), ("thin_zhang_suen", tile.thin), ("thin_guo_hall", tile.thin_guo_hall), ("skeleton", tile.skeleton), ("fill_hull", tile.fill_hull)):
     add(name_, lambda s, d, k=kernel_: tile.to_pixels(tile.apply(fg(s, d), k)))
-for name_, kernel_ in (("canny", tile.canny), ("clahe", tile.clahe), ("image_rotate", lambda a: tile.rotate(a, 30)), ("image_resize", lambda a: tile.resize(a, 5, 12)), ("image_square", lambda a: tile.square(a[:5]))):
+for name_, kernel_ in (("canny", tile.canny), ("clahe", tile.clahe), ("image_rotate", lambda a: tile.rotate(a, 30)), ("image_resize", lambda a: tile.resize(a, 5, 12)), ("image_square", lambda a: tile.square(tile.autocrop(a, a > 0.05)))):
     add(name_, lambda s, d, k=kernel_: tile.to_pixels(tile.apply(tl(s, d), k)))
 add("haralick", lambda s, d: tile.apply(tl(s, d), lambda a: tile.haralick(a, 8)).select("img", *[F.get("data", F.lit(k)).alias(n) for k, n in enumerate(tile.HARALICK)]))
 add("object_contour", lambda s, d: tile.contours(tile.apply(fg(s, d), tile.label)))
@@ -197,7 +199,7 @@ add("chm_ground_quantile", heights, "img row col | height", GROUND)
 add("chm_from_dtm", lambda s, d: raster.chm(px(s, d), px(s, d).withColumn("v", F.col("v") / 2.0 - 0.1)), "img row col | height", f"SELECT img, row, col, v - (v / 2 - 0.1::DOUBLE) AS height FROM ({TS})")
 add("chm_extract", lambda s, d: raster.chm_extract(heights(s, d), ["img"], 0.25, 0.1), "img | q0 q5 q50 q95 q100 mean cv volume coverage entropy", f"""SELECT img, quantile_cont(height, 0) AS q0, quantile_cont(height, 0.05) AS q5, quantile_cont(height, 0.5) AS q50, quantile_cont(height, 0.95) AS q95, quantile_cont(height, 1) AS q100, avg(height) AS mean, avg(height) / nullif(stddev_samp(height), 0) AS cv, sum(height) * 0.25 AS volume,
   count(*) FILTER (height > 0.1) / count(*)::DOUBLE AS coverage, any_value(entropy) AS entropy FROM ({GROUND}) JOIN (SELECT img, -sum(n / 64 * ln(n / 64)) AS entropy FROM (SELECT img, round(height, 2) AS v, count(*)::DOUBLE AS n FROM ({GROUND}) GROUP BY ALL) GROUP BY img) USING (img) GROUP BY img""")
-add("chm_mask", lambda s, d: raster.chm_mask(heights(s, d), 0.05, 0.2).groupBy("img").agg(F.count_if("mask").alias("n")), "img n", f"SELECT img, count(*) FILTER (height > 0.05 AND height < 0.2) AS n FROM ({GROUND}) GROUP BY img")
+add("chm_mask", lambda s, d: raster.chm_mask(heights(s, d), 0.05, 0.2).select("img", "row", "col", "mask"), "img row col mask", f"SELECT img, row, col, height > 0.05 AND height < 0.2 AS mask FROM ({GROUND})")
 add("hist", lambda s, d: raster.histogram(T(s, d), "v", ["label"], -0.5, 0.5, 20), "label bin count", f"SELECT label, greatest(least(floor((v - (-0.5)) / (1 / 20::DOUBLE)), 19), 0)::INT AS bin, count(*) AS count FROM ({TILES_SQL}) GROUP BY ALL")
 add("interp_lm", lambda s, d: raster.plane(px(s, d), "v", ["img"]), "img | b0 bx by_", f"SELECT img, mz - covar_pop_xz / 5.25 * 3.5 - covar_pop_yz / 5.25 * 3.5 AS b0, covar_pop_xz / 5.25 AS bx, covar_pop_yz / 5.25 AS by_ FROM (SELECT img, avg(v) AS mz, covar_pop(col, v) AS covar_pop_xz, covar_pop(row, v) AS covar_pop_yz FROM ({TS}) GROUP BY img)")
 
