@@ -42,13 +42,47 @@ def cubic_terms(r, g, b) -> list:
     return [r, g, b, r * r, g * g, b * b, r * r * r, g * g * g, b * b * b]
 
 
-def fit_correction(card: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Least-squares matrix (nine terms by three bands) that takes a colour card's chips to their known colours. A card has
-    a few dozen chips, so the fit is on the driver."""
-    return np.linalg.pinv(np.stack(cubic_terms(*card.T), axis=1)) @ known
+def polynomial_terms(r, g, b) -> list:
+    """Twenty terms: one, and all products of the bands up to the third power."""
+    one = r * 0.0 + 1.0
+    return [one, r, g, b, r * g, r * b, g * b, r * r, g * g, b * b, r * r * r, g * g * g, b * b * b, r * r * g, r * r * b, g * g * r, g * g * b, b * b * r, b * b * g, r * g * b]
 
 
-def correct(pixels: DataFrame, matrix: np.ndarray) -> DataFrame:
+MODELS = {"cubic": cubic_terms, "root_polynomial": polynomial_terms}
+
+
+def fit_correction(card: np.ndarray, known: np.ndarray, model: str = "cubic") -> np.ndarray:
+    """Least-squares matrix (terms by three bands) that takes a colour card's chips to their known colours. A card has a few
+    dozen chips, so the fit is on the driver."""
+    return np.linalg.pinv(np.stack(MODELS[model](*card.T), axis=1)) @ known
+
+
+def correct(pixels: DataFrame, matrix: np.ndarray, model: str = "cubic") -> DataFrame:
     """Pixels with their R, G and B corrected."""
-    terms = cubic_terms(F.col("R"), F.col("G"), F.col("B"))
+    terms = MODELS[model](F.col("R"), F.col("G"), F.col("B"))
     return pixels.withColumns({n: sum((t * float(m) for t, m in zip(terms[1:], matrix[1:, k], strict=True)), terms[0] * float(matrix[0, k])) for k, n in enumerate("RGB")})
+
+
+def chips(image: np.ndarray, corners: list[tuple[float, float]], nrow: int = 4, ncol: int = 6, inner: float = 0.5) -> np.ndarray:
+    """Mean colours (nrow * ncol by bands) of a colour card's chips, whose grid lies between four corners (x, y; clockwise
+    from the upper left), over the inner share of each chip."""
+    p = np.asarray(corners, float)
+    out = []
+    for r in range(nrow):
+        for c in range(ncol):
+            u = (c + 0.5 + np.linspace(-inner / 2, inner / 2, 7)[None]) / ncol
+            v = (r + 0.5 + np.linspace(-inner / 2, inner / 2, 7)[:, None]) / nrow
+            at = [(1 - v) * ((1 - u) * p[0, k] + u * p[1, k]) + v * ((1 - u) * p[3, k] + u * p[2, k]) for k in (0, 1)]
+            x, y = (np.clip(np.round(a).astype(int), 0, n - 1) for a, n in zip(at, (image.shape[1], image.shape[0]), strict=True))
+            out.append(image[y, x].mean((0, 1)))
+    return np.array(out)
+
+
+def find_card(mask: np.ndarray) -> list[tuple[float, float]]:
+    """The corners (x, y; clockwise from the upper left) of the largest object of a mask."""
+    from fieldframe.operators import tile
+
+    labels = tile.label(mask)
+    y, x = np.nonzero(labels == np.bincount(labels.ravel())[1:].argmax() + 1)
+    far = [(s * x + t * y).argmin() for s, t in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+    return [(float(x[k]), float(y[k])) for k in far]

@@ -40,15 +40,16 @@ def computable(available: set[str], catalogue: dict[str, str]) -> list[str]:
     return [name for name, f in catalogue.items() if bands(f) <= available]
 
 
-def column(formula: str, of: dict[str, str] | None = None) -> Column:
-    """The formula as a Column; ``of`` renames bands to columns."""
+def column(formula: str, of: dict | None = None) -> Column:
+    """The formula as a Column; ``of`` gives bands another column, by name or as a Column."""
 
     def walk(n: ast.expr) -> Column:
         if isinstance(n, ast.Constant):
             return F.lit(float(n.value))
         if isinstance(n, ast.Name):
             name = HSB.get(n.id, n.id)
-            return F.col((of or {}).get(name, name))
+            found = (of or {}).get(name, name)
+            return F.col(found) if isinstance(found, str) else found
         if isinstance(n, ast.UnaryOp):
             x = walk(n.operand)
             return -x if isinstance(n.op, ast.USub) else x

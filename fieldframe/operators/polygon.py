@@ -167,6 +167,103 @@ def sample(r: DataFrame, n: int) -> DataFrame:
     return _both(r, lambda a: F.transform("__at", lambda k: F.get(a, k))).drop("__at")
 
 
+def sample_prop(r: DataFrame, prop: float) -> DataFrame:
+    """A share of the vertices of every polygon, at evenly spaced places (two at least)."""
+    n = F.greatest(F.floor(F.size(xs()) * prop).cast("int"), F.least(F.size(xs()), F.lit(2)))
+    step = (F.size(xs()) - 1) / F.greatest(n - 1, F.lit(1))
+    r = r.withColumn("__at", F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.floor(k * step + 0.5).cast("int")))
+    return _both(r, lambda a: F.transform("__at", lambda k: F.get(a, k))).drop("__at")
+
+
+def jitter(r: DataFrame, noise: float, seed: int = 0) -> DataFrame:
+    """Vertices moved by up to ``noise`` each way; the same id, vertex and seed always move alike."""
+    part = lambda tag: lambda v, k: v + (F.pmod(F.xxhash64(F.col("id"), k, F.lit(f"{tag}{seed}")), F.lit(2**32)) / float(2**31) - 1.0) * noise
+    return r.withColumns({c: F.transform(c, part(c)) for c in ARRAYS})
+
+
+def check(r: DataFrame, least: int = 3) -> DataFrame:
+    """The rings that are polygons: as many xs as ys, at least three vertices, no missing or infinite number."""
+    sound = lambda c: ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return r.where((F.size("xs") == F.size("ys")) & (F.size("xs") >= least) & sound("xs") & sound("ys"))
+
+
+def spline(r: DataFrame, n: int, wrap: int = 3) -> DataFrame:
+    """n vertices on the natural cubic spline through each ring, which first goes on by ``wrap`` vertices on both ends, so
+    that it closes smoothly (a small linear system a ring, in Arrow batches)."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = r.columns
+    at = [names.index(c) for c in ARRAYS]
+
+    def curve(v: np.ndarray) -> np.ndarray:
+        k = min(wrap, len(v))
+        y = np.concatenate((v[-k:], v, v[:k])) if k else v
+        m = len(y)
+        second = np.zeros(m)
+        if m > 2:
+            a = np.diag(np.full(m - 2, 4.0)) + np.diag(np.ones(m - 3), 1) + np.diag(np.ones(m - 3), -1)
+            second[1:-1] = np.linalg.solve(a, 6 * (y[2:] - 2 * y[1:-1] + y[:-2]))
+        t = k + np.arange(n) * (len(v) / n)
+        i = np.minimum(t.astype(int), m - 2)
+        u = t - i
+        return (1 - u) * y[i] + u * y[i + 1] + ((1 - u) ** 3 - (1 - u)) * second[i] / 6 + (u**3 - u) * second[i + 1] / 6
+
+    def run(batches):
+        for b in batches:
+            columns = list(b.columns)
+            for k in at:
+                columns[k] = pa.array([curve(np.array(v, float)) if v is not None and len(v) > 1 else v for v in columns[k].to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return r.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema))
+
+
+def width_at(r: DataFrame, at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(id, height, width): the extent of each ring, in x, at shares of its height, between the outermost crossings."""
+    n = F.size("xs")
+    y = lambda p: F.array_min("ys") + (F.array_max("ys") - F.array_min("ys")) * p
+
+    def span(p):
+        cross = F.filter(
+            F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when((F.get("ys", k) > y(p)) != (F.get("ys", (k + 1) % n) > y(p)), (F.get("xs", (k + 1) % n) - F.get("xs", k)) * (y(p) - F.get("ys", k)) / F.nullif(F.get("ys", (k + 1) % n) - F.get("ys", k), F.lit(0.0)) + F.get("xs", k))),
+            lambda v: v.isNotNull(),
+        )
+        return F.coalesce(F.array_max(cross) - F.array_min(cross), F.lit(0.0))
+
+    return r.select("id", F.explode(F.array(*[F.struct(F.lit(p).alias("height"), span(p).alias("width")) for p in at])).alias("p")).select("id", "p.*")
+
+
+def apex_base_angle(r: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """(id, apex, base): the angles in degrees at the top and at the bottom vertex, between the outermost vertices nearest to
+    a share of the height on its left and on its right; null where a side has none."""
+    points = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    by = lambda f, sign: f(F.transform(points, lambda p: F.struct((p["y"] * sign).alias("k"), p["x"].alias("x"), p["y"].alias("y"))))
+
+    def angle(tip, share):
+        height = F.array_min("ys") + (F.array_max("ys") - F.array_min("ys")) * share
+        side = lambda test: F.array_min(F.transform(F.filter(points, test), lambda p: F.struct(F.abs(p["y"] - height).alias("d"), p["x"].alias("x"), p["y"].alias("y"))))
+        a, b = side(lambda p: p["x"] < tip["x"]), side(lambda p: p["x"] > tip["x"])
+        ux, uy, vx, vy = a["x"] - tip["x"], a["y"] - tip["y"], b["x"] - tip["x"], b["y"] - tip["y"]
+        return F.degrees(F.atan2(F.abs(ux * vy - uy * vx), ux * vx + uy * vy))
+
+    return r.select("id", angle(by(F.array_max, 1.0), high).alias("apex"), angle(by(F.array_min, 1.0), low).alias("base"))
+
+
+def smooth_open(r: DataFrame, window: int = 5) -> DataFrame:
+    """Moving average over ``window`` vertices, cut at the ends of the line."""
+    h = window // 2
+    return _both(r, lambda a: F.transform(a, lambda v, k: _mean(F.slice(a, F.greatest(k - h, F.lit(0)) + 1, F.least(k + h, F.size(a) - 1) - F.greatest(k - h, F.lit(0)) + 1))))
+
+
+def column_pixels(r: DataFrame) -> DataFrame:
+    """(id, x, first, middle, last, n): of the integer points inside each ring, by column, the first, the middle and the last."""
+    from .geometry import rasterise
+
+    inside = r.select("id", F.explode(rasterise(F.col("xs"), F.col("ys"))).alias("p")).select("id", "p.x", "p.y")
+    return inside.groupBy("id", "x").agg(F.min("y").alias("first"), F.median("y").alias("middle"), F.max("y").alias("last"), F.count("*").alias("n"))
+
+
 def smooth(r: DataFrame, rounds: int = 1) -> DataFrame:
     """Cyclic moving average of three vertices, ``rounds`` times: a fold over the rounds within each row."""
     once = "transform({a}, (p, i) -> (get({a}, (i + n - 1) % n) + p + get({a}, (i + 1) % n)) / 3D)"

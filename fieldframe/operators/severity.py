@@ -43,6 +43,19 @@ def glm_mask(train: DataFrame, pixels: DataFrame, bands: list[str], label: str =
     return out.withColumn("mask", F.col("probability") >= 0.5).drop("__x", "__p", "__y", "__r")
 
 
+def by_palette(pixels: DataFrame, healthy: DataFrame, symptomatic: DataFrame, bands: list[str], by: list[str], background: DataFrame | None = None) -> DataFrame:
+    """(by..., healthy, symptomatic): shares in per cent of the leaf pixels, by logistic regressions on the bands of palette
+    pixels. With a background palette a first regression parts leaf (both other palettes) from background; the second parts
+    healthy from symptomatic. The pixels are scored where they lie."""
+    code = lambda df, y: df.select(*bands, F.lit(y).alias("label"))
+    leaf = pixels
+    if background is not None:
+        train = code(background, 0.0).unionByName(code(healthy, 1.0)).unionByName(code(symptomatic, 1.0))
+        leaf = glm_mask(train, pixels, bands).where("mask").drop("probability", "mask")
+    scored = glm_mask(code(healthy, 0.0).unionByName(code(symptomatic, 1.0)), leaf, bands)
+    return by_index(scored, F.lit(True), ~F.col("mask"), by)
+
+
 def palette(pixels: DataFrame, bands: list[str], k: int = 5, seed: int = 10) -> DataFrame:
     """(cluster, n, prop, mean bands): k-means colours, the most frequent first."""
     from pyspark.ml.clustering import KMeans

@@ -6,7 +6,6 @@ rows are. ``apply`` lifts a kernel (array of h by w -> array) to a DataFrame.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +16,15 @@ from pyspark.sql import functions as F
 
 def from_pixels(pixels: DataFrame, value: str, by: str = "img") -> DataFrame:
     """(img, row, col, value) -> (img, h, w, data): pixels of an image meet in one row; missing ones are null."""
-    g = pixels.groupBy(by).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("row", "col", F.col(value).cast("double").alias("v")))).alias("p"))
-    return g.select(F.col(by).alias("img"), "h", "w", F.when(F.size("p") == F.col("h") * F.col("w"), F.col("p.v")).otherwise(F.expr("transform(sequence(0, h * w - 1), k -> filter(p, q -> q.row * w + q.col = k)[0].v)")).alias("data"))
+    place = F.struct((F.col("row") * F.col("w") + F.col("col")).cast("int"), F.col(value).cast("double"))
+    sizes = pixels.groupBy(F.col(by).alias("__img")).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    known = pixels.join(sizes, F.col(by) == F.col("__img")).groupBy(by, "h", "w").agg(F.map_from_entries(F.collect_list(place)).alias("p"))
+    full = F.transform(F.sequence(F.lit(0), (F.col("h") * F.col("w")).cast("int") - 1), lambda k: k)
+    g = known.select(F.col(by).alias("img"), "h", "w", F.array_sort(F.map_entries("p")).alias("p"), full.alias("all"))
+    dense = F.size("p") == F.col("h") * F.col("w")
+    # Where pixels are missing, the places in between are merged in by one sort.
+    gaps = F.array_sort(F.concat(F.col("p"), F.transform(F.array_except("all", F.col("p.key")), lambda k: F.struct(k.alias("key"), F.lit(None).cast("double").alias("value")))))
+    return g.select("img", "h", "w", F.when(dense, F.col("p.value")).otherwise(F.transform(gaps, lambda q: q["value"])).alias("data"))
 
 
 def from_embeddings(vectors: DataFrame, side: int = 8) -> DataFrame:
@@ -101,26 +107,47 @@ def sobel(a):
     return np.hypot(*gradient(a))
 
 
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n things' sets, things i and j being joined."""
+    up = np.arange(n)
+    while True:
+        low = np.minimum(up[i], up[j])
+        new = up.copy()
+        np.minimum.at(new, up[i], low)
+        np.minimum.at(new, up[j], low)
+        while not (new[new] == new).all():
+            new = new[new]
+        if (new == up).all():
+            return up
+        up = new
+
+
 def label(mask, gap: int = 1, eight: bool = True):
     """Connected components numbered from 1 in scan order; pixels up to ``gap`` apart (Chebyshev) are neighbours, or with
-    ``eight`` false and gap 1 those that share a side."""
+    ``eight`` false those whose city-block distance is that small. Runs of a row's pixels are joined, not pixels."""
     mask = np.asarray(mask) > 0
+    h, w = mask.shape
+    step = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    if not len(row):
+        return np.zeros(mask.shape, int)
+    wide = w + 2 * gap + 2
+    pairs_i, pairs_j = [], []
+    for up in range(gap + 1):
+        reach = gap if eight else gap - up
+        above = (row - up) * wide
+        first = np.searchsorted(row * wide + end, above + start - reach, "right")
+        last = np.searchsorted(row * wide + start, above + end + reach, "left")
+        first = np.maximum(first, np.searchsorted(row, row - up, "left"))
+        last = np.minimum(last, np.searchsorted(row, row - up, "right"))
+        n = np.maximum(last - first, 0)
+        i = np.repeat(np.arange(len(row)), n)
+        pairs_i.append(i)
+        pairs_j.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n))
+    _, number = np.unique(joined(len(row), np.concatenate(pairs_i), np.concatenate(pairs_j)), return_inverse=True)
     out = np.zeros(mask.shape, int)
-    around = [(y, x) for y in range(-gap, gap + 1) for x in range(-gap, gap + 1) if (y or x) and (eight or abs(y) + abs(x) <= gap)]
-    n = 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if out[start]:
-            continue
-        n += 1
-        out[start] = n
-        queue = deque([start])
-        while queue:
-            r, c = queue.popleft()
-            for y, x in around:
-                p = r + y, c + x
-                if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not out[p]:
-                    out[p] = n
-                    queue.append(p)
+    out[mask] = np.repeat(number + 1, end - start)
     return out
 
 
@@ -143,31 +170,48 @@ def distance(mask):
         out = new
 
 
+#: Neighbours that share a side, columns first.
+SIDES = ((0, -1), (0, 1), (-1, 0), (1, 0))
+
+
+def flood(labels, mask):
+    """Labels spread over the mask from side to side, one step a round; where two meet, the one whose pixel was reached
+    first has it."""
+    mask = np.pad(np.asarray(mask) > 0, 1)
+    out = np.pad(labels, 1)
+    wide = mask.shape[1]
+    steps = np.array([y * wide + x for y, x in SIDES])
+    flat, free = out.ravel(), mask.ravel()
+    front = np.flatnonzero(out.T.ravel())
+    front = front % out.shape[0] * wide + front // out.shape[0]  # column by column
+    while len(front):
+        to = (front[:, None] + steps).ravel()
+        of = np.repeat(front, 4)
+        new = free[to] & (flat[to] == 0)
+        to, of = to[new], of[new]
+        _, first = np.unique(to, return_index=True)
+        first.sort()
+        front = to[first]
+        flat[front] = flat[of[first]]
+    return out[1:-1, 1:-1]
+
+
 def watershed(mask, share: float = 0.75):
-    """Objects split at their necks: markers where the distance exceeds a share of its largest, then flooded from high to low."""
+    """Objects split at their necks: markers where the distance exceeds a share of the image's largest, flooded over the
+    mask from side to side; then every pixel takes the label of its side neighbour of the smallest distance."""
     mask = np.asarray(mask) > 0
     if not mask.any():
         return np.zeros(mask.shape, int)
     d = distance(mask)
-    out = np.zeros(mask.shape, int)
-    parts = label(mask)
-    n = 0
-    for k in range(1, parts.max() + 1):
-        part = parts == k
-        marks = label(part & (d >= share * d[part].max()))
-        out[marks > 0] = marks[marks > 0] + n
-        n += marks.max()
-    around = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x]
-    for level in sorted(set(d[mask].tolist()), reverse=True):
-        queue = deque(zip(*np.nonzero((out > 0) & (d >= level)), strict=True))
-        while queue:
-            r, c = queue.popleft()
-            for y, x in around:
-                p = r + y, c + x
-                if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not out[p] and d[p] >= level:
-                    out[p] = out[r, c]
-                    queue.append(p)
-    return out
+    full = flood(label(d > share * d.max()), mask)
+    labels, far = np.pad(full, 1), np.pad(d.astype(float), 1)
+    h, w = mask.shape
+    best, out = np.full(mask.shape, np.inf), np.zeros(mask.shape, int)
+    for y, x in SIDES:
+        near, dist = labels[1 + y : 1 + y + h, 1 + x : 1 + x + w], far[1 + y : 1 + y + h, 1 + x : 1 + x + w]
+        better = (near > 0) & (dist < best)
+        best, out = np.where(better, dist, best), np.where(better, near, out)
+    return np.where(mask, out, 0)
 
 
 def _ring(a):
@@ -260,13 +304,17 @@ def clahe(a, parts: int = 2, bins: int = 64, clip: float = 2.0):
     return lo + (hi - lo) * ((1 - fy) * ((1 - fx) * of(y0, x0) + fx * of(y0, x1)) + fy * ((1 - fx) * of(y1, x0) + fx * of(y1, x1)))
 
 
-def rotate(a, degrees: float, background: float = 1.0):
-    """Turned about the middle by inverse mapping (bilinear), same size."""
+def rotate(a, degrees: float, background: float = 1.0, grow: bool = False):
+    """Turned about the middle by inverse mapping (bilinear); same size, or with ``grow`` as large as the corners need."""
     h, w = a.shape
-    y, x = np.mgrid[:h, :w].astype(float)
     t = np.radians(degrees)
     cy, cx = (h - 1) / 2, (w - 1) / 2
-    sx, sy = np.cos(t) * (x - cx) + np.sin(t) * (y - cy) + cx, -np.sin(t) * (x - cx) + np.cos(t) * (y - cy) + cy
+    oh, ow = h, w
+    if grow:
+        oh, ow = int(np.ceil(h * abs(np.cos(t)) + w * abs(np.sin(t)) - 1e-9)), int(np.ceil(w * abs(np.cos(t)) + h * abs(np.sin(t)) - 1e-9))
+    y, x = np.mgrid[:oh, :ow].astype(float)
+    y, x = y - (oh - 1) / 2, x - (ow - 1) / 2
+    sx, sy = np.cos(t) * x + np.sin(t) * y + cx, -np.sin(t) * x + np.cos(t) * y + cy
     return sample(a, sy, sx, background)
 
 
@@ -326,6 +374,18 @@ def contour(mask) -> list[tuple[int, int]]:
     return [(int(r) - 1, int(c) - 1) for r, c in out]
 
 
+def outlines(labels):
+    """(label, pixels, outline) of each object of a label image; each is traced within its own box."""
+    labels = np.asarray(labels).astype(int)
+    r, c = np.nonzero(labels > 0)
+    which, at, n = np.unique(labels[r, c], return_inverse=True, return_counts=True)
+    ends = [np.full(len(which), v) for v in (labels.shape[0], -1, labels.shape[1], -1)]
+    for to, f, v in zip(ends, (np.minimum, np.maximum) * 2, (r, r, c, c), strict=True):
+        f.at(to, at, v)
+    for k, count, r0, r1, c0, c1 in zip(which.tolist(), n.tolist(), *(e.tolist() for e in ends), strict=True):
+        yield k, count, [(y + r0, x + c0) for y, x in contour(labels[r0 : r1 + 1, c0 : c1 + 1] == k)]
+
+
 def contours(labels: DataFrame) -> DataFrame:
     """Label images -> (img, id, seq, x, y): the outline of each object."""
 
@@ -333,9 +393,8 @@ def contours(labels: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for img, h, w, data in zip(*(b.column(c).to_pylist() for c in ("img", "h", "w", "data")), strict=True):
-                a = np.array(data).reshape(h, w).astype(int)
-                for k in np.unique(a[a > 0]).tolist():
-                    rows += [(img, k, n + 1, float(c), float(r)) for n, (r, c) in enumerate(contour(a == k))]
+                for k, _, ring in outlines(np.array(data).reshape(h, w)):
+                    rows += [(img, k, n + 1, float(c), float(r)) for n, (r, c) in enumerate(ring)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("img").type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3]), pa.array(cols[4])], ["img", "id", "seq", "x", "y"])
@@ -343,6 +402,49 @@ def contours(labels: DataFrame) -> DataFrame:
     return labels.mapInArrow(run, f"img {labels.schema['img'].dataType.simpleString()}, id int, seq int, x double, y double")
 
 
+def placed_brush(h: int, w: int, size: int, shape: str = "disc", rel_x: float = 0.5, rel_y: float = 0.5):
+    """A mask with a brush about a place given in shares of the image's width and height."""
+    kern = brush(size, shape)
+    r = len(kern) // 2
+    out = np.zeros((h + 2 * r, w + 2 * r), bool)
+    y, x = round(rel_y * (h - 1)), round(rel_x * (w - 1))
+    out[y : y + len(kern), x : x + len(kern)] = kern
+    return out[r : r + h, r : r + w]
+
+
+def masked(a, mask, background: float = 1.0):
+    """The image inside a mask, the background's value outside."""
+    return np.where(mask, a, background)
+
+
+def horizontal(a):
+    """A quarter turned if it is taller than wide."""
+    return np.rot90(a) if a.shape[0] > a.shape[1] else a
+
+
+def vertical(a):
+    """A quarter turned if it is wider than tall."""
+    return np.rot90(a) if a.shape[1] > a.shape[0] else a
+
+
+def levelled(a, x1: float, y1: float, x2: float, y2: float, upright: bool = True, background: float = 1.0):
+    """Turned so that the line between two points stands upright, or lies level."""
+    return rotate(a, float(np.degrees(np.arctan2(x2 - x1, y2 - y1) if upright else -np.arctan2(y2 - y1, x2 - x1))), background, True)
+
+
+def edges(a, sigma: float = 1.0):
+    """One-pixel edges: blurred, Sobel gradient, Otsu's threshold, thinned."""
+    from .analyze import otsu
+
+    g = sobel(blur(a, sigma))
+    return thin(g > otsu(g.ravel()))
+
+
+def area_sums(a):
+    """Summed-area table: at each pixel the sum of all above and left of it, itself included."""
+    return np.cumsum(np.cumsum(a, 0), 1)
+
+
 HARALICK = "asm con cor var idm sav sva sen ent dva den f12 f13".split()
 
 

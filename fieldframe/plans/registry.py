@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import pixel_queries, shape_queries
+from . import analysis_queries, pixel_queries, shape_queries
 
 FLAGSHIP = "pixel_index_stats"
-MODULES = (pixel_queries, shape_queries)
+MODULES = (pixel_queries, shape_queries, analysis_queries)
 
 
 def queries() -> dict:

@@ -1,4 +1,6 @@
-"""Image files: PNG (8 bits, not interlaced) and binary PGM/PPM, read through Spark's own file source."""
+"""Image files. JPEG, TIFF, PNG, GIF and BMP come through Spark's own image source, which decodes them in the JVM (eight bits
+a channel); PNG of eight bits and binary PGM/PPM, in streams too, are decoded here from Spark's binary files. Written are
+PNG and PGM/PPM, a file an image."""
 
 from __future__ import annotations
 
@@ -62,23 +64,109 @@ def decode_png(blob: bytes) -> np.ndarray:
         raise ValueError("only 8-bit PNG without interlacing")
     bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * bands)
-    out = np.zeros((h + 1, w + 1, bands), np.int64)
+    a = np.zeros((h, w, bands), np.uint8)
+    up = np.zeros((w, bands), np.uint8)
     for y in range(h):
         rule, line = raw[y, 0], raw[y, 1:].reshape(w, bands)
-        up = out[y]
-        for x in range(w):
-            a, b, c = out[y + 1, x], up[x + 1], up[x]
-            if rule == 4:
-                p = a + b - c
-                pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                guess = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-            else:
-                guess = (0, a, b, (a + b) // 2)[rule]
-            out[y + 1, x + 1] = (line[x] + guess) & 255
-    a = out[1:, 1:]
+        if rule in (0, 2):
+            a[y] = line if not rule else line + up
+        elif rule == 1:
+            a[y] = np.cumsum(line, axis=0, dtype=np.uint8)  # sums of bytes wrap as the format wants
+        else:
+            a[y] = _filtered(line, up, bool(rule == 4))
+        up = a[y]
     return (palette[a[..., 0]] if colour == 3 else a) / 255
 
 
+def _filtered(line: np.ndarray, up: np.ndarray, paeth: bool) -> np.ndarray:
+    """A line of average or Paeth differences, pixel by pixel: each needs the one before."""
+    out = []
+    for ups, diffs in zip(up.T.tolist(), line.T.tolist(), strict=True):
+        left = corner = 0
+        band = []
+        for above, diff in zip(ups, diffs, strict=True):
+            if paeth:
+                p = left + above - corner
+                x, y, z = abs(p - left), abs(p - above), abs(p - corner)
+                guess = left if x <= y and x <= z else above if y <= z else corner
+            else:
+                guess = (left + above) // 2
+            left = (diff + guess) & 255
+            corner = above
+            band.append(left)
+        out.append(band)
+    return np.array(out, np.uint8).T
+
+
+def encode_png(a: np.ndarray) -> bytes:
+    """Eight-bit PNG of values from 0 to 1: grey, grey and alpha, colour, or colour and alpha by the number of bands."""
+    h, w, bands = a.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = np.clip(np.round(a * 255), 0, 255).astype(np.uint8).reshape(h, w * bands)
+    body = np.hstack((np.zeros((h, 1), np.uint8), rows)).tobytes()
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[bands], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def read_any(spark: SparkSession, path: str, bands: int | None = None) -> DataFrame:
+    """(img, h, w, bands, data) of the files of a folder that the JVM can decode; others are left out. Channels come in the
+    order red, green, blue, alpha. The bytes become numbers from 0 to 1 in Arrow batches."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        for b in batches:
+            for img, h, w, n, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a = np.frombuffer(blob, np.uint8).reshape(h, w, n)
+                a = a[..., [2, 1, 0, 3][:n]] if n >= 3 else a
+                a = a[..., :bands] if bands else a
+                values, kinds = [[img], *[[x] for x in a.shape], [(a / 255).ravel()]], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["img", "h", "w", "bands", "data"])
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def encoded(images: DataFrame, format: str = "png") -> DataFrame:
+    """(img, content): the bytes of each image as a file."""
+    encode = {"png": encode_png, "pnm": encode_pnm}[format]
+    kind = images.schema["img"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            out = [encode(np.array(d, float).reshape(h, w, n)) for _, h, w, n, d in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("img"), pa.array(out, pa.binary())], ["img", "content"])
+
+    return images.where("data is not null").select("img", "h", "w", "bands", "data").mapInArrow(run, f"img {kind}, content binary")
+
+
+def write(images: DataFrame, folder: str, format: str = "png", prefix: str = "") -> int:
+    """A file an image, named by the prefix and the end of the image's name, and how many. The files are written by Hadoop's
+    own file system on the driver's side of each batch of rows that arrives, one at a time, so any store that Spark knows
+    will do; analyses of many images are better kept as tables."""
+    spark = images.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    n = 0
+    for r in encoded(images, format).toLocalIterator():
+        name = str(r.img).rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}{name}.{'png' if format == 'png' else 'ppm'}")
+        out = at.getFileSystem(conf).create(at, True)
+        out.write(bytes(r.content))
+        out.close()
+        n += 1
+    return n
+
+
+def create(spark: SparkSession, name: str, width: int, height: int, colour: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """One image of one colour."""
+    data = F.flatten(F.array_repeat(F.array(*[F.lit(float(c)) for c in colour]), width * height))
+    return spark.range(1).select(F.lit(name).alias("img"), F.lit(height).alias("h"), F.lit(width).alias("w"), F.lit(len(colour)).alias("bands"), data.alias("data"))
+
+
+def from_bands(bands: DataFrame, names: list[str]) -> DataFrame:
+    """(img, h, w, one array for each band) -> (img, h, w, bands, data): band matrices as an image."""
+    data = F.flatten(F.transform(F.arrays_zip(*names), lambda p: F.array(*[p[n] for n in names])))
+    return bands.select("img", "h", "w", F.lit(len(names)).alias("bands"), data.alias("data"))
+
+
 def tiles(files: DataFrame) -> DataFrame:
     """Rows of the binary file source (path, content), batch or stream -> (img, h, w, bands, data by pixel then band). Files
     that are no images have null sizes and data."""
