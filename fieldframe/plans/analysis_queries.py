@@ -157,12 +157,13 @@ def beds(s):
 A = f"SELECT id, x - 0.4 AS xmin, x + 0.4 AS xmax, y - 9 AS ymin, y + 9 AS ymax FROM ({POINTS_SQL})"
 B = "SELECT i AS id, i % 6 * 4 + 0.5::DOUBLE AS xmin, i % 6 * 4 + 3.5::DOUBLE AS xmax, i // 6 * 100 + 10::DOUBLE AS ymin, i // 6 * 100 + 90::DOUBLE AS ymax FROM unnest(range(0, 30)) AS u(i)"
 IN_, OVER_ = "(a.xmin >= b.xmin AND a.xmax <= b.xmax AND a.ymin >= b.ymin AND a.ymax <= b.ymax)", "(a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax)"
-for name_, test_, word_ in (("within", IN_, "EXISTS"), ("overlaps", f"{OVER_} AND NOT {IN_}", "EXISTS"), ("outside", OVER_, "NOT EXISTS"), ("crosses", f"{OVER_} AND NOT {IN_}", "EXISTS"), ("intersects", OVER_, "EXISTS")):
+CLOSED = OVER_.replace("<", "<=")
+for name_, test_, word_ in (("within", IN_, "EXISTS"), ("overlaps", f"{OVER_} AND NOT {IN_}", "EXISTS"), ("outside", OVER_, "NOT EXISTS"), ("crosses", f"{OVER_} AND NOT {IN_}", "EXISTS"), ("intersects", CLOSED, "EXISTS")):
     add(f"shape_{name_}", lambda s, d, n=name_: geometry.select(plants(s, d), beds(s), 4.0, 100.0, n).select("id"), "id", f"SELECT id FROM ({A}) a WHERE {word_} (SELECT 1 FROM ({B}) b WHERE {test_})")
 add("shape_touches", lambda s, d: geometry.select(beds(s), beds(s).select("id", F.transform("xs", lambda v: v + 3.0).alias("xs"), "ys"), 4.0, 100.0, "touches").select("id"), "id", f"SELECT id FROM ({B}) a WHERE EXISTS (SELECT 1 FROM ({B}) b WHERE a.xmax = b.xmin + 3 AND a.ymin = b.ymin)")
 SHARED = "(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))"
 for name_, area_ in (("intersection", SHARED), ("difference", f"(a.xmax - a.xmin) * (a.ymax - a.ymin) - {SHARED}"), ("union", f"(a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) - {SHARED}")):
-    add(f"shape_{name_}", lambda s, d, n=name_: geometry.combined(plants(s, d), beds(s), 4.0, 100.0, n).where("area > 1e-6").select("a_id", "b_id", "area"), "a_id b_id | area", f"SELECT * FROM (SELECT a.id AS a_id, b.id AS b_id, {area_} AS area FROM ({A}) a JOIN ({B}) b ON {OVER_}) WHERE area > 1e-6")
+    add(f"shape_{name_}", lambda s, d, n=name_: geometry.combined(plants(s, d), beds(s), 4.0, 100.0, n).where("area > 1e-6").select("a_id", "b_id", "area"), "a_id b_id | area", f"SELECT * FROM (SELECT a.id AS a_id, b.id AS b_id, {area_} AS area FROM ({A}) a JOIN ({B}) b ON {CLOSED}) WHERE area > 1e-6")
 
 
 def cells(s, rows):
