@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections import Counter
 
 import pyarrow as pa
@@ -178,9 +179,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), not overlapping, by start; where kinds overlap, the one that comes first in the code wins.
 
     A name found after a title or phrase is then looked for in the whole text as a whole word: as it was written, with one
-    capital or in capitals, since in small letters many names are common words. Where it was found as several kinds of
-    name, these further mentions have the first one's. Titles and single letters of alphabets with capitals are not
-    looked for.
+    capital or in capitals, since in small letters many names are common words. All mentions of a name in a text have
+    one kind. Titles and single letters of alphabets with capitals are not looked for.
     """
     found: list[tuple[int, int, str]] = []
     if "@" in text:
@@ -196,14 +196,27 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in SAID.finditer(text):
             found += names(m, 1, None)
     if any(kind.startswith(("given", "surname")) for _, _, kind in found):
+        found = agreed(text, found)
         found += further(text, found)
+    # Spans taken so far, by start; a new one can only meet its two neighbours there.
     out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
     for s, e, kind in found:
-        if not any(s < y and x < e for x, y in taken):
-            taken.append((s, e))
-            out.append((s, e, kind))
-    return sorted(out)
+        at = bisect(out, (s, e, ""))
+        if (at == 0 or out[at - 1][1] <= s) and (at == len(out) or out[at][0] >= e):
+            out.insert(at, (s, e, kind))
+    return out
+
+
+def agreed(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The same with one kind for each name of the text: the first gender that any of its mentions tells, else the first
+    mention's kind, so that a person keeps one name however they are addressed."""
+    kinds: dict[str, str] = {}
+    for s, e, kind in sorted(found):
+        if kind.startswith(("given", "surname")):
+            low = text[s:e].lower()
+            if low not in kinds or "_" in kind and "_" not in kinds[low] and kinds[low] != "surname":
+                kinds[low] = kind
+    return [(s, e, kinds[text[s:e].lower()] if kind.startswith(("given", "surname")) else kind) for s, e, kind in found]
 
 
 def further(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -263,18 +276,25 @@ def drawn(df: DataFrame, key: bytes, attempt: int) -> DataFrame:
     return df.select("kind", "normal").mapInArrow(run, "kind string, normal string, new string")
 
 
+#: Draws after which a surrogate may be another text's real value (formats of few values, most of which the corpus has),
+#: and after which the job fails, since the entities of a format have used up nearly all its values.
+STRICT, DRAWS = 16, 64
+
+
 def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, normal, attempt): the entities whose surrogate is not their first draw.
 
-    A draw is refused if it is itself an entity of the corpus, was given before, or another entity of a smaller normal
-    form draws it too. Given names of any gender share one space.
+    A draw is refused if it is itself an entity of the corpus (for the first STRICT draws), was given before, or another
+    entity of a smaller normal form draws it too. Given names of any gender share one space.
     """
     spark = docs.sparkSession
     family = lambda c: F.regexp_replace(c, "_.$", "")
     real = common.save(entities(docs))
     taken = real.select(family(F.col("kind")).alias("__family"), F.col("normal").alias("__new")).distinct()
-    waiting, later, attempt = real, None, 0
-    while True:
+    waiting, later, attempt, given = real, None, 0, None
+    while attempt < DRAWS:
+        if attempt == STRICT:
+            taken = given
         draws = common.save(drawn(waiting, key, attempt).withColumn("family", family(F.col("kind"))))
         first = draws.groupBy("family", "new").agg(F.min(F.struct("normal", "kind")).alias("winner"))
         free = first.join(taken, (F.col("family") == F.col("__family")) & (F.col("new") == F.col("__new")), "left_anti")
@@ -285,18 +305,25 @@ def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
         waiting = common.save(draws.select("kind", "normal").join(won.select("kind", "normal"), ["kind", "normal"], "left_anti"))
         if waiting.isEmpty():
             return later if later is not None else spark.createDataFrame([], "kind string, normal string, attempt int")
-        taken = taken.union(won.select(F.col("family").alias("__family"), F.col("new").alias("__new")))
+        new = won.select(F.col("family").alias("__family"), F.col("new").alias("__new"))
+        taken, given = taken.union(new), new if given is None else given.union(new)
         attempt += 1
+    few = ", ".join(f"{r['count']} of kind {r.kind}" for r in waiting.groupBy("kind").count().collect())
+    raise ValueError(f"no surrogates are left for some entities: {few}")
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with the entities in ``text`` replaced, ``n_chars`` (where there is one) counted anew, and further columns
-    n_entities and entities (kind:mentions, by kind, comma-joined).
+    n_entities and entities (kind:mentions, by kind, comma-joined); where docs has columns of these names, the new ones are
+    called _n_entities and _entities.
 
-    Null texts stay null; null and repeated ids stay as they are; an empty table gives an empty result.
+    Null texts stay null, empty ones empty; rows with null and repeated ids stay as they are, and equal texts get equal
+    surrogates; a text of any length is read whole; an empty table gives an empty result.
     """
-    later = common.save(redrawn(docs, key))
-    row = F.xxhash64(*[F.col(c) for c in ("doc_id", "text")])
+    later = common.save(redrawn(docs.select("doc_id", "text"), key))
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    mark, owner = common.unused(docs, "drawn"), common.unused(docs, "row")
+    more = [common.unused(docs, "n_entities"), common.unused(docs, "entities")]
 
     def mentioned(batches):
         for b in batches:
@@ -304,11 +331,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string()), pa.array([p[2] for p in pairs], pa.string())], ["__row", "kind", "normal"])
 
     if later.isEmpty():
-        joined = docs.withColumn("__drawn", F.lit(None).cast("array<struct<kind: string, normal: string, attempt: int>>"))
+        joined = docs.withColumn(mark, F.lit(None).cast("array<struct<kind: string, normal: string, attempt: int>>"))
     else:
         mentions = docs.select(row.alias("__row"), "text").mapInArrow(mentioned, "__row long, kind string, normal string")
-        per_row = mentions.join(later, ["kind", "normal"]).groupBy("__row").agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias("__drawn"))
-        joined = docs.withColumn("__row", row).join(common.save(per_row), "__row", "left").select(*docs.columns, "__drawn")
+        per_row = common.save(mentions.join(later, ["kind", "normal"]).groupBy(F.col("__row").alias(owner)).agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias(mark)))
+        joined = docs.join(per_row, row == F.col(owner), "left").select(*[docs[c] for c in docs.columns], mark)
     kept = docs.columns
     at = kept.index("text")
     size = kept.index("n_chars") if "n_chars" in kept else None
@@ -338,10 +365,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             columns[at] = pa.array(new, b.schema.field(at).type)
             if size is not None:
                 columns[size] = pa.array([n if x == y else len(y) for n, x, y in zip(columns[size].to_pylist(), old, new, strict=True)], b.schema.field(size).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(said, pa.string())], [*kept, "n_entities", "entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(said, pa.string())], [*kept, *more])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, n_entities long, entities string")
+    return joined.mapInArrow(run, f"{kinds}, `{more[0]}` long, `{more[1]}` string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,38 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_person_has_one_name(spark):
+    docs = [(1, "Dr. Alex Kim came. Mr. Alex Kim left. Kim stayed. Alex too."), (2, "My name is Alex Kim. Mrs. Kim and ALEX.")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Mr\. (\w+) (\w+) left\. (\w+) stayed\. (\w+) too\.", got[1])
+    assert m and m[1] == m[3] == m[6] != "Alex" and m[2] == m[4] == m[5] != "Kim" and m[1].endswith("on")
+    assert "Alex" not in got[2] and "Kim" not in got[2] and "ALEX" not in got[2]
+
+
+def test_a_full_format_ends(spark, monkeypatch):
+    """All 100 numbers of a format are in the corpus: they are permuted among themselves; where distinct surrogates cannot be
+    had at all, the job says so."""
+    monkeypatch.setattr(pii, "find", lambda text: [(m.start(), m.end(), "ssn") for m in re.finditer(r"\d\d", text)])
+    df = spark.createDataFrame([(1, " ".join(f"{k:02d}" for k in range(100)))], "doc_id long, text string")
+    monkeypatch.setattr(pii, "STRICT", 1)
+    (row,) = pii.pseudonymise(df).collect()
+    assert sorted(row.text.split()) == [f"{k:02d}" for k in range(100)]
+    monkeypatch.setattr(pii, "DRAWS", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, normal, attempt=0: "00")
+    try:
+        pii.redrawn(df, pii.KEY)
+    except ValueError as e:
+        assert "99 of kind ssn" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = "Mail a.b@mail.example.com now. " * 20_000
+    schema = "doc_id long, text string, entities string, n_entities int, __row int, __drawn int, row string, drawn string"
+    got = pii.pseudonymise(spark.createDataFrame([(1, long, "x", 1, 2, 3, "y", "z"), (None, None, None, None, None, None, None, None)], schema))
+    assert got.columns == [*schema.replace(",", "").split()[::2], "_n_entities", "_entities"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1]._n_entities == 20_000 and "a.b@mail" not in rows[1].text and rows[1].entities == "x" and rows[None].text is None
