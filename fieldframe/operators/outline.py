@@ -135,3 +135,23 @@ def ellipse(points: DataFrame, by: list[str], x: str = "x", y: str = "y", conf:
     g = g.withColumn("d", d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
     a = F.col("k") * (TWO_PI / (np_ - 1))
     return g.select(*by, "k", (F.col("mx") + F.col("sx") * t * F.cos(a + F.col("d") / 2.0)).alias("x"), (F.col("my") + F.col("sy") * t * F.cos(a - F.col("d") / 2.0)).alias("y"))
+
+
+def random_shapes(spark, n: int, harmonics: int = 4, vertices: int = 60, seed: int = 0) -> DataFrame:
+    """(id, xs, ys): n outlines from random Fourier coefficients whose size falls with the square of the harmonic; the same
+    seed gives the same shapes."""
+    def noise(k, tag):
+        return F.pmod(F.xxhash64(F.col("id"), F.lit(k), F.lit(f"{tag}{seed}")), F.lit(2**32)) / float(2**31) - 1.0
+
+    turn = F.sequence(F.lit(0), F.lit(vertices - 1))
+    wave = lambda a, b: lambda i: sum((noise(k, a) * F.cos(i * (2 * 3.141592653589793 * k / vertices)) + noise(k, b) * F.sin(i * (2 * 3.141592653589793 * k / vertices))) / float(k * k) for k in range(2, harmonics + 1))
+    first = lambda f: lambda i: f(i * (2 * 3.141592653589793 / vertices)) * 3.0
+    x, y = wave("a", "b"), wave("c", "d")
+    return spark.range(n).select("id", F.transform(turn, lambda i: first(F.cos)(i) + x(i)).alias("xs"), F.transform(turn, lambda i: first(F.sin)(i) + y(i)).alias("ys"))
+
+
+def symmetric(pairs: DataFrame, value: str = "dist") -> DataFrame:
+    """(id, i, j, value) of i < j -> all of the symmetric matrix, its zero diagonal too."""
+    other = pairs.select("id", F.col("j").alias("i"), F.col("i").alias("j"), value)
+    both = pairs.select("id", "i", "j", value).unionByName(other)
+    return both.unionByName(both.select("id", "i").distinct().select("id", "i", F.col("i").alias("j"), F.lit(0.0).alias(value)))

@@ -51,12 +51,18 @@ def resample_nearest(px: DataFrame, h: int, w: int, new_h: int, new_w: int) -> D
     return px.withColumn("__r", F.explode(places("row", h, new_h))).withColumn("__c", F.explode(places("col", w, new_w))).withColumns({"row": F.col("__r"), "col": F.col("__c")}).drop("__r", "__c")
 
 
-def expand(px: DataFrame, h: int, w: int, edge: int, value: str, background: float = 1.0) -> DataFrame:
-    """A border of the background around every image."""
+def expand(px: DataFrame, h: int, w: int, edge: int, value: str, background: float | None = 1.0) -> DataFrame:
+    """A border around every image: of the background, or (None) of the nearest edge pixel. The border is four strips, made
+    from the edge pixels alone."""
     inner = px.select("img", (F.col("row") + edge).alias("row"), (F.col("col") + edge).alias("col"), value)
-    frame = F.expr(f"flatten(transform(sequence(0, {h + 2 * edge - 1}), r -> transform(sequence(0, {w + 2 * edge - 1}), c -> struct(r as row, c as col))))")
-    outer = F.filter(frame, lambda p: ~(p["row"].between(edge, edge + h - 1) & p["col"].between(edge, edge + w - 1)))
-    border = px.select("img").distinct().select("img", F.explode(outer).alias("p")).select("img", "p.row", "p.col", F.lit(background).alias(value))
+    last_r, last_c = h + 2 * edge - 1, w + 2 * edge - 1
+    rows = F.when(F.col("row") == edge, F.sequence(F.lit(0), F.lit(edge))).otherwise(F.array(F.col("row").cast("int")))
+    rows = F.concat(rows, F.when(F.col("row") == last_r - edge, F.sequence(F.lit(last_r - edge + 1), F.lit(last_r))).otherwise(F.array().cast("array<int>")))
+    cols = F.when(F.col("col") == edge, F.sequence(F.lit(0), F.lit(edge))).otherwise(F.array(F.col("col").cast("int")))
+    cols = F.concat(cols, F.when(F.col("col") == last_c - edge, F.sequence(F.lit(last_c - edge + 1), F.lit(last_c))).otherwise(F.array().cast("array<int>")))
+    rim = inner.where(F.col("row").isin(edge, last_r - edge) | F.col("col").isin(edge, last_c - edge)) if edge else inner.where("false")
+    border = rim.withColumn("__r", F.explode(rows)).withColumn("__c", F.explode(cols)).where((F.col("__r") != F.col("row")) | (F.col("__c") != F.col("col")))
+    border = border.select("img", F.col("__r").alias("row"), F.col("__c").alias("col"), (F.col(value) if background is None else F.lit(float(background))).alias(value))
     return inner.unionByName(border)
 
 
@@ -70,12 +76,21 @@ def chm(dsm: DataFrame, dtm: DataFrame, value: str = "v") -> DataFrame:
     return dsm.join(t, ["img", "row", "col"]).select("img", "row", "col", (F.col(value) - F.col("__t")).alias("height"))
 
 
-def ground(dsm: DataFrame, window: int, quantile: float = 0.0, value: str = "v") -> DataFrame:
-    """Terrain from a surface: the quantile of each window by window block, given back to its pixels."""
-    r, c = F.floor(F.col("row") / window).cast("int"), F.floor(F.col("col") / window).cast("int")
-    low = dsm.groupBy("img", r.alias("__r"), c.alias("__c")).agg(F.percentile(value, F.lit(quantile)).alias("__g"))
-    out = dsm.withColumns({"__r": r, "__c": c}).join(low, ["img", "__r", "__c"])
-    return out.select("img", "row", "col", F.col("__g").alias(value))
+def ground(dsm: DataFrame, window: int, quantile: float = 0.0, value: str = "v", smooth: bool = False, accuracy: int | None = None) -> DataFrame:
+    """Terrain from a surface: the quantile of each window by window block, given back to its pixels as it is or, with
+    ``smooth``, bilinearly between the middles of the blocks around. accuracy: an approximate quantile, for blocks of many
+    pixels (a block's distinct values are kept otherwise)."""
+    size = lambda c: F.floor(F.col(c) / window).cast("int")
+    q = F.percentile(value, F.lit(quantile)) if accuracy is None else F.percentile_approx(value, quantile, accuracy)
+    low = dsm.groupBy("img", size("row").alias("__r"), size("col").alias("__c")).agg(q.alias("__g"))
+    if not smooth:
+        out = dsm.withColumns({"__r": size("row"), "__c": size("col")}).join(low, ["img", "__r", "__c"])
+        return out.select("img", "row", "col", F.col("__g").alias(value))
+    # A pixel lies between four middles, whose weights fall with distance; blocks beyond the border have none.
+    y, x = (F.col("row") + 0.5) / window - 0.5, (F.col("col") + 0.5) / window - 0.5
+    corner = F.explode(F.array(*[F.struct((F.floor(y) + r).cast("int").alias("__r"), (F.floor(x) + c).cast("int").alias("__c"), ((1 - r + (2 * r - 1) * (y - F.floor(y))) * (1 - c + (2 * c - 1) * (x - F.floor(x)))).alias("__w")) for r in (0, 1) for c in (0, 1)]))
+    near = dsm.select("img", "row", "col", corner.alias("p")).select("img", "row", "col", "p.*").where("__w > 0").join(low, ["img", "__r", "__c"])
+    return near.groupBy("img", "row", "col").agg((F.sum(F.col("__g") * F.col("__w")) / F.sum("__w")).alias(value))
 
 
 def chm_extract(heights: DataFrame, by: list[str], cell: float = 1.0, threshold: float = 0.0, quantiles: tuple[float, ...] = (0, 0.05, 0.5, 0.95, 1)) -> DataFrame:
@@ -141,3 +156,25 @@ def predict(px: DataFrame, surface, x: str = "col", y: str = "row", name: str =
     return px.mapInArrow(run, f"{kinds}, {name} double")
 
 
+
+
+def loess(points, span: float = 0.75):
+    """Local linear regression of control points (x, y, z) with tricube weights over the nearest share of them: a function
+    of arrays x and y, for ``predict``."""
+    import numpy as np
+
+    p = np.asarray(points, float)
+    k = max(int(np.ceil(span * len(p))), 3)
+
+    def at(x, y):
+        x, y = np.broadcast_arrays(np.asarray(x, float), np.asarray(y, float))
+        out = np.empty(x.size)
+        for i, (u, v) in enumerate(zip(x.ravel(), y.ravel(), strict=True)):
+            d = np.hypot(p[:, 0] - u, p[:, 1] - v)
+            near = np.argsort(d, kind="stable")[:k]
+            w = np.sqrt(np.maximum(1 - (d[near] / max(d[near].max() * 1.0001, 1e-12)) ** 3, 0) ** 3)
+            a = np.stack((np.ones(len(near)), p[near, 0] - u, p[near, 1] - v), axis=1)
+            out[i] = np.linalg.lstsq(a * w[:, None], p[near, 2] * w, rcond=None)[0][0]
+        return out.reshape(x.shape)
+
+    return at

@@ -144,9 +144,15 @@ def in_polygon(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     return j.where(crossed % 2 == 1).drop("__cx", "__cy", "xs", "ys")
 
 
+#: Most control points of an interpolation, which are one array.
+CONTROL = 10_000
+
+
 def idw(targets: DataFrame, points: DataFrame, z: str, p: float = 2.0) -> DataFrame:
     """(targets' columns, value): inverse-distance weighting. The control points (surveyed marks: a small set
     by nature) become one array."""
+    if points.limit(CONTROL + 1).count() > CONTROL:
+        raise ValueError(f"more than {CONTROL} control points: aggregate them first")
     c = points.agg(F.collect_list(F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col(z).alias("z"))).alias("c"))  # one row
     j = targets.crossJoin(c)
     w = f"power((q.x - x) * (q.x - x) + (q.y - y) * (q.y - y), {p / 2}D)"
@@ -154,13 +160,12 @@ def idw(targets: DataFrame, points: DataFrame, z: str, p: float = 2.0) -> DataFr
     return j.withColumn("value", total).drop("c")
 
 
-def aggregation_factor(cells: int, limit: int) -> int:
-    """Downsampling factor (0: none) among 0 .. 20 whose cell count comes nearest to the limit."""
-    if cells <= limit:
-        return 0
-    sizes = [abs(cells / max(k, 1) ** 2 - limit) for k in range(21)]
-    best = sizes.index(min(sizes))
-    return 0 if best <= 1 else best
+def aggregation_factor(nrow: int, ncol: int, limit: int = 1_000_000) -> int:
+    """How far to downsample a raster to about ``limit`` cells: the place, from 1, of the best of 0 .. 20, where k leaves a
+    cell of each k + 1 in both directions; 0 if none is needed."""
+    cells = [-(-nrow // (k + 1)) * -(-ncol // (k + 1)) for k in range(21)]
+    best = min(range(21), key=lambda k: abs(cells[k] - limit))
+    return 0 if best == 0 else best + 1
 
 
 def epsg(lon: Column, lat: Column) -> Column:

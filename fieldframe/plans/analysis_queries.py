@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldframe.functions import colour
-from fieldframe.operators import analyze, geometry, mosaic, polygon, severity, threshold, tile
-from fieldframe.sources import images, tables, vector
+from fieldframe.operators import analyze, geometry, lines, mosaic, outline, polygon, raster, severity, threshold, tile
+from fieldframe.sources import images, rasters, tables, vector
 from fieldframe.sources.tables import KEY, OUTLINES_SQL, PIXELS_SQL, POINTS_SQL, TILES_SQL
 
 from .common import rounded, sql
@@ -93,7 +93,7 @@ add("severity_palette_glm", by_palette)
 GRID = mosaic.Grid(100.0, 1000.0, 0.5, 0.5)
 
 
-def raster(s, d):
+def field(s, d):
     """(row, col, R, NIR)."""
     t = tables.tiles(s, d)
     return t.select((F.floor(F.col("img") / 16) * 8 + F.col("row")).cast("int").alias("row"), (F.col("img") % 16 * 8 + F.col("col")).cast("int").alias("col"), (F.col("v") + 0.6).alias("R"), (F.col("v") / 2.0 + F.col("label") / 10.0 + 0.3).alias("NIR"))
@@ -114,8 +114,8 @@ def plots(s, d):
 PLOTS = "SELECT vec_id // 32 * 8 + c AS id, 100.0::DOUBLE + c * 8 + 1 AS xmin, 100.0::DOUBLE + c * 8 + 7 AS xmax, 1000.0::DOUBLE - vec_id // 32 * 8 - 7 AS ymin, 1000.0::DOUBLE - vec_id // 32 * 8 - 1 AS ymax FROM embeddings, unnest(range(0, 8)) AS u(c) WHERE vec_id % 32 = 0"
 LOCATED = f"SELECT *, 100 + (col + 0.5::DOUBLE) * 0.5 AS x, 1000 - (row + 0.5::DOUBLE) * 0.5 AS y, (NIR - R) / nullif(NIR + R, 0) AS NDVI, R / nullif(NIR, 0) AS RATIO FROM ({RASTER})"
 CLIPPED = f"SELECT p.id AS plot, l.*, coalesce(NDVI > {CUT}, false) AS mask FROM ({LOCATED}) l JOIN ({PLOTS}) p ON l.x >= p.xmin AND l.x < p.xmax AND l.y >= p.ymin AND l.y < p.ymax"
-ran = lambda s, d: mosaic.analyze_plots(raster(s, d), plots(s, d), GRID, EQUATIONS, "NDVI", 8.0, 8.0, CUT)
-add("mosaic_clip", lambda s, d: mosaic.clip(mosaic.located(raster(s, d), GRID), plots(s, d), 8.0, 8.0), "plot row col | x y R NIR", CLIPPED)
+ran = lambda s, d: mosaic.analyze_plots(field(s, d), plots(s, d), GRID, EQUATIONS, "NDVI", 8.0, 8.0, CUT)
+add("mosaic_clip", lambda s, d: mosaic.clip(mosaic.located(field(s, d), GRID), plots(s, d), 8.0, 8.0), "plot row col | x y R NIR", CLIPPED)
 STATS = ", ".join(f"{g}({i}) FILTER (mask) AS \"{f}.{i}\"" for i in EQUATIONS for f, g in (("mean", "avg"), ("min", "min"), ("max", "max"), ("stddev_samp", "stddev_samp")))
 add("mosaic_analyze", lambda s, d: ran(s, d).plots, "plot | plot_area covered_area coverage " + " ".join(f"{f}.{i}" for i in EQUATIONS for f in ("mean", "min", "max", "stddev_samp")), f"SELECT plot, count(*) * 0.25 AS plot_area, count(*) FILTER (mask) * 0.25 AS covered_area, count(*) FILTER (mask) / count(*)::DOUBLE AS coverage, {STATS} FROM ({CLIPPED}) GROUP BY plot")
 add("mosaic_individuals", lambda s, d: ran(s, d).individuals.drop("xs", "ys"))
@@ -127,10 +127,10 @@ def individuals_wkt(s, d):
 
 
 add("mosaic_vectorize", individuals_wkt)
-add("mosaic_to_rgb", lambda s, d: mosaic.to_rgb(raster(s, d), "R", "NIR", "R"), "row col | R G B", f"SELECT row, col, (m.R - r0) / (r1 - r0) AS R, (NIR - n0) / (n1 - n0) AS G, (m.R - r0) / (r1 - r0) AS B FROM ({RASTER}) m, (SELECT min(R) AS r0, max(R) AS r1, min(NIR) AS n0, max(NIR) AS n1 FROM ({RASTER}))")
-add("align_dsm", lambda s, d: mosaic.aligned(raster(s, d).select("row", "col", F.col("R").alias("v")), GRID, mosaic.Grid(100.0, 1000.0, 2.0, 1.0)), PX.replace("img ", ""), f"SELECT floor((1000 - (1000 - (row + 0.5::DOUBLE) * 0.5)) / 1)::INT AS row, floor((col + 0.5::DOUBLE) * 0.5 / 2)::INT AS col, avg(R) AS v FROM ({RASTER}) GROUP BY ALL")
-add("stack_bands", lambda s, d: mosaic.stacked({b: raster(s, d).select("row", "col", F.col(b).alias("v")) for b in ("R", "NIR")}), "row col | R NIR", RASTER)
-add("mosaic_draw_line", lambda s, d: mosaic.along_line(raster(s, d), GRID, 101.0, 999.0, 160.0, 985.0, 40, ["R", "NIR"]), "k | x y R NIR", f"SELECT k, x, y, R, NIR FROM (SELECT k::INT AS k, 101 + 59 * k / 39::DOUBLE AS x, 999 - 14 * k / 39::DOUBLE AS y FROM unnest(range(0, 40)) AS u(k)) JOIN ({RASTER}) m ON m.row = floor((1000 - y) / 0.5) AND m.col = floor((x - 100) / 0.5)")
+add("mosaic_to_rgb", lambda s, d: mosaic.to_rgb(field(s, d), "R", "NIR", "R"), "row col | R G B", f"SELECT row, col, (m.R - r0) / (r1 - r0) AS R, (NIR - n0) / (n1 - n0) AS G, (m.R - r0) / (r1 - r0) AS B FROM ({RASTER}) m, (SELECT min(R) AS r0, max(R) AS r1, min(NIR) AS n0, max(NIR) AS n1 FROM ({RASTER}))")
+add("align_dsm", lambda s, d: mosaic.aligned(field(s, d).select("row", "col", F.col("R").alias("v")), GRID, mosaic.Grid(100.0, 1000.0, 2.0, 1.0)), PX.replace("img ", ""), f"SELECT floor((1000 - (1000 - (row + 0.5::DOUBLE) * 0.5)) / 1)::INT AS row, floor((col + 0.5::DOUBLE) * 0.5 / 2)::INT AS col, avg(R) AS v FROM ({RASTER}) GROUP BY ALL")
+add("stack_bands", lambda s, d: mosaic.stacked({b: field(s, d).select("row", "col", F.col(b).alias("v")) for b in ("R", "NIR")}), "row col | R NIR", RASTER)
+add("mosaic_draw_line", lambda s, d: mosaic.along_line(field(s, d), GRID, 101.0, 999.0, 160.0, 985.0, 40, ["R", "NIR"]), "k | x y R NIR", f"SELECT k, x, y, R, NIR FROM (SELECT k::INT AS k, 101 + 59 * k / 39::DOUBLE AS x, 999 - 14 * k / 39::DOUBLE AS y FROM unnest(range(0, 40)) AS u(k)) JOIN ({RASTER}) m ON m.row = floor((1000 - y) / 0.5) AND m.col = floor((x - 100) / 0.5)")
 add("mosaic_project", lambda s, d: tables.points(s, d).select("id", *[c.alias(n) for c, n in zip(mosaic.utm(F.col("x") * 15.0 - 180.0, F.col("y") / 10.0 - 25.0), ("easting", "northing"), strict=True)]))
 
 # Vector data. Boxes around the points of a field, against its plots, both as rings.
@@ -185,3 +185,33 @@ add("poly_width_at", lambda s, d: polygon.width_at(rings(s, d)))
 add("poly_apex_base_angle", lambda s, d: polygon.apex_base_angle(rings(s, d)))
 add("poly_point_at", lambda s, d: geometry.point_at(rings(s, d), 0.5))
 add("polygon_to_binary", lambda s, d: polygon.column_pixels(polygon.rectangle(s, 5.5, 3.5).unionByName(polygon.triangle_right(s, 6, 6))), "id x first middle last n", "SELECT id, x::INT AS x, min(y)::INT AS first, median(y) AS middle, max(y)::INT AS last, count(*) AS n FROM (SELECT 'rectangle' AS id, x, y FROM unnest(range(0, 6)) AS u(x), unnest(range(0, 4)) AS w(y) UNION ALL SELECT 'triangle_right', x, y FROM unnest(range(0, 6)) AS u(x), unnest(range(0, 6)) AS w(y) WHERE x + y < 6) GROUP BY id, x")
+
+# Lines and contours, borders, terrain, rasters as files, shapes.
+add("image_line_segment", lambda s, d: lines.line_segments(flat(s, d), 0.02, -20.0))
+add("image_contour_line", lambda s, d: lines.contours(flat(s, d), 0.0))
+add("image_expand_edges", lambda s, d: raster.expand(tables.tiles(s, d).drop("label"), 8, 8, 2, "v", None), PX, f"SELECT img, r::INT AS row, c::INT AS col, v FROM ({TS}), unnest(range(0, 12)) AS u(r), unnest(range(0, 12)) AS w(c) WHERE row = least(greatest(r - 2, 0), 7) AND col = least(greatest(c - 2, 0), 7)")
+LOW = f"SELECT img, row // 4 AS r, col // 4 AS c, quantile_cont(v, 0.1) AS g FROM ({TS}) GROUP BY ALL"
+add("chm_ground_smooth", lambda s, d: raster.ground(tables.tiles(s, d).drop("label"), 4, 0.1, smooth=True), PX, f"SELECT img, row, col, sum(g * w) / sum(w) AS v FROM (SELECT t.img, row, col, g, greatest(1 - abs((row + 0.5) / 4 - 0.5 - r), 0) * greatest(1 - abs((col + 0.5) / 4 - 0.5 - c), 0) AS w FROM ({TS}) t JOIN ({LOW}) b ON t.img = b.img) WHERE w > 0 GROUP BY img, row, col")
+SURVEYED = [(0, 0, 1.0), (7, 0, 2.0), (0, 7, 0.5), (7, 7, 3.0), (3, 4, 1.5), (5, 2, 2.2), (1, 5, 0.8)]
+add("interp_loess", lambda s, d: raster.predict(tables.tiles(s, d).drop("label"), raster.loess(SURVEYED)))
+
+
+def tiffs(s, d):
+    """The tiles as GeoTIFF files and back."""
+    t = flat(s, d).withColumns({"bands": F.lit(1), "xmin": F.col("img") * 4.0, "ymax": F.lit(100.0), "resx": F.lit(0.5), "resy": F.lit(0.25), "epsg": F.lit(32723)})
+    files = rasters.encoded(t.withColumn("img", F.col("img").cast("string")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for img, blob in zip(b.column("img").to_pylist(), b.column("content").to_pylist(), strict=True):
+                a, corner, epsg = rasters.decode(blob)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([img, *a.shape, *corner, epsg, a.ravel()], [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 4, pa.int32(), pa.list_(pa.float64())], strict=True)], [x.split()[0] for x in rasters.SCHEMA.split(", ")])
+
+    return rasters.pixels(files.mapInArrow(run, rasters.SCHEMA), ["v"])
+
+
+add("mosaic_export_import", tiffs, "img row col | x y v", f"SELECT img::VARCHAR AS img, row, col, img * 4 + (col + 0.5::DOUBLE) * 0.5 AS x, 100 - (row + 0.5::DOUBLE) * 0.25 AS y, v::FLOAT AS v FROM ({TS})")
+add("landmarks_matrix", lambda s, d: outline.symmetric(outline.landmarks_dist(rings(s, d))), "id i j | dist", f"SELECT a.id, a.seq AS i, b.seq AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM ({OUTLINES_SQL}) a JOIN ({OUTLINES_SQL}) b ON a.id = b.id")
+add("efourier_shape", lambda s, d: outline.random_shapes(s, 20).select("id", polygon.area().alias("area"), polygon.perimeter().alias("perimeter")))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldframe.functions import colour, text, units
-from fieldframe.operators import analyze, geometry, mosaic, polygon, severity, tile
-from fieldframe.sources import images, vector
+from fieldframe.operators import analyze, geometry, lines, mosaic, outline, polygon, raster, severity, tile
+from fieldframe.sources import images, rasters, vector
 
 
 def slow_label(mask, gap=1, eight=True):
@@ -290,3 +290,85 @@ def test_pixels_to_images_with_gaps(spark):
     px = spark.createDataFrame([("a", 0, 1, 2.0), ("a", 1, 0, 3.0), ("b", 0, 0, 1.0)], "img string, row int, col int, v double")
     got = {r.img: (r.h, r.w, r.data) for r in tile.from_pixels(px, "v").collect()}
     assert got == {"a": (2, 2, [None, 2.0, 3.0, None]), "b": (1, 1, [1.0])}
+
+
+def test_rasters_as_files(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    for a, kind in ((rng.integers(0, 256, (4, 5, 2)).astype(float), "u1"), (rng.integers(0, 60000, (3, 3, 1)).astype(float), "u2"), (rng.normal(size=(6, 2, 3)).astype(np.float32).astype(float), "f4")):
+        assert rasters.number_type(a) == kind
+        back, corner, epsg = rasters.decode(rasters.encode(a, (10.0, 20.0, 0.5, 0.25), 4326))
+        assert np.array_equal(back, a) and corner == (10.0, 20.0, 0.5, 0.25) and epsg == 4326
+    a = np.arange(12.0).reshape(3, 4, 1)
+    a[1, 1] = 65535
+    (tmp_path / "m.tif").write_bytes(rasters.encode(a, (100.0, 50.0, 2.0, 2.0), 32723))
+    (tmp_path / "bad.tif").write_bytes(b"II*")
+    got = {r.img[-5:]: r for r in rasters.read(spark, str(tmp_path)).collect()}
+    assert got["d.tif"].data is None and got["m.tif"].epsg == 32723 and got["m.tif"].data == [*range(5), None, *range(6, 12)]
+    px = {(r.row, r.col): (r.x, r.y, r.v) for r in rasters.pixels(rasters.read(spark, str(tmp_path), glob="m*"), ["v"]).collect()}
+    assert len(px) == 12 and px[0, 0] == (101.0, 49.0, 0.0) and px[2, 3] == (107.0, 45.0, 11.0)
+    (one,) = rasters.encoded(rasters.read(spark, str(tmp_path), None, "m*")).collect()
+    assert np.array_equal(rasters.decode(one.content)[0], a)
+
+
+def test_lines_and_contours(spark):
+    y, x = np.mgrid[:60, :80]
+    a = np.where(x + y < 70, 0.0, 1.0)
+    found = lines.segments(a)
+    assert len(found) == 1
+    x1, y1, x2, y2, width, alarms = found[0]
+    assert abs(x1 + y1 - 70) < 2 and abs(x2 + y2 - 70) < 2 and np.hypot(x2 - x1, y2 - y1) > 70 and width < 5 and alarms > 10
+    assert lines.segments(np.random.default_rng(0).normal(size=(40, 40))) == [] and lines.segments(np.ones((5, 5))) == []
+    disc = np.hypot(x - 40.0, y - 30.0)
+    (ring,) = lines.contour_lines(disc, 20.0)
+    assert np.allclose(ring[0], ring[-1]) and np.allclose(np.hypot(ring[:, 0] - 40, ring[:, 1] - 30), 20, atol=0.02)
+    (line,) = lines.contour_lines(x + 0.25 * y, 30.1)
+    assert len(line) > 60 and np.allclose(line[:, 0] + 0.25 * line[:, 1], 30.1)
+    df = spark.createDataFrame([("a", 60, 80, a.ravel().tolist()), ("b", 2, 2, [1.0] * 4)], "img string, h int, w int, data array<double>")
+    assert [(r.img, r.id) for r in lines.line_segments(df).collect()] == [("a", 1)]
+    assert {r.img for r in lines.contours(df, 0.5).collect()} == {"a"}
+
+
+def test_surfaces_and_shapes(spark):
+    rng = np.random.default_rng(1)
+    p = np.c_[rng.uniform(0, 10, (30, 2)), np.zeros(30)]
+    p[:, 2] = 2 + 0.5 * p[:, 0] - p[:, 1]
+    u, v = rng.uniform(1, 9, (2, 20))
+    for fit in (raster.loess, raster.thin_plate):
+        assert np.allclose(fit(p)(u, v), 2 + 0.5 * u - v, atol=1e-6)
+    for fit in (raster.thin_plate, lambda q: raster.kriging(q, 5.0)):
+        assert np.allclose(fit(p)(p[:, 0], p[:, 1]), p[:, 2], atol=1e-6)
+    shapes = outline.random_shapes(spark, 5).collect()
+    assert shapes == outline.random_shapes(spark, 5).collect() and len({tuple(r.xs) for r in shapes}) == 5 and len(shapes[0].xs) == 60
+
+
+def test_kernels_against_plain_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        m = rng.random((9, 11)) < 0.6
+        back = slow_label(np.pad(~m, 1, constant_values=True), 1, False)
+        assert (tile.fill_hull(m) == (back != back[0, 0])[1:-1, 1:-1]).all()
+        for f in (tile.thin, tile.thin_guo_hall):
+            t = f(m)
+            assert (t <= m).all() and slow_label(t).max() == slow_label(m).max()
+        assert (tile.skeleton(m) <= m).all()
+    a = rng.random((12, 9))
+    edges = tile.canny(a)
+    assert edges.any() and (edges <= (tile.sobel(tile.blur(a)) > 0)).all()
+    flat = tile.clahe(np.linspace(0, 1, 64).reshape(8, 8))
+    assert flat.min() >= 0 and flat.max() <= 1 + 1e-9 and (np.diff(flat, axis=1) > -0.3).all()
+    g = np.minimum(((a - a.min()) / (a.max() - a.min()) * 4).astype(int), 3)
+    p = np.zeros((4, 4))
+    for r in range(12):
+        for c in range(9):
+            for y, x in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                if 0 <= r + y < 12 and 0 <= c + x < 9:
+                    p[g[r, c], g[r + y, c + x]] += 1
+                    p[g[r + y, c + x], g[r, c]] += 1
+    p /= p.sum()
+    i, j = np.mgrid[:4, :4]
+    got = dict(zip(tile.HARALICK, tile.haralick(a, 4)[0], strict=True))
+    assert got["asm"] == pytest.approx((p**2).sum()) and got["con"] == pytest.approx(((i - j) ** 2 * p).sum()) and got["idm"] == pytest.approx((p / (1 + (i - j) ** 2)).sum()) and got["ent"] == pytest.approx(-(p[p > 0] * np.log(p[p > 0])).sum())
+    points = [tuple(q) for q in rng.random((40, 2))]
+    h = polygon.hull(points)
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    assert all(side(h[k - 1], h[k], q) >= -1e-12 for k in range(len(h)) for q in points)

@@ -80,7 +80,7 @@ def test_surfaces_go_through_their_points():
 
 def test_downsampling_factor():
     assert spatial.aggregation_factor(100, 1000) == 0
-    assert spatial.aggregation_factor(16_000_000, 1_000_000) == 4
+    assert spatial.aggregation_factor(4000, 4000) == 4
 
 
 def test_classes_and_null(spark):
