@@ -288,7 +288,8 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row, within its partition. A null html counts as empty (text ""); null or
-    repeated page_ids and urls stay as they are; other columns are not looked at."""
+    repeated page_ids and urls stay as they are; a page of any length is read whole; an empty table gives an empty result;
+    other columns are not looked at."""
 
     def run(batches):
         for b in batches:

@@ -235,7 +235,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def best_fit(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Packs whole texts. A null text counts as empty (one token, id 0); a null or repeated doc_id is packed like any other,
-    row by row; an empty table gives an empty result; other columns of docs are not looked at."""
+    row by row; a text of any length is encoded whole and cut into pieces; an empty table gives an empty result; other columns
+    of docs are not looked at."""
     return pack(pieces(docs, path, capacity, with_ids=with_ids), capacity)
 
 

@@ -31,6 +31,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x2
 CARD = re.compile(r"(?<![\w.-])(?:\d{4}([\x20-])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\w]|[.-]\d)", re.ASCII)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}(?![\w]|[.-]\d)|(?<![\w+])\+\d{8,14}(?!\w)", re.ASCII)
+DIGIT = re.compile("[0-9]")
 # Fixed values.
 MALE_TITLES = "Mr Mister Sir Herr Monsieur Señor Sr Господин Κύριος".split()
 FEMALE_TITLES = "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Señorita Госпожа Κυρία".split()
@@ -185,8 +186,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
-    for kind, rule in (("ip", IPV4), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
-        found += [(*m.span(), kind) for m in rule.finditer(text)]
+    if DIGIT.search(text):
+        for kind, rule in (("ip", IPV4), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
+            found += [(*m.span(), kind) for m in rule.finditer(text)]
     if any(t in text for t in TITLE_WORDS):
         for m in TITLED.finditer(text):
             gender = "_m" if m[1] in MALE_TITLES else "_f" if m[1] in FEMALE_TITLES else ""

@@ -165,7 +165,11 @@ def scan(docs: DataFrame, path: str, threshold: float = 40.0, id_col: str = "doc
 
 
 def redact_documents(docs: DataFrame, path: str, threshold: float = 40.0) -> DataFrame:
-    """docs with every secret in ``text`` replaced and ``n_chars`` (where there is one) counted anew; null texts stay null."""
+    """docs with every secret in ``text`` replaced and ``n_chars`` (where there is one) counted anew; all other columns stay,
+    whatever their names.
+
+    Null texts stay null, empty ones empty; rows are looked at one by one, so null and repeated ids and repeated rows do not
+    matter; a text of any length is read whole; an empty table gives an empty result."""
     names, at = docs.columns, docs.columns.index("text")
     size = names.index("n_chars") if "n_chars" in names else None
 

@@ -38,3 +38,29 @@ def test_stages(spark):
             assert sum(r.length for r in rows) == sum(len(x) // 4 + 1 for x in packing.encode_words([r.text.encode() for r in docs.collect()], packing.default_path()))
         docs = out
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and columns named like those the stages
+    use inside."""
+    inner = ["score", "__score", "__id", "__gone", "__of", "kept", "owner", "gone", "h", "fp", "n_removed", "removed", "label", "length", "part", "place"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in inner)
+    more = ["x"] * len(inner)
+    prose = "This is a plain sentence about the weather. It has been fine for some days now. Nobody expects that to last for long. "
+    long = prose * 3000
+    rows = [(1, prose, "en", "s", len(prose), *more), (1, prose, "en", "s", len(prose), *more), (2, None, None, None, None, *[None] * len(inner)), (None, prose + "Another end.", "en", "s", None, *more), (3, "", "en", "s", 0, *more), (4, long, "en", "s", len(long), *more), (5, "password = hunter2!xyzzy9Q", None, "s", None, *more)]
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (3, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, table, str(tmp_path))
+            out = got.collect()
+            if k < 4:
+                assert got.columns == table.columns, name
+            if table.isEmpty():
+                assert out == []
+            elif name == "simhash":
+                assert sorted((r.doc_id or 0, r.source) for r in out if r.doc_id != 2) == [(0, "s"), (1, "s"), (1, "s"), (5, "s")]  # 2 and 3 have no words, 4 says what 1 says
+            elif name in ("substring", "secrets"):
+                assert len(out) == len(rows) and [r.text for r in out if r.doc_id == 2] == [None]
+            elif name == "packing":
+                assert {r.doc_id for r in out} == {1, 2, 3, 4, 5, None}
