@@ -75,15 +75,70 @@ def wkt(trapezoids) -> str:
     return "MULTIPOLYGON (" + ", ".join(rings) + ")" if rings else "MULTIPOLYGON EMPTY"
 
 
-def meet(xa, ya, xb, yb) -> bool:
-    """Whether two outlines have a point in common."""
-    ring = lambda x, y: np.stack((x, y, np.roll(x, -1), np.roll(y, -1)), axis=1)
-    a, b = ring(np.asarray(xa, float), np.asarray(ya, float))[:, None], ring(np.asarray(xb, float), np.asarray(yb, float))[None]
-    side = lambda e, x, y: np.sign((e[..., 2] - e[..., 0]) * (y - e[..., 1]) - (e[..., 3] - e[..., 1]) * (x - e[..., 0]))
-    p, q, r, s = side(a, b[..., 0], b[..., 1]), side(a, b[..., 2], b[..., 3]), side(b, a[..., 0], a[..., 1]), side(b, a[..., 2], a[..., 3])
-    box = (np.minimum(a[..., 0], a[..., 2]) <= np.maximum(b[..., 0], b[..., 2])) & (np.minimum(b[..., 0], b[..., 2]) <= np.maximum(a[..., 0], a[..., 2]))
-    box &= (np.minimum(a[..., 1], a[..., 3]) <= np.maximum(b[..., 1], b[..., 3])) & (np.minimum(b[..., 1], b[..., 3]) <= np.maximum(a[..., 1], a[..., 3]))
-    return bool((box & (p * q <= 0) & (r * s <= 0)).any())
+def _sides(ax, ay, bx, by, px, py):
+    return np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def outlines_meet(xa, ya, xb, yb) -> tuple[np.ndarray, np.ndarray]:
+    """Of many pairs of rings at once (pairs by vertices): whether their outlines have a point in common, and whether edges
+    cross in the inside of both."""
+    a = [v[:, :, None] for v in (xa, ya, np.roll(xa, -1, 1), np.roll(ya, -1, 1))]
+    b = [v[:, None, :] for v in (xb, yb, np.roll(xb, -1, 1), np.roll(yb, -1, 1))]
+    p, q = _sides(*a, b[0], b[1]), _sides(*a, b[2], b[3])
+    r, t = _sides(*b, a[0], a[1]), _sides(*b, a[2], a[3])
+    near = np.ones(p.shape, bool)
+    for k in (0, 1):
+        near &= (np.minimum(a[k], a[k + 2]) <= np.maximum(b[k], b[k + 2])) & (np.minimum(b[k], b[k + 2]) <= np.maximum(a[k], a[k + 2]))
+    return (near & (p * q <= 0) & (r * t <= 0)).any((1, 2)), (near & (p * q < 0) & (r * t < 0)).any((1, 2))
+
+
+def first_inside(xa, ya, xb, yb) -> np.ndarray:
+    """Of many pairs of rings, whether the first vertex of a lies in b, by crossing counts."""
+    x, y = xa[:, :1], ya[:, :1]
+    x1, y1 = np.roll(xb, -1, 1), np.roll(yb, -1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (((yb > y) != (y1 > y)) & (x < (x1 - xb) * (y - yb) / (y1 - yb) + xb)).sum(1) % 2 == 1
+
+
+def ring_area(x, y) -> np.ndarray:
+    return np.abs((x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1)) / 2
+
+
+def shared(xa, ya, xb, yb) -> tuple[np.ndarray, ...]:
+    """Areas of a and b, the area that they share, and whether their outlines meet, of many pairs with equal numbers of
+    vertices. Only pairs whose outlines meet are cut into slabs; of the others one holds the other, or they are apart."""
+    mine, theirs = ring_area(xa, ya), ring_area(xb, yb)
+    met, _ = outlines_meet(xa, ya, xb, yb)
+    both = np.where(first_inside(xa, ya, xb, yb), mine, np.where(first_inside(xb, yb, xa, ya), theirs, 0.0))
+    for k in np.flatnonzero(met):
+        both[k] = area(overlay(xa[k], ya[k], xb[k], yb[k], "intersection"))
+    return mine, theirs, np.where(both > NOTHING * np.minimum(mine, theirs), both, 0.0), met
+
+
+def relations(xa, ya, xb, yb) -> tuple[np.ndarray, ...]:
+    """Whether a lies in b, holds b, shares an inside with it, meets its outline. Where edges cross, neither holds the other,
+    so the shared area need not be known; it is for outlines that meet without crossing."""
+    met, crossed = outlines_meet(xa, ya, xb, yb)
+    inside, holds = first_inside(xa, ya, xb, yb) & ~met, first_inside(xb, yb, xa, ya) & ~met
+    share = inside | holds | crossed
+    unsure = np.flatnonzero(met & ~crossed)
+    if len(unsure):
+        mine, theirs, both, _ = shared(*(v[unsure] for v in (xa, ya, xb, yb)))
+        inside[unsure], holds[unsure], share[unsure] = (both >= mine * (1 - NOTHING)) & (mine > 0), (both >= theirs * (1 - NOTHING)) & (theirs > 0), both > 0
+    return inside, holds, share, met
+
+
+def by_shape(batch, kernel, kinds):
+    """A kernel over a batch's pairs of rings, those of equal numbers of vertices together."""
+    rings = [batch.column(c) for c in ("a_xs", "a_ys", "b_xs", "b_ys")]
+    na, nb = rings[0].value_lengths().to_numpy(), rings[2].value_lengths().to_numpy()
+    out = [np.empty(len(batch), k) for k in kinds]
+    for n, m in sorted(set(zip(na.tolist(), nb.tolist(), strict=True))):
+        at = np.flatnonzero((na == n) & (nb == m))
+        some = [r.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for r in rings]
+        for to, v in zip(out, kernel(*some), strict=True):
+            to[at] = v
+    return out
 
 
 def candidates(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float) -> DataFrame:
@@ -107,37 +162,35 @@ def candidates(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float) -> Data
 def related(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float) -> DataFrame:
     """(a_id, b_id, a_area, b_area, both, meet) of polygons whose boxes meet: their areas, that of what they share (0 for
     rounding), and whether their outlines meet."""
-    pairs = candidates(a, b, cell_x, cell_y)
+    return _over_pairs(candidates(a, b, cell_x, cell_y), shared, {"a_area": float, "b_area": float, "both": float, "meet": bool})
+
+
+def _over_pairs(pairs: DataFrame, kernel, columns: dict[str, type]) -> DataFrame:
     kinds = [pairs.schema[c].dataType.simpleString() for c in ("a_id", "b_id")]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for xa, ya, xb, yb in zip(*(batch.column(c).to_pylist() for c in ("a_xs", "a_ys", "b_xs", "b_ys")), strict=True):
-                mine, theirs = (abs(float(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y))) / 2 for x, y in ((xa, ya), (xb, yb)))
-                both = area(overlay(xa, ya, xb, yb, "intersection"))
-                rows.append((mine, theirs, both if both > NOTHING * min(mine, theirs) else 0.0, meet(xa, ya, xb, yb)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.float64()] * 3 + [pa.bool_()], strict=True))], ["a_id", "b_id", "a_area", "b_area", "both", "meet"])
+            out = by_shape(batch, kernel, list(columns.values()))
+            yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), *map(pa.array, out)], ["a_id", "b_id", *columns])
 
-    return pairs.mapInArrow(run, f"a_id {kinds[0]}, b_id {kinds[1]}, a_area double, b_area double, both double, meet boolean")
+    more = ", ".join(f"{c} {'boolean' if t is bool else 'double'}" for c, t in columns.items())
+    return pairs.mapInArrow(run, f"a_id {kinds[0]}, b_id {kinds[1]}, {more}")
 
 
-WITHIN: Column | str = f"both >= a_area * (1 - {NOTHING}) and a_area > 0"
-HOLDS = f"both >= b_area * (1 - {NOTHING}) and b_area > 0"
 PREDICATES = {
-    "within": WITHIN,
-    "overlaps": f"both > 0 and not ({WITHIN}) and not ({HOLDS})",
-    "touches": "both = 0 and meet",
-    "crosses": f"both > 0 and meet and not ({WITHIN})",
-    "intersects": "both > 0 or meet",
+    "within": "inside",
+    "overlaps": "share and not inside and not holds",
+    "touches": "meet and not share",
+    "crosses": "share and meet and not inside",
+    "intersects": "share or meet",
 }
 
 
 def select(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float, predicate: str) -> DataFrame:
     """Polygons of a that are so related with some polygon of b. ``outside``: with none that they lie in or overlap."""
     test = f"({PREDICATES['within']}) or ({PREDICATES['overlaps']})" if predicate == "outside" else PREDICATES[predicate]
-    hits = related(a, b, cell_x, cell_y).where(test).select(F.col("a_id").alias("__id")).distinct()
+    found = _over_pairs(candidates(a, b, cell_x, cell_y), relations, dict.fromkeys(("inside", "holds", "share", "meet"), bool))
+    hits = found.where(test).select(F.col("a_id").alias("__id")).distinct()
     return a.join(hits, F.col("id") == F.col("__id"), "left_anti" if predicate == "outside" else "left_semi")
 
 

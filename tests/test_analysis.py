@@ -175,6 +175,8 @@ def test_predicates_on_slanted_polygons(spark):
     a, b = spark.createDataFrame(rows, "id int, xs array<double>, ys array<double>"), spark.createDataFrame([(9, *diamond)], "id int, xs array<double>, ys array<double>")
     got = {p: sorted(r.id for r in geometry.select(a, b, 3.0, 3.0, p).collect()) for p in ("within", "overlaps", "touches", "outside", "crosses", "intersects")}
     assert got == {"within": [1], "overlaps": [3], "touches": [4], "outside": [2, 4], "crosses": [3], "intersects": [1, 3, 4]}
+    areas = {r.a_id: (r.a_area, r.b_area, r.both, r.meet) for r in geometry.related(a, b, 3.0, 3.0).collect()}
+    assert areas[1] == (2.0, 32.0, 2.0, False) and areas[3][2] == pytest.approx(1.0) and areas[3][3] and areas[4][2:] == (0.0, True)
     (cut,) = geometry.combined(a.where("id = 1"), b, 3.0, 3.0, "difference").collect() or [None]
     assert cut is None or cut.area < 1e-9
 
