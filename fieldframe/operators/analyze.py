@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldframe.functions import formula
+from fieldframe.sources.images import band
 
 from . import objects, polygon, tile
 
@@ -100,9 +101,7 @@ def labels_of(mask: np.ndarray, how: Segmentation) -> np.ndarray:
 def index_images(images: DataFrame, index: str, bands: tuple[str, ...] = ("R", "G", "B")) -> DataFrame:
     """(img, h, w, data): the index of every pixel, by DataFrame expressions over the bands of each."""
     names = sorted(formula.bands(index))
-    places = {b: k for k, b in enumerate(bands)}
-    at = lambda b: F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda k: F.get("data", k * F.col("bands") + F.least(F.lit(places[b]), F.col("bands") - 1)))
-    zipped = F.arrays_zip(*[at(b).alias(b) for b in names])
+    zipped = F.arrays_zip(*[band(bands.index(b)).alias(b) for b in names])
     return images.where("data is not null").select("img", "h", "w", F.transform(zipped, lambda p: formula.column(index, {b: p[b] for b in names})).alias("data"))
 
 
@@ -163,7 +162,12 @@ class Filters:
 
 
 def filtered(measures: DataFrame, keep: Filters, circularity: str = "circularity") -> DataFrame:
-    out = objects.keep(measures, keep.lower_noise, keep.lower_size, keep.upper_size, keep.topn_lower, keep.topn_upper)
+    """Windows are over the objects of an image, which came from one row; a join with the images' means would run the
+    segmentation twice."""
+    out = measures
+    if keep.lower_noise is not None:
+        out = out.withColumn("__mean", F.avg("area").over(Window.partitionBy("img"))).where(F.col("area") > F.col("__mean") * keep.lower_noise).drop("__mean")
+    out = objects.keep(out, None, keep.lower_size, keep.upper_size, keep.topn_lower, keep.topn_upper)
     for name, low, high in (("eccentricity", keep.lower_eccent, keep.upper_eccent), (circularity, keep.lower_circ, keep.upper_circ)):
         if low is not None:
             out = out.where(F.col(name) > low)
@@ -193,12 +197,15 @@ def analyze_objects(images: DataFrame, how: Segmentation = Segmentation(), keep:
     """The measures of every object of images (img, h, w, bands, data): index, mask, labels, outlines, measures, filters by
     size and shape in pixels, then centimetres where a resolution or a reference object's area is given."""
     found = compute_measures(outlines(segment(images, how, bands)))
+    shape = "circularity_norm" if minimal else "circularity"
     if reference_area is not None:
+        # The factor of each image goes along with its objects; the reference object itself goes.
+        w = Window.partitionBy("img")
         found = found.withColumn("__ref", reference_object(reference_larger))
-        found = filtered(found.where(~F.col("__ref")), keep, "circularity_norm" if minimal else "circularity").unionByName(found.where("__ref"))
-        found = scaled(found, None, F.col("__ref"), reference_area).drop("__ref")
+        found = found.withColumn("__f", F.sqrt(reference_area / F.max(F.when(F.col("__ref"), F.col("area"))).over(w))).where(~F.col("__ref"))
+        found = objects.scaled(filtered(found, keep, shape), F.col("__f"), list(AREAS), list(LENGTHS)).drop("__ref", "__f")
     else:
-        found = scaled(filtered(found, keep, "circularity_norm" if minimal else "circularity"), dpi)
+        found = scaled(filtered(found, keep, shape), dpi)
     return found.select(*MINIMAL) if minimal else found
 
 

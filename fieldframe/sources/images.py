@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "img string, h int, w int, bands int, data array<double>"
@@ -190,7 +190,15 @@ def read(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return tiles(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
 
 
+def band(k: int) -> Column:
+    """The values of one band, pixel by pixel, of rows (bands, data by pixel then band); the last band stands for those that an
+    image does not have."""
+    return F.filter("data", lambda v, i: i % F.col("bands") == F.least(F.lit(k), F.col("bands") - 1))
+
+
 def pixels(images: DataFrame, names: tuple[str, ...] = ("R", "G", "B")) -> DataFrame:
-    """(img, row, col, one column for each band)."""
-    at = images.where("data is not null").select("img", "w", "bands", "data", F.explode(F.expr("sequence(0, h * w - 1)")).alias("k"))
-    return at.select("img", F.floor(F.col("k") / F.col("w")).cast("int").alias("row"), (F.col("k") % F.col("w")).alias("col"), *[F.get("data", F.col("k") * F.col("bands") + F.least(F.lit(i), F.col("bands") - 1)).alias(n) for i, n in enumerate(names)])
+    """(img, row, col, one column for each band). Pixels become structs before they become rows, so that no row carries its
+    image."""
+    zipped = F.arrays_zip(*[band(k).alias(n) for k, n in enumerate(names)])
+    at = images.where("data is not null").select("img", "w", F.posexplode(zipped).alias("k", "p"))
+    return at.select("img", F.floor(F.col("k") / F.col("w")).cast("int").alias("row"), (F.col("k") % F.col("w")).alias("col"), *[F.col(f"p.{n}").alias(n) for n in names])

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import images
+
 SCHEMA = "img string, h int, w int, bands int, xmin double, ymax double, resx double, resy double, epsg int, data array<double>"
 # Tag numbers and number types of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, KIND = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 339
@@ -109,9 +111,10 @@ def read(spark: SparkSession, path: str, missing: float | None = 65535.0, glob:
 
 def pixels(rasters: DataFrame, names: list[str]) -> DataFrame:
     """(img, row, col, x, y, a column for each band) of every pixel."""
-    at = rasters.where("data is not null").select("*", F.explode(F.expr("sequence(0, h * w - 1)")).alias("k"))
-    row, col = F.floor(F.col("k") / F.col("w")).cast("int"), (F.col("k") % F.col("w"))
-    return at.select("img", row.alias("row"), col.alias("col"), (F.col("xmin") + (col + 0.5) * F.col("resx")).alias("x"), (F.col("ymax") - (row + 0.5) * F.col("resy")).alias("y"), *[F.get("data", F.col("k") * F.col("bands") + k).alias(n) for k, n in enumerate(names)])
+    zipped = F.arrays_zip(*[images.band(k).alias(n) for k, n in enumerate(names)])
+    at = rasters.where("data is not null").select("img", "w", "xmin", "ymax", "resx", "resy", F.posexplode(zipped).alias("k", "p"))
+    row, col = F.floor(F.col("k") / F.col("w")).cast("int"), F.col("k") % F.col("w")
+    return at.select("img", row.alias("row"), col.alias("col"), (F.col("xmin") + (col + 0.5) * F.col("resx")).alias("x"), (F.col("ymax") - (row + 0.5) * F.col("resy")).alias("y"), *[F.col(f"p.{n}").alias(n) for n in names])
 
 
 def encoded(rasters: DataFrame) -> DataFrame:
