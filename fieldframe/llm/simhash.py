@@ -327,7 +327,7 @@ def members(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFram
     return prints.join(of, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 4, radius: int = 10, tile: int = 4096, spare: int = SPARE) -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 4, radius: int = 10, tile: int = 8192, spare: int = SPARE) -> DataFrame:
     """One row (doc_id, fp, component_id) per row of docs (doc_id, text), component_id being the smallest doc_id reachable
     over links: pairs of texts whose sets of ``size``-word shingles share ``similarity`` of their union.
 
