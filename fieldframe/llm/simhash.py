@@ -327,6 +327,10 @@ def members(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFram
     return prints.join(of, F.col("fp") == F.col("__fp"), "left").select("doc_id", "fp", "component_id")
 
 
+#: Places of the sieve that texts pass on their way to be compared: the bound of what is broadcast.
+SIEVE = 1 << 20
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 4, radius: int = 10, tile: int = 8192, spare: int = SPARE) -> DataFrame:
     """One row (doc_id, fp, component_id) per row of docs (doc_id, text), component_id being the smallest doc_id reachable
     over links: pairs of texts whose sets of ``size``-word shingles share ``similarity`` of their union.
@@ -344,7 +348,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int
     each = np.array(places, np.uint64)
     some = tile_pairs(classes, words, radius, tile, places).groupBy(*TILES).applyInArrow(propose(radius, total, each), "choice int, bits long, t int, u int, first boolean, rep long")
     some = common.save(some)
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(some.select(F.col("rep").alias("__id")).distinct(), "__id", "left_semi")
+    # Most texts are in no pair. A sieve of at most SIEVE rows, whatever the corpus holds, keeps them from being sent.
+    sift = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    sieve = F.broadcast(some.select(sift("rep").alias("__s")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
+    texts = texts.join(sieve, sift("__id") == F.col("__s"), "left_semi")
     met = some.join(texts, F.col("rep") == F.col("__id")).drop("__id")
     links = met.groupBy(*TILES).applyInArrow(verify(radius, words, total, each, size, similarity), "a long, b long")
     return members(prints, classes, links)
