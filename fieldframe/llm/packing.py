@@ -1,17 +1,17 @@
 """Best-fit packing of documents into token sequences.
 
 Tokenising is per task: a text is a run of words between ASCII white space, which the tokenizer's rules never join, so
-each word is encoded once and its ids are looked up afterwards. Packing is bulk-synchronous best fit, longest first. Both
-the documents and the gaps are kept range-sorted as runs of equal length, of which there are at most ``capacity`` and a
-few more whatever the corpus holds, so one sweep of the runs stands for a sweep of all rows: each run of documents goes
-to its successor, the smallest gap that holds it; conflicts are resolved by rank (documents of a run take the sequences
-of a gap's run in order); the gaps are updated, and the next run follows. Ranks within a length, and the placing of the
-rows by rank, are distributed: a range sort, counts of each partition, and one pass over the rows.
+each word is encoded once and its ids are looked up afterwards. Packing is bulk-synchronous best fit, longest first, in
+bands of similar length. A round range-sorts a band's waiting documents and the gaps that may hold them by size. Each
+partition is swept once: a document's successor is the smallest gap that holds it, and of the documents with one
+successor the longer ones win. What a partition leaves over, documents for gaps of later partitions and gaps for
+documents of earlier ones, is matched by rank: the counts of the partitions fix which number a rank has, and equal
+numbers meet in an equi-join. Documents longer than any gap open sequences. Gaps are updated, and the rest goes on to the
+next round. Rows stay in tables of the shared folder; the driver sees a row of counts for each partition.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
 import struct
@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,8 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY = 2048
+#: Shortest to longest length of a band. Nearer to 1 means more rounds and a closer best fit.
+RATIO = 0.7
 CACHED_WORDS = 300_000
 _loaded: dict = {}
 # The rules under which words may be cut here; other tokenizers are used whole.
@@ -134,103 +137,175 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Best fit of runs, longest first. counts: length -> pieces of that length.
+def bands(capacity: int, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(shortest, longest) lengths of the bands, longest first, each band's lengths within ``ratio`` of each other."""
+    out, top = [], capacity
+    while top:
+        low = min(int(top * ratio) + 1, top)
+        out.append((low, top))
+        top = low - 1
+    return out
 
-    Rows (length, first rank, first sequence, pieces per sequence, offset): the pieces of that length from that rank on
-    fill the sequences from that one on, so many to each, the first of each at that offset.
-    """
-    gaps: list[int] = []  # sorted sizes of gaps
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, sequences)
-    rows, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            placed = min(left, n * each)
-            rows.append((length, rank, first, each, capacity - gap))
-            full, rest = divmod(placed, each)
-            put(gap - each * length, first, full)
-            put(gap - rest * length, first + full, bool(rest))
-            put(gap, first + full + bool(rest), n - full - bool(rest))
-            left, rank = left - placed, rank + placed
-    return np.array(rows, np.int64).reshape(-1, 5)
-
-
-def ranked(batches):
-    """Adds each row's place in its run of equal length within this partition, whose rows come sorted by length."""
-    last, before = None, 0
-    for b in batches:
-        if not len(b):
-            continue
-        length = b.column("length").to_numpy()
-        first = np.r_[True, length[1:] != length[:-1]]
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(length)), 0))
-        place = np.arange(len(length)) - begin
-        if last == length[0]:
-            place[begin == 0] += before
-        last, before = length[-1], int(place[-1]) + 1
-        yield b.append_column("place", pa.array(place.astype(np.int64)))
+
+#: Kinds of a sweep's rows: documents and gaps' slots that found nothing within their partition, matches, a partition's sums.
+DOC, SLOT, MATCH, SUMS = range(4)
+SWEPT = "kind int, id long, other long, size long, part int, rank long"
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def sweep(longest: int):
+    """One partition of documents and gaps in order of size. Each gap has a slot for as many documents as surely fit, and its
+    slots go to the longest documents below it that no smaller gap took: the successor of a document is the first gap after
+    it, and of the documents with one successor the longer ones win it."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        docs: list[tuple[int, int]] = []  # those without a gap so far, longest last
+        slots, gaps, tail = 0, 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            for size, is_gap, key in zip(*(b.column(c).to_pylist() for c in ("size", "is_gap", "id")), strict=True):
+                if not is_gap:
+                    docs.append((key, size))
+                    continue
+                room = max(1, size // longest)
+                while room and docs:
+                    doc, length = docs.pop()
+                    out.append((MATCH, doc, key, length, part, 0))
+                    room -= 1
+                if room:
+                    out.append((SLOT, key, room, size, part, slots))
+                slots, gaps, tail = slots + room, gaps + 1, len(docs)
+            yield rows_of(out)
+        for at in range(0, len(docs), 1 << 16):
+            yield rows_of([(DOC, doc, 0, length, part, at + k) for k, (doc, length) in enumerate(docs[at : at + (1 << 16)])])
+        # Sums: documents left, slots left, those of the documents that come after the last gap, gaps.
+        yield rows_of([(SUMS, len(docs), slots, len(docs) - tail, part, gaps)])
+
+    return run
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "id", "other", "size", "part", "rank"])
+
+
+def resolve(sums: list) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """What the partitions left over, matched by rank over all of them.
+
+    sums: (part, documents, slots, documents after the last gap, gaps) in order of size, a row for each partition. Returns
+    runs of documents (part, from rank, to rank, number of the last one, 1 if they open sequences), runs of slots (part, how
+    many, number of the first), and how many are matched and open sequences.
+    """
+    last = max((k for k, s in enumerate(sums) if s[4]), default=-1)
+    docs, slots, left, matched = [], [], [], 0
+    for part, n, free, _, _ in sums:
+        taken = 0
+        while taken < free and left:
+            q, lo, hi = left.pop()
+            t = min(free - taken, hi - lo)
+            docs.append((q, hi - t, hi, matched + taken, 0))
+            taken += t
+            if hi - t > lo:
+                left.append((q, lo, hi - t))
+        if taken:
+            slots.append((part, taken, matched))
+        matched += taken
+        if n:
+            left.append((part, 0, n))
+    opened = 0
+    for k in range(len(sums) - 1, max(last, 0) - 1, -1):
+        part, n, _, tail, _ = sums[k]
+        n_open = tail if k == last else n
+        if n_open:
+            docs.append((part, n - n_open, n, opened, 1))
+            opened += n_open
+    return np.array(sorted(docs), np.int64).reshape(-1, 5), np.array(sorted(slots), np.int64).reshape(-1, 3), matched, opened
+
+
+#: Kinds of numbered rows: matched documents and slots by their number, documents that open sequences, and those that wait.
+TAKES, TAKEN, OPENS, WAITS = range(4)
+
+
+def number(docs: np.ndarray, slots: np.ndarray):
+    """Rows of a sweep that found nothing within their partition -> (kind, no, id, size) by the runs of ``resolve``."""
+
+    def run(batches):
+        big = np.int64(1) << 40
+        doc_at, slot_at = docs[:, 0] * big + docs[:, 1], {p: (n, first) for p, n, first in slots.tolist()}
+        for b in batches:
+            kind, key, other, size, part, rank = (b.column(c).to_numpy() for c in ("kind", "id", "other", "size", "part", "rank"))
+            d = kind == DOC
+            at = np.searchsorted(doc_at, part[d] * big + rank[d], "right") - 1
+            runs = docs[np.maximum(at, 0)] if len(docs) else np.full((int(d.sum()), 5), -1)
+            within = (at >= 0) & (runs[:, 0] == part[d]) & (rank[d] < runs[:, 2])
+            what = np.where(within, np.where(runs[:, 4] == 1, OPENS, TAKES), WAITS)
+            yield numbered(what, np.where(within, runs[:, 3] + runs[:, 2] - 1 - rank[d], 0), key[d], size[d])
+            s = kind == SLOT
+            n, first = np.array([slot_at.get(p, (0, 0)) for p in part[s].tolist()], np.int64).reshape(-1, 2).T
+            used = np.clip(n - rank[s], 0, other[s])
+            nth = np.arange(used.sum()) - np.repeat(np.cumsum(used) - used, used)
+            yield numbered(np.full(len(nth), TAKEN), np.repeat(first + rank[s], used) + nth, np.repeat(key[s], used), np.zeros(len(nth), np.int64))
+
+    return run
+
+
+def numbered(kind, no, key, size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(no, pa.int64()), pa.array(key, pa.int64()), pa.array(size, pa.int64())], ["kind", "no", "id", "size"])
+
+
+def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, capacity: int):
+    """One round: (id, size) documents and (seq, gap) gaps -> the sweep's table, the table (id, size, seq) of what is placed,
+    those that wait, the table of the gaps left, their new number of sequences, and how many wait."""
+    spark = waiting.sparkSession
+    items = waiting.select("size", F.lit(False).alias("is_gap"), "id").union(gaps.select("gap", F.lit(True), "seq"))
+    swept = common.save(items.repartitionByRange("size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id").mapInArrow(sweep(longest), SWEPT))
+    # A row for each partition, which is all that goes to the driver.
+    sums = sorted((r.part, r.id, r.other, r.size, r.rank) for r in swept.where(F.col("kind") == SUMS).collect())
+    docs, slots, matched, opened = resolve(sums)
+    rest = swept.where(F.col("kind").isin(DOC, SLOT)).mapInArrow(number(docs, slots), "kind int, no long, id long, size long")
+    placed = swept.where(F.col("kind") == MATCH).select("id", "size", F.col("other").alias("seq"))
+    if matched:
+        takes, taken = rest.where(F.col("kind") == TAKES), rest.where(F.col("kind") == TAKEN).select("no", F.col("id").alias("seq"))
+        placed = placed.union(takes.join(taken, "no").select("id", "size", "seq"))
+    each = capacity // longest
+    after = first + -(-opened // each)
+    if opened:
+        placed = placed.union(rest.where(F.col("kind") == OPENS).select("id", "size", (F.lit(first) + F.floor(F.col("no") / each)).alias("seq")))
+    placed = common.save(placed)
+    waits = sum(s[1] for s in sums) - matched - opened
+    return swept, placed, rest.where(F.col("kind") == WAITS).select("id", "size"), after, waits
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO) -> DataFrame:
     """The rows of ``pieces`` (any further columns stay) with their sequence_id and offset."""
     spark = found.sparkSession
-    found = common.save(found)  # the range sort reads its input twice, for bounds and for rows
-    extra = [c for c in found.columns if c not in ("doc_id", "piece", "start", "length", "ids_crc32")]
-    ordered = found.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", place long"
-    ordered = common.save(ordered.mapInArrow(ranked, schema))
-    runs = ordered.groupBy("length", "part").agg(F.count("*").alias("n"))
-    # At most a row for each partition and each length; also what goes to the driver.
-    runs = runs.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).collect()
-    counts: dict[int, int] = {}
-    for r in runs:
-        counts[r.length] = counts.get(r.length, 0) + r.n
-    steps = plan(counts, capacity)
-    if not len(steps):
-        return ordered.drop("part", "place").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    order = np.lexsort((steps[:, 1], steps[:, 0]))
-    before = np.array(sorted((r.part, r.length, r.before) for r in runs), np.int64)
-    shared = spark.sparkContext.broadcast((steps[order], before))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *extra]
-
-    def place(batches):
-        steps, before = shared.value
-        wide = capacity + 1
-        known = before[:, 0] * wide + before[:, 1]
-        big = np.int64(1) << 45
-        starts = steps[:, 0] * big + steps[:, 1]
-        for b in batches:
-            length = b.column("length").to_numpy()
-            part = b.column("part").to_numpy().astype(np.int64)
-            rank = before[np.searchsorted(known, part * wide + length), 2] + b.column("place").to_numpy()
-            step = steps[np.searchsorted(starts, length * big + rank, "right") - 1]
-            nth = rank - step[:, 1]
-            sequence = step[:, 2] + nth // step[:, 3]
-            offset = step[:, 4] + nth % step[:, 3] * length
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    kinds = ", ".join(f"`{n}` {ordered.schema[n].dataType.simpleString()}" for n in names)
-    return ordered.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    names = found.columns
+    row = common.unused(found, "row")
+    found = common.save(found.withColumn(row, F.monotonically_increasing_id()))
+    # By length, so that a band reads its own rows.
+    slim = common.save(found.select(F.col(row).alias("id"), F.col("length").alias("size")).repartitionByRange("size", "id").sortWithinPartitions("size", "id"))
+    present = [r["size"] for r in slim.select("size").distinct().collect()]  # at most as many as the capacity
+    gaps = spark.createDataFrame([], "seq long, gap long")
+    spent: list[DataFrame] = []
+    steps, sequences = [], 0
+    for low, top in bands(capacity, ratio):
+        if not any(low <= n <= top for n in present):
+            continue
+        waiting, waits = slim.where(F.col("size").between(low, top)), 1
+        while waits:
+            swept, placed, waiting, after, waits = match_round(waiting, gaps.where(F.col("gap") >= low), top, sequences, capacity)
+            steps.append(placed)
+            new = spark.range(sequences, after).select("id", F.lit(capacity).cast("long").alias("gap"))
+            changes = gaps.union(new).union(placed.select("seq", -F.col("size")))
+            gaps = common.save(changes.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), *spent)
+            spent, sequences = [swept, gaps], after
+    if not steps:
+        return found.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = spark.read.schema(steps[0].schema).parquet(*(t.__dict__["_saved_at"] for t in steps))
+    before = Window.partitionBy("seq").orderBy(F.desc("size"), "id")  # at most as many rows as the capacity
+    placed = placed.select("id", F.col("seq").alias("sequence_id"), (F.sum("size").over(before) - F.col("size")).alias("offset"))
+    return found.join(placed, found[row] == placed["id"]).select(*(found[c] for c in names), "sequence_id", "offset")
 
 
 def best_fit(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

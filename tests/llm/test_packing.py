@@ -30,27 +30,80 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    capacity = rng.choice((10, 50, 100))
-    lengths = [rng.randint(1, rng.choice((3, capacity // 2, capacity))) for _ in range(400)]
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    steps = packing.plan(counts, capacity)
-    used = {}
-    for k, (n, rank, first, each, offset) in enumerate(steps):
-        end = next((s[1] for s in steps[k + 1 :] if s[0] == n), counts[n])
-        for r in range(rank, end):
-            q, m = divmod(r - rank, each)
-            used.setdefault(first + q, []).append((offset + m * n, n))
-    assert sum(map(len, used.values())) == len(lengths)
-    for spans in used.values():
+def held(rows, capacity):
+    """The sequences of rows (sequence_id, offset, length), which must lie gapless from 0."""
+    by = {}
+    for sequence, offset, n in rows:
+        by.setdefault(sequence, []).append((offset, n))
+    for spans in by.values():
         at = 0
         for offset, n in sorted(spans):
             assert offset == at
             at += n
         assert at <= capacity
-    assert len(used) == best_fit_decreasing(lengths, capacity)
+    return len(by)
+
+
+def swept(items, longest, cuts):
+    """What sweeps of parts of the items, cut there, and the numbers of what they leave over match and open."""
+    import pyarrow as pa
+
+    pairs, rest = [], []
+    for part, some in enumerate(np.split(np.arange(len(items)), cuts)):
+        mine = [items[k] for k in some]
+        batch = pa.table({"size": [i[0] for i in mine], "is_gap": [i[1] for i in mine], "id": [i[2] for i in mine]}).to_batches() if mine else []
+        packing.TaskContext = type("C", (), {"get": staticmethod(lambda p=part: type("T", (), {"partitionId": lambda self: p})())})
+        for out in packing.sweep(longest)(iter(batch)):
+            rest += [tuple(r.values()) for r in out.to_pylist()]
+    sums = sorted((r[4], r[1], r[2], r[3], r[5]) for r in rest if r[0] == packing.SUMS)
+    docs, slots, matched, opened = packing.resolve(sums)
+    pairs = [(r[1], r[2]) for r in rest if r[0] == packing.MATCH]
+    left = packing.rows_of([r for r in rest if r[0] in (packing.DOC, packing.SLOT)])
+    numbers = [tuple(r.values()) for out in packing.number(docs, slots)(iter([left])) for r in out.to_pylist()]
+    takes = {no: key for kind, no, key, _ in numbers if kind == packing.TAKES}
+    taken = {no: key for kind, no, key, _ in numbers if kind == packing.TAKEN}
+    assert set(takes) == set(taken) == set(range(matched))
+    opens = sorted((no, key) for kind, no, key, _ in numbers if kind == packing.OPENS)
+    assert [no for no, _ in opens] == list(range(opened))
+    return sorted(pairs + [(takes[no], taken[no]) for no in takes]), sorted(key for _, key in opens)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_parts_match_like_one_sweep(seed, monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", None)
+    rng = random.Random(seed)
+    longest = rng.choice((3, 10, 40))
+    items = [(rng.randint(1, longest), False, k) for k in range(rng.randint(0, 60))]
+    items = sorted(items + [(rng.randint(1, rng.choice((longest // 2 + 1, longest, 4 * longest))), True, k) for k in range(rng.randint(0, 40))])
+    # Plainly: the gaps in order of size, each for the longest documents below it.
+    docs, want = [], []
+    for size, is_gap, key in items:
+        if not is_gap:
+            docs.append((size, key))
+            continue
+        for _ in range(max(1, size // longest)):
+            if docs:
+                want.append((docs.pop()[1], key))
+    top = max((i[0] for i in items if i[1]), default=0)
+    opens = sorted(key for size, key in docs if size > top)
+    cuts = sorted(rng.randint(0, len(items)) for _ in range(rng.randint(0, 6)))
+    pairs, opened = swept(items, longest, cuts)
+    # Equal gaps may change places: which documents are matched, and to what size, is the same.
+    size = {key: s for s, is_gap, key in items if is_gap}
+    assert sorted((d, size[g]) for d, g in pairs) == sorted((d, size[g]) for d, g in want)
+    assert opened == opens
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_pack_like_best_fit_decreasing(spark, seed):
+    rng = random.Random(seed)
+    capacity = (50, 100, 64)[seed]
+    lengths = [rng.randint(1, rng.choice((3, capacity // 2, capacity))) for _ in range(1500)]
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(df.repartition(5), capacity).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    used = held([(r.sequence_id, r.offset, r.length) for r in rows], capacity)
+    assert used <= 1.02 * best_fit_decreasing(lengths, capacity)
 
 
 def test_rows(spark):
@@ -67,16 +120,7 @@ def test_rows(spark):
         want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), ids[s : s + 2048]) for p, s in enumerate(range(0, len(ids), 2048))]
     key = lambda r: str(r[:5])
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, r.ids) for r in rows), key=key) == sorted(want, key=key)
-    by = {}
-    for r in rows:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for spans in by.values():
-        at = 0
-        for offset, n in sorted(spans):
-            assert offset == at
-            at += n
-        assert at <= 2048
-    assert len(by) == best_fit_decreasing([r.length for r in rows], 2048)
+    assert held([(r.sequence_id, r.offset, r.length) for r in rows], 2048) == best_fit_decreasing([r.length for r in rows], 2048)
 
 
 def test_empty_table(spark):
