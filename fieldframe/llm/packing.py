@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from . import common
 
 CAPACITY = 2048
+#: Documents and gaps that a task of a round sweeps.
+TASK_ROWS = 1 << 16
 #: Shortest to longest length of a band. Nearer to 1 means more rounds and a closer best fit.
 RATIO = 0.7
 CACHED_WORDS = 300_000
@@ -254,12 +256,11 @@ def numbered(kind, no, key, size) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(no, pa.int64()), pa.array(key, pa.int64()), pa.array(size, pa.int64())], ["kind", "no", "id", "size"])
 
 
-def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, capacity: int):
+def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, capacity: int, tasks: int):
     """One round: (id, size) documents and (seq, gap) gaps -> the sweep's table, the table (id, size, seq) of what is placed,
-    those that wait, the table of the gaps left, their new number of sequences, and how many wait."""
-    spark = waiting.sparkSession
+    those that wait, the new number of sequences, and how many wait."""
     items = waiting.select("size", F.lit(False).alias("is_gap"), "id").union(gaps.select("gap", F.lit(True), "seq"))
-    swept = common.save(items.repartitionByRange("size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id").mapInArrow(sweep(longest), SWEPT))
+    swept = common.save(items.repartitionByRange(tasks, "size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id").mapInArrow(sweep(longest), SWEPT))
     # A row for each partition, which is all that goes to the driver.
     sums = sorted((r.part, r.id, r.other, r.size, r.rank) for r in swept.where(F.col("kind") == SUMS).collect())
     docs, slots, matched, opened = resolve(sums)
@@ -267,7 +268,7 @@ def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, c
     placed = swept.where(F.col("kind") == MATCH).select("id", "size", F.col("other").alias("seq"))
     if matched:
         takes, taken = rest.where(F.col("kind") == TAKES), rest.where(F.col("kind") == TAKEN).select("no", F.col("id").alias("seq"))
-        placed = placed.union(takes.join(taken, "no").select("id", "size", "seq"))
+        placed = placed.union(takes.repartition(tasks, "no").join(taken.repartition(tasks, "no"), "no").select("id", "size", "seq"))
     each = capacity // longest
     after = first + -(-opened // each)
     if opened:
@@ -285,19 +286,18 @@ def pack(found: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO) -> Da
     found = common.save(found.withColumn(row, F.monotonically_increasing_id()))
     # By length, so that a band reads its own rows.
     slim = common.save(found.select(F.col(row).alias("id"), F.col("length").alias("size")).repartitionByRange("size", "id").sortWithinPartitions("size", "id"))
-    present = [r["size"] for r in slim.select("size").distinct().collect()]  # at most as many as the capacity
-    gaps = spark.createDataFrame([], "seq long, gap long")
+    present = {r["size"]: r["n"] for r in slim.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most as many rows as the capacity
+    gaps = spark.range(0, numPartitions=1).select(F.col("id").alias("seq"), F.col("id").alias("gap"))
     spent: list[DataFrame] = []
     steps, sequences = [], 0
     for low, top in bands(capacity, ratio):
-        if not any(low <= n <= top for n in present):
-            continue
-        waiting, waits = slim.where(F.col("size").between(low, top)), 1
+        waiting, waits = slim.where(F.col("size").between(low, top)), sum(n for size, n in present.items() if low <= size <= top)
         while waits:
-            swept, placed, waiting, after, waits = match_round(waiting, gaps.where(F.col("gap") >= low), top, sequences, capacity)
+            tasks = -(-(waits + sequences) // TASK_ROWS)
+            swept, placed, waiting, after, waits = match_round(waiting, gaps.where(F.col("gap") >= low), top, sequences, capacity, tasks)
             steps.append(placed)
-            new = spark.range(sequences, after).select("id", F.lit(capacity).cast("long").alias("gap"))
-            changes = gaps.union(new).union(placed.select("seq", -F.col("size")))
+            new = spark.range(sequences, after, numPartitions=tasks).select("id", F.lit(capacity).cast("long").alias("gap"))
+            changes = gaps.union(new).union(placed.select("seq", -F.col("size"))).repartition(tasks, "seq")
             gaps = common.save(changes.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), *spent)
             spent, sequences = [swept, gaps], after
     if not steps:
