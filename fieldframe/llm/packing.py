@@ -257,14 +257,15 @@ def numbered(kind, no, key, size) -> pa.RecordBatch:
 
 
 def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, capacity: int, tasks: int):
-    """One round: (id, size) documents and (seq, gap) gaps -> the sweep's table, the table (id, size, seq) of what is placed,
-    those that wait, the new number of sequences, and how many wait."""
+    """One round: (id, size) documents and (seq, gap) gaps -> the tables of the sweep and of what it left over, numbered, the
+    table (id, size, seq) of what is placed, those that wait, the new number of sequences, and how many wait."""
     items = waiting.select("size", F.lit(False).alias("is_gap"), "id").union(gaps.select("gap", F.lit(True), "seq"))
     swept = common.save(items.repartitionByRange(tasks, "size", "is_gap", "id").sortWithinPartitions("size", "is_gap", "id").mapInArrow(sweep(longest), SWEPT))
     # A row for each partition, which is all that goes to the driver.
     sums = sorted((r.part, r.id, r.other, r.size, r.rank) for r in swept.where(F.col("kind") == SUMS).collect())
     docs, slots, matched, opened = resolve(sums)
-    rest = swept.where(F.col("kind").isin(DOC, SLOT)).mapInArrow(number(docs, slots), "kind int, no long, id long, size long")
+    # Stored, since the joins' two sides, what opens sequences and the next round, which samples and sorts, each read it.
+    rest = common.save(swept.where(F.col("kind").isin(DOC, SLOT)).mapInArrow(number(docs, slots), "kind int, no long, id long, size long"))
     placed = swept.where(F.col("kind") == MATCH).select("id", "size", F.col("other").alias("seq"))
     if matched:
         takes, taken = rest.where(F.col("kind") == TAKES), rest.where(F.col("kind") == TAKEN).select("no", F.col("id").alias("seq"))
@@ -275,7 +276,7 @@ def match_round(waiting: DataFrame, gaps: DataFrame, longest: int, first: int, c
         placed = placed.union(rest.where(F.col("kind") == OPENS).select("id", "size", (F.lit(first) + F.floor(F.col("no") / each)).alias("seq")))
     placed = common.save(placed)
     waits = sum(s[1] for s in sums) - matched - opened
-    return swept, placed, rest.where(F.col("kind") == WAITS).select("id", "size"), after, waits
+    return [swept, rest], placed, rest.where(F.col("kind") == WAITS).select("id", "size"), after, waits
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO) -> DataFrame:
@@ -294,12 +295,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO) -> Da
         waiting, waits = slim.where(F.col("size").between(low, top)), sum(n for size, n in present.items() if low <= size <= top)
         while waits:
             tasks = -(-(waits + sequences) // TASK_ROWS)
-            swept, placed, waiting, after, waits = match_round(waiting, gaps.where(F.col("gap") >= low), top, sequences, capacity, tasks)
+            read, placed, waiting, after, waits = match_round(waiting, gaps.where(F.col("gap") >= low), top, sequences, capacity, tasks)
             steps.append(placed)
             new = spark.range(sequences, after, numPartitions=tasks).select("id", F.lit(capacity).cast("long").alias("gap"))
             changes = gaps.union(new).union(placed.select("seq", -F.col("size"))).repartition(tasks, "seq")
             gaps = common.save(changes.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), *spent)
-            spent, sequences = [swept, gaps], after
+            spent, sequences = [*read, gaps], after
     if not steps:
         return found.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = spark.read.schema(steps[0].schema).parquet(*(t.__dict__["_saved_at"] for t in steps))

@@ -106,6 +106,42 @@ def test_rounds_pack_like_best_fit_decreasing(spark, seed):
     assert used <= 1.02 * best_fit_decreasing(lengths, capacity)
 
 
+@pytest.mark.parametrize("copies", [200, 400])
+def test_what_a_sweep_leaves_over_is_numbered_once(spark, monkeypatch, tmp_path, copies):
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 50) for _ in range(300)] + [17] * copies
+    plain, resolve, left = packing.number, packing.resolve, []
+
+    def resolved(sums):
+        out = resolve(sums)
+        left.append(sum(s[1] for s in sums) + out[2])  # documents, and the slots of those that are matched
+        return out
+
+    def counted(docs, slots):
+        run, at = plain(docs, slots), str(tmp_path)
+
+        def counting(batches):
+            import uuid
+
+            n = 0
+            for b in run(batches):
+                n += b.num_rows
+                yield b
+            with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(n))
+
+        return counting
+
+    monkeypatch.setattr(packing, "TASK_ROWS", 60)
+    monkeypatch.setattr(packing, "resolve", resolved)
+    monkeypatch.setattr(packing, "number", counted)
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(df, 50).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    held([(r.sequence_id, r.offset, r.length) for r in rows], 50)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == sum(left)
+
+
 def test_rows(spark):
     rng = random.Random(2)
     words = ["the", "of", "Zweihänder", "naïve", "x1y2", "quick"]
