@@ -7,19 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BINS = 256
+#: Up to FEW groups' rows (of a few numbers each) go to every task; those of more are joined in SHARES shares.
+FEW, SHARES = 1 << 16, 64
+
+
+def share(pixels: DataFrame) -> Column:
+    """A number below SHARES by the pixel's own columns, the same whenever the pixel is read."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pixels.columns]), F.lit(SHARES)).cast("int")
+
+
+def beside(pixels: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """pixels with the columns of their group's row (by..., ...); pixels whose group has none are left out.
+
+    One image may hold most pixels, so pixels are never dealt by group alone. Up to FEW rows are taken once and handed to
+    every task, and no pixel is sent. The rows of more groups are repeated in SHARES shares, and pixels meet them by group
+    and share.
+    """
+    few = groups.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW:
+        return pixels.join(F.broadcast(groups.sparkSession.createDataFrame(few, groups.schema)), by)
+    dealt = pixels if "__share" in pixels.columns else pixels.withColumn("__share", share(pixels))
+    rows = groups.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(rows, [*by, "__share"]).drop("__share")
 
 
 def otsu(pixels: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., threshold) by Otsu's method over 256 bins of each group's range; nulls, NaN and infinities are left out.
 
     Pixels are only counted: the extremes and the bins are partial aggregates, and what is sorted has at most 256 rows a
-    group. The first bin of the largest between-class variance wins.
+    group. The groups' extremes reach the pixels as in ``beside``. The first bin of the largest between-class variance wins.
     """
     by = by or []
     v = F.col(value)
-    some = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*by, v.alias("__v"))
+    some = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*by, v.alias("__v"), share(pixels).alias("__share"))
     ends = some.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    joined = some.join(ends, by) if by else some.crossJoin(F.broadcast(ends))  # one row without groups
+    joined = beside(some, ends, by) if by else some.crossJoin(F.broadcast(ends))  # one row without groups
     bin_ = F.coalesce(F.floor((F.try_divide(F.col("__v") - F.col("__hi"), F.col("__hi") - F.col("__lo")) + 1.0) * (BINS - 1)), F.lit(0))
     hist = joined.groupBy(*by, "__lo", "__hi", bin_.alias("__bin")).agg(F.count("*").cast("double").alias("__n"))
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -36,7 +58,7 @@ def binary(pixels: DataFrame, value: str, by: list[str] | None = None, threshold
     """pixels with a boolean ``mask``: below the threshold (Otsu's of the group, or the one given); null values are false."""
     if threshold is None:
         cuts = otsu(pixels, value, by).withColumnRenamed("threshold", "__cut")
-        pixels = pixels.join(cuts, by) if by else pixels.crossJoin(F.broadcast(cuts))
+        pixels = beside(pixels, cuts, by) if by else pixels.crossJoin(F.broadcast(cuts))
     else:
         pixels = pixels.withColumn("__cut", F.lit(float(threshold)))
     below = F.col(value) < F.col("__cut")
