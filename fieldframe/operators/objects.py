@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def object_rgb(pixels: DataFrame, labels: DataFrame, on: list[str], bands: list[str]) -> DataFrame:
-    """(on..., id, bands) of the pixels of objects; label 0 is background."""
-    return pixels.join(labels.where("id > 0"), on).select(*on, "id", *bands)
+def object_rgb(pixels: DataFrame, labels: DataFrame | None, on: list[str], bands: list[str]) -> DataFrame:
+    """(on..., id, bands) of the pixels of objects; label 0 is background. Pixels that carry their label themselves (labels
+    None) are not joined, so repeated ones and those without a key stay as they are."""
+    labelled = pixels.where("id > 0") if labels is None else pixels.join(labels.where("id > 0"), on)
+    return labelled.select(*on, "id", *bands)
 
 
 def measures(pixels: DataFrame, x: str, y: str, indexes: list[str], by: tuple[str, ...] = ("img", "id")) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.operators import severity, threshold
+from fieldframe.operators import objects, severity, threshold
 
 
 @pytest.fixture
@@ -44,3 +44,10 @@ def test_two_stages_alike_with_few_and_many_images(spark, monkeypatch):
     few = of()
     monkeypatch.setattr(threshold, "FEW", 0)
     assert of() == few and len(few) == 3
+
+
+def test_labelled_pixels_stay_as_they_are(spark):
+    px = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (None, 3, 0.25), (4, 0, 1.0)], "k int, id int, R double")
+    assert sorted(map(str, objects.object_rgb(px, None, ["k"], ["R"]).collect())) == sorted(map(str, px.where("id > 0").collect()))
+    some = px.where("k = 4")
+    assert objects.object_rgb(some.drop("id"), some.select("k", F.lit(7).alias("id")), ["k"], ["R"]).collect() == [(4, 7, 1.0)]
