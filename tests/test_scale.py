@@ -1,9 +1,12 @@
 """What must not grow with the tables: rows of one task, work of one ring, what Python holds at once."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.operators import objects, severity, threshold
+from fieldframe.operators import objects, polygon, severity, threshold
 
 
 @pytest.fixture
@@ -51,3 +54,57 @@ def test_labelled_pixels_stay_as_they_are(spark):
     assert sorted(map(str, objects.object_rgb(px, None, ["k"], ["R"]).collect())) == sorted(map(str, px.where("id > 0").collect()))
     some = px.where("k = 4")
     assert objects.object_rgb(some.drop("id"), some.select("k", F.lit(7).alias("id")), ["k"], ["R"]).collect() == [(4, 7, 1.0)]
+
+
+def seconds(df):
+    took = []
+    for _ in range(2):
+        began = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    return min(took)
+
+
+RING = "id int, xs array<double>, ys array<double>"
+
+
+@pytest.mark.parametrize("of", [
+    lambda r: r.select(polygon.centre_distances(True)), lambda r: r.select(polygon.centre_distances()), polygon.centre, lambda r: polygon.spline(r, 20), lambda r: polygon.pcv(r, 1).select("pcv"),
+])
+def test_work_of_a_ring_grows_with_its_vertices(spark, of):
+    small, large = (seconds(of(polygon.circle(spark, 1.0, n))) for n in (1000, 8000))
+    assert large < 24 * small
+
+
+def test_rounds_of_smoothing_are_cheap(spark):
+    rings = spark.range(0, 20000, 1, 1).select("id", *[F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k, m=m: (F.col("id") * k * m % 97).cast("double")).alias(c) for c, m in (("xs", 7), ("ys", 11))])
+    one, hundred = (seconds(polygon.pcv(rings, n).select("id", "pcv")) for n in (1, 100))
+    assert hundred < 8 * one
+
+
+def test_smoothing_with_gaps(spark):
+    rows = [(1, [1.0, 2.0, 4.0, 7.0, 1.0, 0.5, 3.0], [0.0, None, 3.0, 1.0, 1.0, 5.0, 2.0]), (2, None, [1.0]), (3, [5.0], [2.0]), (4, [1.0, 2.0, float("nan")], [3.0, 1.0, 1.0]), (5, [], [])]
+    got = {r["id"]: r for r in polygon.smooth(spark.createDataFrame(rows, RING), 2).collect()}
+    for k, *both in rows:
+        for c, v in zip(("xs", "ys"), both, strict=True):
+            for _ in range(2):
+                v = v and [None if None in (a := (v[i - 1], v[i], v[(i + 1) % len(v)])) else (a[0] + a[1] + a[2]) / 3 for i in range(len(v))]
+            assert str(got[k][c]) == str(v)
+
+
+def test_splines_of_mixed_rings(spark):
+    rows = [(k, [float(k * i % 7) for i in range(n)], [float((k + i) % 5) for i in range(n)]) for k, n in enumerate((0, 1, 2, 3, 4, 9, 4))] + [(7, None, None), (8, [2.0, None, 1.0], [1.0, 2.0, 4.0])]
+    for k, xs, ys in map(tuple, polygon.spline(spark.createDataFrame(rows, RING), 11).collect()):
+        for new, v in ((xs, rows[k][1]), (ys, rows[k][2])):
+            if v is None or len(v) < 2:
+                assert new == v
+                continue
+            v = np.array(v, float)
+            w = min(3, len(v))
+            y = np.r_[v[-w:], v, v[:w]]
+            m = len(y) - 2
+            second = np.r_[0, np.linalg.solve(4 * np.eye(m) + np.eye(m, k=1) + np.eye(m, k=-1), 6 * np.diff(y, 2)), 0]
+            t = w + np.arange(11) * (len(v) / 11)
+            i = t.astype(int)
+            u = t - i
+            assert np.allclose(new, (1 - u) * y[i] + u * y[i + 1] + ((1 - u) ** 3 - 1 + u) * second[i] / 6 + (u**3 - u) * second[i + 1] / 6, equal_nan=True)
