@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.operators import objects, polygon, severity, threshold
+from fieldframe.operators import objects, outline, polygon, severity, threshold
 
 
 @pytest.fixture
@@ -108,3 +108,20 @@ def test_splines_of_mixed_rings(spark):
             i = t.astype(int)
             u = t - i
             assert np.allclose(new, (1 - u) * y[i] + u * y[i + 1] + ((1 - u) ** 3 - 1 + u) * second[i] / 6 + (u**3 - u) * second[i + 1] / 6, equal_nan=True)
+
+
+def near_by_expression(r, nharm, npoints):
+    back = outline.inverse(outline.efourier(r, nharm), npoints).select(F.col("id").alias("__id"), F.col("xs").alias("px"), F.col("ys").alias("py"))
+    d = r.join(back, F.col("id") == F.col("__id")).select("id", F.expr("transform(arrays_zip(xs, ys), v -> sqrt(array_min(transform(arrays_zip(px, py), w -> (v.xs - w.px) * (v.xs - w.px) + (v.ys - w.py) * (v.ys - w.py)))))").alias("d"))
+    return d.select("id", F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d"), F.array_max("d"), F.array_min("d"))
+
+
+def test_outline_error_as_by_expressions_and_cheaper(spark):
+    rows = [(k, [float(k * i * i % 13) for i in range(3 + k % 5)], [float((k + i * 3) % 11) for i in range(3 + k % 5)]) for k in range(40)] + [(40, [1.0, None, 3.0, 0.0], [1.0, 2.0, 0.0, 0.5])]
+    r = spark.createDataFrame(rows, RING)
+    got, want = (sorted(map(tuple, f(r, 3, 30).collect())) for f in (outline.error, near_by_expression))
+    assert len(got) == len(want) == 41
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+    many = spark.range(3000).crossJoin(r.drop("id").limit(1))
+    assert seconds(outline.error(many, 3, 400)) < seconds(near_by_expression(many, 3, 400)) / 2
