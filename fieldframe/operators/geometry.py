@@ -17,48 +17,73 @@ OPERATIONS = {"intersection": lambda a, b: a & b, "difference": lambda a, b: a &
 NOTHING = 1e-9
 
 
-def edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(x0, y0, x1, y1) of a ring's edges, the lower end first, level ones left out."""
-    e = np.stack((x, y, np.roll(x, -1), np.roll(y, -1)), axis=1)
-    e = np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
-    return e[e[:, 1] < e[:, 3]]
-
-
-def crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Heights at which an edge of a crosses one of b."""
-    dxa, dya = (a[:, 2] - a[:, 0])[:, None], (a[:, 3] - a[:, 1])[:, None]
-    dxb, dyb = (b[:, 2] - b[:, 0])[None], (b[:, 3] - b[:, 1])[None]
-    ox, oy = b[None, :, 0] - a[:, None, 0], b[None, :, 1] - a[:, None, 1]
+#: Numbers that a chunk of pairs makes at once.
+CHUNK = 1 << 21
+
+
+def edges(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x0, y0, x1, y1 of the edges of many rings (rings by vertices), the lower end first, and which of them rise."""
+    e = x, y, np.roll(x, -1, 1), np.roll(y, -1, 1)
+    down = e[1] > e[3]
+    x0, y0, x1, y1 = (np.where(down, e[(k + 2) % 4], e[k]) for k in range(4))
+    return x0, y0, x1, y1, y0 < y1
+
+
+def crossings(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Heights at which an edge of a crosses one of b (pairs by pairs of edges), NaN where they do not."""
+    dxa, dya = (a[2] - a[0])[:, :, None], (a[3] - a[1])[:, :, None]
+    dxb, dyb = (b[2] - b[0])[:, None], (b[3] - b[1])[:, None]
+    ox, oy = b[0][:, None] - a[0][:, :, None], b[1][:, None] - a[1][:, :, None]
     det = dxa * dyb - dya * dxb
     with np.errstate(divide="ignore", invalid="ignore"):
         t, u = (ox * dyb - oy * dxb) / det, (ox * dya - oy * dxa) / det
-        hit = (det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        return (a[:, None, 1] + t * dya)[hit]
+        hit = a[4][:, :, None] & b[4][:, None] & (det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        return np.where(hit, a[1][:, :, None] + t * dya, np.nan).reshape(len(det), -1)
+
+
+def overlays(xa, ya, xb, yb, operation: str) -> tuple[np.ndarray, np.ndarray]:
+    """The trapezoids (bottom, left, right, top, left, right) of the set operation on many pairs of rings (pairs by
+    vertices), slab by slab, and the pair of each."""
+    xa, ya, xb, yb = (np.asarray(v, float) for v in (xa, ya, xb, yb))
+    n = xa.shape[1] + xb.shape[1]
+    step = max(CHUNK // max((2 * n + xa.shape[1] * xb.shape[1]) * n, 1), 1)
+    parts = [_overlays(*(v[k : k + step] for v in (xa, ya, xb, yb)), operation) for k in range(0, len(xa), step)]
+    return np.concatenate([t for t, _ in parts] or [np.empty((0, 6))]), np.concatenate([p + k * step for k, (_, p) in enumerate(parts)] or [np.empty(0, int)])
+
+
+def _overlays(xa, ya, xb, yb, operation: str) -> tuple[np.ndarray, np.ndarray]:
+    a, b = edges(xa, ya), edges(xb, yb)
+    x0, y0, x1, y1, rises = (np.hstack(v) for v in zip(a, b, strict=True))
+    mine = np.arange(x0.shape[1]) < xa.shape[1]
+    heights = np.sort(np.hstack((np.where(rises, y0, np.nan), np.where(rises, y1, np.nan), crossings(a, b))), axis=1)
+    pair, k = np.nonzero(heights[:, :-1] < heights[:, 1:])
+    low, high = heights[pair, k], heights[pair, k + 1]
+    x0, y0, x1, y1 = x0[pair], y0[pair], x1[pair], y1[pair]
+    over = rises[pair] & (y0 <= low[:, None]) & (y1 >= high[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (x1 - x0) / (y1 - y0)
+        left, right = x0 + (low[:, None] - y0) * slope, x0 + (high[:, None] - y0) * slope
+        order = np.argsort(np.where(over, left + right, np.inf), axis=1, kind="stable")
+    left, right, over = (np.take_along_axis(v, order, 1) for v in (left, right, over))
+    of = mine[order]
+    inside = OPERATIONS[operation](np.cumsum(over & of, 1) % 2 == 1, np.cumsum(over & ~of, 1) % 2 == 1) & over
+    before = np.pad(inside[:, :-1], ((0, 0), (1, 0)))
+    begins, ends = inside & ~before, ~inside & before & over
+    begins &= np.cumsum(begins, 1) <= ends.sum(1)[:, None]  # what is never left has no end
+    slab, i = np.nonzero(begins)
+    j = np.nonzero(ends)[1]
+    return np.stack((low[slab], left[slab, i], left[slab, j], high[slab], right[slab, i], right[slab, j]), axis=1), pair[slab]
 
 
 def overlay(xa, ya, xb, yb, operation: str) -> list[tuple[float, float, float, float, float, float]]:
-    """The trapezoids (bottom, left, right, top, left, right) of the set operation on two rings."""
-    a, b = edges(np.asarray(xa, float), np.asarray(ya, float)), edges(np.asarray(xb, float), np.asarray(yb, float))
-    heights = np.unique(np.concatenate((a[:, 1], a[:, 3], b[:, 1], b[:, 3], crossings(a, b))))
-    test, out = OPERATIONS[operation], []
-    every = np.vstack((a, b))
-    mine = np.r_[np.ones(len(a), bool), np.zeros(len(b), bool)]
-    for low, high in zip(heights[:-1], heights[1:], strict=True):
-        over = (every[:, 1] <= low) & (every[:, 3] >= high)
-        e, of = every[over], mine[over]
-        slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
-        left, right = e[:, 0] + (low - e[:, 1]) * slope, e[:, 0] + (high - e[:, 1]) * slope
-        order = np.argsort(left + right, kind="stable")
-        left, right, of = left[order], right[order], of[order]
-        inside = test(np.cumsum(of) % 2 == 1, np.cumsum(~of) % 2 == 1)
-        begin = None
-        for k, now in enumerate(inside):
-            if now and begin is None:
-                begin = k
-            elif not now and begin is not None:
-                out.append((low, left[begin], left[k], high, right[begin], right[k]))
-                begin = None
-    return out
+    """The trapezoids of one pair."""
+    return [tuple(t) for t in overlays([xa], [ya], [xb], [yb], operation)[0].tolist()]
+
+
+def areas(trapezoids: np.ndarray, pair: np.ndarray, pairs: int) -> np.ndarray:
+    """The area of each pair's trapezoids."""
+    y0, l0, r0, y1, l1, r1 = trapezoids.T
+    return np.bincount(pair, (y1 - y0) * (r0 - l0 + r1 - l1) / 2, pairs)
 
 
 def area(trapezoids) -> float:
@@ -110,8 +135,7 @@ def shared(xa, ya, xb, yb) -> tuple[np.ndarray, ...]:
     mine, theirs = ring_area(xa, ya), ring_area(xb, yb)
     met, _ = outlines_meet(xa, ya, xb, yb)
     both = np.where(first_inside(xa, ya, xb, yb), mine, np.where(first_inside(xb, yb, xa, ya), theirs, 0.0))
-    for k in np.flatnonzero(met):
-        both[k] = area(overlay(xa[k], ya[k], xb[k], yb[k], "intersection"))
+    both[met] = areas(*overlays(xa[met], ya[met], xb[met], yb[met], "intersection"), int(met.sum()))
     return mine, theirs, np.where(both > NOTHING * np.minimum(mine, theirs), both, 0.0), met
 
 
@@ -173,7 +197,7 @@ def _over_pairs(pairs: DataFrame, kernel, columns: dict[str, type]) -> DataFrame
             out = by_shape(batch, kernel, list(columns.values()))
             yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), *map(pa.array, out)], ["a_id", "b_id", *columns])
 
-    more = ", ".join(f"{c} {'boolean' if t is bool else 'double'}" for c, t in columns.items())
+    more = ", ".join(f"{c} {({bool: 'boolean', float: 'double', object: 'string'})[t]}" for c, t in columns.items())
     return pairs.mapInArrow(run, f"a_id {kinds[0]}, b_id {kinds[1]}, {more}")
 
 
@@ -194,18 +218,20 @@ def select(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float, predicate:
     return a.join(hits, F.col("id") == F.col("__id"), "left_anti" if predicate == "outside" else "left_semi")
 
 
-def combined(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float, operation: str) -> DataFrame:
+def combined(a: DataFrame, b: DataFrame, cell_x: float, cell_y: float, operation: str, shapes: bool = True) -> DataFrame:
     """(a_id, b_id, area, wkt) of a set operation on every pair of polygons whose boxes meet (of others, the intersection is
-    nothing, the difference a, the union both as they are); results without an area are left out."""
-    pairs = candidates(a, b, cell_x, cell_y)
-    kinds = [pairs.schema[c].dataType.simpleString() for c in ("a_id", "b_id")]
-
-    def run(batches):
-        for batch in batches:
-            rows = [(area(t), wkt(t)) for t in (overlay(*r, operation) for r in zip(*(batch.column(c).to_pylist() for c in ("a_xs", "a_ys", "b_xs", "b_ys")), strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.string())], ["a_id", "b_id", "area", "wkt"])
-
-    return pairs.mapInArrow(run, f"a_id {kinds[0]}, b_id {kinds[1]}, area double, wkt string").where("area > 0")
+    nothing, the difference a, the union both as they are); results without an area are left out. Without ``shapes`` there
+    is no wkt."""
+
+    def kernel(*rings):
+        trapezoids, pair = overlays(*rings, operation)
+        found = [areas(trapezoids, pair, len(rings[0]))]
+        if shapes:
+            ends = np.searchsorted(pair, np.arange(len(rings[0]) + 1))
+            found.append(np.array([wkt(trapezoids[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)] + [None], object)[:-1])
+        return found
+
+    return _over_pairs(candidates(a, b, cell_x, cell_y), kernel, {"area": float} | ({"wkt": object} if shapes else {})).where("area > 0")
 
 
 def buffered_points(points: DataFrame, radius: float = 1e-3, sides: int = 8) -> DataFrame:

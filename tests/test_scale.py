@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.operators import objects, outline, polygon, severity, threshold
+from fieldframe.operators import geometry, objects, outline, polygon, severity, threshold
 
 
 @pytest.fixture
@@ -125,3 +125,33 @@ def test_outline_error_as_by_expressions_and_cheaper(spark):
         assert a == pytest.approx(b, abs=1e-12)
     many = spark.range(3000).crossJoin(r.drop("id").limit(1))
     assert seconds(outline.error(many, 3, 400)) < seconds(near_by_expression(many, 3, 400)) / 2
+
+
+def test_overlays_of_many_pairs_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    turn = np.sort(rng.random((4, 400, 5)) * 2 * np.pi, axis=2)
+    a, b = (np.stack((np.cos(t) * r + m, np.sin(t) * r)) for t, r, m in ((turn[0], 1 + turn[1] / 9, 0.0), (turn[2], 1 + turn[3] / 9, 0.7)))
+    b[:, 100:200, 4], b[:, 200:220] = b[:, 100:200, 3], a[:, 200:220]  # level edges, equal rings
+    began = time.time()
+    one = {op: [geometry.overlay(a[0, k], a[1, k], b[0, k], b[1, k], op) for k in range(400)] for op in geometry.OPERATIONS}
+    singly = time.time() - began
+    for chunk in (1 << 21, 2000):
+        monkeypatch.setattr(geometry, "CHUNK", chunk)
+        began = time.time()
+        many = {op: geometry.overlays(*a, *b, op) for op in geometry.OPERATIONS}
+        if chunk > 2000:
+            assert time.time() - began < singly / 4
+        for op, (t, pair) in many.items():
+            assert [list(map(tuple, t[pair == k].tolist())) for k in range(400)] == one[op]
+            assert np.allclose(geometry.areas(t, pair, 400), [geometry.area(v) for v in one[op]], atol=1e-12)
+
+
+@pytest.mark.parametrize("operation", list(geometry.OPERATIONS))
+def test_combined_with_and_without_shapes(spark, operation):
+    a = spark.createDataFrame([(1, [0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0]), (2, [5.0, 6.0, 5.0], [5.0, 5.0, 6.0]), (3, [0.5, 1.0, 0.5], [0.5, 0.5, 1.0])], RING)
+    b = spark.createDataFrame([(7, [1.0, 3.0, 3.0, 1.0], [1.0, 1.0, 3.0, 3.0]), (8, [5.0, 6.0, 6.0], [6.0, 6.0, 5.0])], RING)
+    full = geometry.combined(a, b, 3.0, 3.0, operation).collect()
+    assert sorted(r[:3] for r in full) == sorted(map(tuple, geometry.combined(a, b, 3.0, 3.0, operation, shapes=False).collect())) and full
+    for r in full:
+        one = geometry.overlay(*(v for p, k in ((a, r["a_id"]), (b, r["b_id"])) for v in p.where(F.col("id") == k).first()[1:]), operation)
+        assert (r["area"], r["wkt"]) == (pytest.approx(geometry.area(one)), geometry.wkt(one))
