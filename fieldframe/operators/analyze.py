@@ -110,27 +110,33 @@ def segment(images: DataFrame, how: Segmentation, bands: tuple[str, ...] = ("R",
     return tile.apply(index_images(images, how.index, bands), lambda v: labels_of(mask_of(v, how), how))
 
 
-def outlines(labels: DataFrame) -> DataFrame:
-    """(img, id, area, npixels, xs, ys) of every object of label images: its pixel count, the image's, and its outline."""
+def outlines(labels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = lambda a: a, hulls: bool = False) -> DataFrame:
+    """(img, id, area, npixels, xs, ys) of every object of label images: its pixel count, the image's, and its outline; with
+    ``hulls`` also hull_xs, hull_ys. The kernel makes label images of what comes in, in the same process: each step in Python
+    has one of its own in every task."""
+    kinds = [("id", pa.int32()), ("area", pa.int64()), ("npixels", pa.int64()), *[(c, pa.list_(pa.float64())) for c in ("xs", "ys", *(("hull_xs", "hull_ys") if hulls else ()))]]
 
     def run(batches):
-        for b in batches:
+        for b in tile.pieces(batches):
             rows = []
-            for img, h, w, data in zip(*(b.column(c).to_pylist() for c in ("img", "h", "w", "data")), strict=True):
-                a = np.nan_to_num(np.array(data, float)).reshape(h, w).astype(int)
-                rows += [(img, k, n, h * w, [float(c) for _, c in ring], [float(r) for r, _ in ring]) for k, n, ring in tile.outlines(a)]
+            for at, (img, h, w) in enumerate(zip(*(b.column(c).to_pylist() for c in ("img", "h", "w")), strict=True)):
+                a = kernel(b.column("data")[at].values.to_numpy(zero_copy_only=False).astype(float).reshape(h, w))
+                for k, n, ring in tile.outlines(np.nan_to_num(a).astype(int)):
+                    points = [(float(c), float(r)) for r, c in ring]
+                    rows.append((img, k, n, h * w, *zip(*points, strict=True), *([[p[i] for p in polygon.hull(points)] for i in (0, 1)] if hulls else ())))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                kinds = [b.schema.field("img").type, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["img", "id", "area", "npixels", "xs", "ys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [b.schema.field("img").type, *[k for _, k in kinds]], strict=True)], ["img", *[c for c, _ in kinds]])
 
-    return labels.select("img", "h", "w", "data").mapInArrow(run, f"img {labels.schema['img'].dataType.simpleString()}, id int, area long, npixels long, xs array<double>, ys array<double>")
+    sql = {pa.int32(): "int", pa.int64(): "long"}
+    return labels.select("img", "h", "w", "data").mapInArrow(run, f"img {labels.schema['img'].dataType.simpleString()}, " + ", ".join(f"{c} {sql.get(k, 'array<double>')}" for c, k in kinds))
 
 
 def compute_measures(rings: DataFrame) -> DataFrame:
-    """The columns of MEASURES of outlines (img, id, area, npixels, xs, ys). The area and the ratios over it count pixels;
+    """The columns of MEASURES of outlines (img, id, area, npixels, xs, ys, and hulls if they are known). The area and the ratios over it count pixels;
     circularity_norm and convexity are those of the outline. Objects without a centroid (lines) are left out."""
-    r = polygon.radius_stats(polygon.axes(polygon.hull_udf(rings.where(F.size("xs") >= 3))))
+    rings = rings.where(F.size("xs") >= 3)
+    r = polygon.radius_stats(polygon.axes(rings if "hull_xs" in rings.columns else polygon.hull_udf(rings)))
     cx, cy = polygon.mass()
     r = r.withColumns({"perimeter": polygon.perimeter(), "caliper": polygon.caliper(), "x": cx, "y": cy, "__a": polygon.area(), "area": F.col("area").cast("double")})
     r = r.withColumns({"__xs": F.col("hull_xs"), "__ys": F.col("hull_ys")}).drop("xs", "ys").withColumnsRenamed({"__xs": "xs", "__ys": "ys"})
@@ -196,7 +202,7 @@ def reference_object(larger: bool = True) -> Column:
 def analyze_objects(images: DataFrame, how: Segmentation = Segmentation(), keep: Filters = Filters(), dpi: float | None = None, reference_area: float | None = None, reference_larger: bool = True, bands: tuple[str, ...] = ("R", "G", "B"), minimal: bool = False) -> DataFrame:
     """The measures of every object of images (img, h, w, bands, data): index, mask, labels, outlines, measures, filters by
     size and shape in pixels, then centimetres where a resolution or a reference object's area is given."""
-    found = compute_measures(outlines(segment(images, how, bands)))
+    found = compute_measures(outlines(index_images(images, how.index, bands), lambda v: labels_of(mask_of(v, how), how), hulls=True))
     shape = "circularity_norm" if minimal else "circularity"
     if reference_area is not None:
         # The factor of each image goes along with its objects; the reference object itself goes.
@@ -210,8 +216,9 @@ def analyze_objects(images: DataFrame, how: Segmentation = Segmentation(), keep:
 
 
 def summary(measures: DataFrame) -> DataFrame:
-    """Per image: n, mean, min, max, sum and sd of the areas, and the coverage."""
-    return objects.statistics(measures, ["img"]).join(measures.groupBy("img").agg(F.sum("coverage").alias("coverage")), "img")
+    """Per image: n, mean, min, max, sum and sd of the areas, and the coverage, in one aggregation, so the analysis runs
+    once."""
+    return objects.statistics(measures, ["img"], "area", F.sum("coverage").alias("coverage"))
 
 
 def merged(measures: DataFrame, sep: str = "[_-]") -> DataFrame:
@@ -235,7 +242,7 @@ def crops(images: DataFrame, labels: DataFrame, edge: int = 0, background: float
     kind = images.schema["img"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in tile.pieces(batches):
             for img, h, w, n, data, marks in zip(*(b.column(c).to_pylist() for c in ("img", "h", "w", "bands", "data", "labels")), strict=True):
                 a, at = np.array(data, float).reshape(h, w, n), np.array(marks, float).reshape(h, w).astype(int)
                 areas = np.bincount(at.ravel())[1:]
@@ -261,7 +268,7 @@ def augment(images: DataFrame, times: int = 4) -> DataFrame:
     turns = images.where("data is not null").select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("nth"))
 
     def run(batches):
-        for b in batches:
+        for b in tile.pieces(batches):
             for img, h, w, n, data, nth in zip(*(b.column(c).to_pylist() for c in ("img", "h", "w", "bands", "data", "nth")), strict=True):
                 a = np.array(data, float).reshape(h, w, n)
                 degrees = 360 / times * nth
@@ -279,7 +286,7 @@ def apply_bands(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -
     kind = images.schema["img"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in tile.pieces(batches):
             for img, h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("img", "h", "w", "bands", "data")), strict=True):
                 out = np.asarray(kernel(np.array(data, float).reshape(h, w, n)), float)
                 out = out[..., None] if out.ndim == 2 else out

@@ -47,10 +47,10 @@ def keep(objects: DataFrame, lower_noise: float | None = None, lower_size: float
     return objects
 
 
-def statistics(objects: DataFrame, by: list[str], value: str = "area") -> DataFrame:
-    """n, mean, min, max, sum and sample sd of a measure."""
+def statistics(objects: DataFrame, by: list[str], value: str = "area", *more: Column) -> DataFrame:
+    """n, mean, min, max, sum and sample sd of a measure, and further aggregates."""
     v = F.col(value)
-    return objects.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias(f"{value}_mean"), F.min(v).alias(f"{value}_min"), F.max(v).alias(f"{value}_max"), F.sum(v).alias(f"{value}_sum"), F.stddev_samp(v).alias(f"{value}_sd"))
+    return objects.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias(f"{value}_mean"), F.min(v).alias(f"{value}_min"), F.max(v).alias(f"{value}_max"), F.sum(v).alias(f"{value}_sum"), F.stddev_samp(v).alias(f"{value}_sd"), *more)
 
 
 def scaled(objects: DataFrame, factor: Column, areas: list[str], lengths: list[str]) -> DataFrame:

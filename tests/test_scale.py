@@ -3,10 +3,12 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.operators import geometry, objects, outline, polygon, severity, threshold
+from fieldframe.operators import analyze, geometry, objects, outline, polygon, severity, threshold, tile
+from fieldframe.plans import analysis_queries, shape_queries
 
 
 @pytest.fixture
@@ -155,3 +157,27 @@ def test_combined_with_and_without_shapes(spark, operation):
     for r in full:
         one = geometry.overlay(*(v for p, k in ((a, r["a_id"]), (b, r["b_id"])) for v in p.where(F.col("id") == k).first()[1:]), operation)
         assert (r["area"], r["wkt"]) == (pytest.approx(geometry.area(one)), geometry.wkt(one))
+
+
+def test_pieces_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(tile, "PIECE", 20)
+    rows = [[1.0] * n for n in (3, 4, 50, 0, 5, 6, 7, 2)] + [None, [2.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(rows, pa.list_(pa.float64()))], ["img", "data"])
+    got = list(tile.pieces([batch.slice(1), batch.slice(0, 0)]))
+    assert [v for b in got for v in b.column("img").to_pylist()] == list(range(1, 10)) and [v for b in got for v in b.column("data").to_pylist()] == rows[1:]
+    assert all(len(b) == 1 or sum(len(v or ()) for v in b.column("data").to_pylist()) <= 20 for b in got) and len(got) < 9
+
+
+@pytest.mark.parametrize("queries, name", [(analysis_queries, "analyze_objects"), (analysis_queries, "analyze_objects_merged"), (analysis_queries, "analyze_objects_summary"), (shape_queries, "object_contour")])
+def test_one_python_process_a_task(spark, queries, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_outlines_with_kernel_and_hulls_as_step_by_step(spark):
+    rng = np.random.default_rng(4)
+    images = spark.createDataFrame([(k, h, w, (rng.random(h * w) < 0.6).astype(float).tolist()) for k, (h, w) in enumerate([(3, 5), (8, 8), (1, 1), (20, 30), (6, 2)])], "img int, h int, w int, data array<double>")
+    apart = polygon.hull_udf(analyze.outlines(tile.apply(images, tile.label)))
+    want = sorted(map(tuple, apart.collect()))
+    assert sorted(map(tuple, analyze.outlines(images, tile.label, hulls=True).collect())) == want and len(want) > 5
+    assert sorted(map(tuple, tile.contours(images, tile.label).collect())) == sorted((r[0], r[1], n + 1, x, y) for r in want for n, (x, y) in enumerate(zip(r[4], r[5], strict=True)))
