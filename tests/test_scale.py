@@ -181,3 +181,15 @@ def test_outlines_with_kernel_and_hulls_as_step_by_step(spark):
     want = sorted(map(tuple, apart.collect()))
     assert sorted(map(tuple, analyze.outlines(images, tile.label, hulls=True).collect())) == want and len(want) > 5
     assert sorted(map(tuple, tile.contours(images, tile.label).collect())) == sorted((r[0], r[1], n + 1, x, y) for r in want for n, (x, y) in enumerate(zip(r[4], r[5], strict=True)))
+
+
+def test_k_means_holds_a_bounded_number_of_pixels(spark, monkeypatch):
+    px = spark.range(0, 9000, 1, 2).select("id", *[((F.col("id") % 3) * m % 4 / 4.0 + F.col("id") % 7 / 1000.0).alias(c) for c, m in (("R", 1), ("G", 2), ("B", 3))])
+    assert severity.spread(px, 4500) is px and severity.spread(px.limit(0), 1).count() == 0
+    assert largest_task(severity.spread(px, 1000)) <= 1100 and severity.spread(px, 1000).distinct().count() == 9000
+    of = lambda: sorted(tuple(round(v, 9) for v in r[1:]) for r in severity.palette(px, ["R", "G", "B"], 3).collect())
+    want = of()
+    sizes, fit = [], severity.spread
+    monkeypatch.setattr(severity, "ROWS", 1000)
+    monkeypatch.setattr(severity, "spread", lambda x, rows: sizes.append(largest_task(out := fit(x, rows))) or out)
+    assert of() == want and [r[0] for r in want] == [3000] * 3 and sizes[0] <= 1100
